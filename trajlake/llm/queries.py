@@ -11,7 +11,10 @@ from trajlake.llm.exact_dedup import exact_dedup
 from trajlake.llm.fingerprint import fingerprints
 from trajlake.llm.html_text import extract
 from trajlake.llm.language_id import identify
+from trajlake.llm.licenses import scan
+from trajlake.llm.lm_score import score
 from trajlake.llm.mixing import mix_sources
+from trajlake.llm.ngram_join import ngram_join
 from trajlake.llm.packing import pack
 from trajlake.llm.warc import archive
 
@@ -34,6 +37,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -42,6 +49,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -50,8 +65,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_html_text, op3_fingerprints, op5_exact_dedup, op6_warc, op9_mixing, op10_packing)}
+    own = (op1_language_id, op2_html_text, op3_fingerprints, op4_licenses, op5_exact_dedup, op6_warc, op7_ngram_join, op8_lm_score, op9_mixing, op10_packing, pipeline)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
