@@ -1,9 +1,14 @@
 """The library's registered queries and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from trajlake.plans import aggregates, curation, files, joins, poses, sequences  # noqa: F401
+from trajlake.plans.registry import QUERIES, SQL
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
