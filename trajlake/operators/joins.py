@@ -193,3 +193,18 @@ def view_pixels(cameras: DataFrame, cloud: DataFrame, fx: float, width: int, hei
     rows = rows.select("clip", "frame", "point_id", "depth", "v", F.explode(F.transform(side, lambda d: F.col("u") + d)).alias("px"))
     rows = rows.select("clip", "frame", "point_id", "depth", "px", F.explode(F.transform(side, lambda d: F.col("v") + d)).alias("py"))
     return rows.where(F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1)).select("clip", "frame", "px", "py", "depth", "point_id")
+
+
+def near_hashes(df: DataFrame, key: str, phash: str, most: int) -> DataFrame:
+    """a, b, distance of all pairs of 64-bit hashes up to ``most`` bits apart.
+
+    Hashes are cut into ``most`` + 1 bands: two that close agree in one of them at least.
+    """
+    bands = most + 1
+    edges = [64 * i // bands for i in range(bands + 1)]
+    h = F.col(phash)
+    cut = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft(h, 64 - hi), 64 - hi + lo).alias("bits")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
+    rows = df.select(F.col(key).alias("a"), h.alias("ha"), F.explode(F.array(*cut)).alias("c")).select("a", "ha", "c.*")
+    other = rows.select("band", "bits", F.col("a").alias("b"), F.col("ha").alias("hb"))
+    distance = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
+    return rows.join(other, ["band", "bits"]).where(F.col("a") < F.col("b")).withColumn("distance", distance).where(F.col("distance") <= most).select("a", "b", "distance").distinct()

@@ -189,3 +189,13 @@ def e2_match_counts(spark, sf):
 def e3_viewpoint_overlap(spark, sf):
     m = aggs.match_counts(_order_matches(spark, sf)).withColumn("session", F.col("query") % 10)
     return aggs.viewpoint_overlap(m, m.where("ref = 0"), ["session"])
+
+
+@query("""SELECT a.event_id AS a, b.event_id AS b, bit_count(xor(a.h, b.h))::int AS distance FROM (SELECT event_id, (event_id * 40503) % 1048576 AS h FROM events WHERE event_type = 'error') a, (SELECT event_id, (event_id * 40503) % 1048576 AS h FROM events WHERE event_type = 'error') b
+    WHERE a.event_id < b.event_id AND bit_count(xor(a.h, b.h)) <= 2""")
+def p5_batch_hash_duplicates(spark, sf):
+    e = table(spark, sf, "events").where("event_type = 'error'")
+    # Twenty bits spread over the word, so that every band differs between events.
+    bits = (F.col("event_id") * 40503) % 1048576
+    spread = F.aggregate(F.sequence(F.lit(0), F.lit(19)), F.lit(0).cast("bigint"), lambda acc, i: acc.bitwiseOR(F.call_function("shiftleft", F.call_function("shiftright", bits, i).bitwiseAND(1), (i * 3).cast("int"))))
+    return joins.near_hashes(e.select("event_id", spread.alias("h")), "event_id", "h", 2)

@@ -10,12 +10,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trajlake.functions.pose import POSE, from_axes, upright
 
-CLIP = T.StructType.fromDDL("kind string, video struct<width:int,height:int,fps:double,duration_s:double,rotation_deg:int,codec:string,focal_35mm:double>, requested_fps double, effective_fps double, extracted_count int, frame_names array<string>, frame_times_s array<double>")
-MANIFEST = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("clips", T.MapType(T.StringType(), CLIP))])
+CLIP = "struct<kind:string,video:struct<width:int,height:int,fps:double,duration_s:double,rotation_deg:int,codec:string,focal_35mm:double>,requested_fps:double,effective_fps:double,extracted_count:int,frame_names:array<string>,frame_times_s:array<double>>"
+MANIFEST = f"run_id string, clips map<string,{CLIP}>"
 
 
 def _nan(c: Column) -> Column:
