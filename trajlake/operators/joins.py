@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,13 +69,41 @@ def dot_product(a: str, b: str) -> Column:
 def retrieve_topk(queries: DataFrame, refs: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     """query, ref, score, rank: the ``k`` references (ref, rvec) of the largest dot product for each query (query, qvec).
 
-    With ``by``, within groups of it (a run). Ties go to the lower reference.
+    With ``by``, within groups of it (a run). Without, a query set of at most BROADCAST_ROWS goes
+    to every block of references, which keeps its own best ``k`` for each query; a larger set is taken in
+    parts of that size. Ties go to the lower reference. Ids are integers.
     """
     by = by or []
-    pairs = queries.join(refs, by) if by else queries.crossJoin(small(refs))
-    scored = pairs.select(*by, "query", "ref", dot_product("qvec", "rvec").alias("score"))
+    if by:
+        best = queries.join(refs, by).select(*by, "query", "ref", dot_product("qvec", "rvec").alias("score"))
+    else:
+        parts = max(1, -(-queries.count() // BROADCAST_ROWS))
+        best = None
+        for part in range(parts):
+            own = queries.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == part) if parts > 1 else queries
+            found = _block_best(own, refs, k)
+            best = found if best is None else best.unionByName(found)
     w = Window.partitionBy(*by, "query").orderBy(F.desc("score"), "ref")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _block_best(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
+    rows = queries.select("query", "qvec").collect()
+    ids = np.array([r["query"] for r in rows], np.int64)
+    matrix = np.array([r["qvec"] for r in rows], np.float64)
+    shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, matrix = shared.value
+        for f in frames:
+            f = f.sort_values("ref")
+            if not len(f) or not len(ids):
+                continue
+            scores = matrix @ np.stack(f["rvec"].to_numpy()).astype(np.float64).T
+            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            yield pd.DataFrame({"query": np.repeat(ids, top.shape[1]), "ref": f["ref"].to_numpy()[top.ravel()], "score": np.take_along_axis(scores, top, 1).ravel()})
+
+    return refs.select("ref", "rvec").mapInPandas(run, "query bigint, ref bigint, score double")
 
 
 def candidate_pairs(frames: DataFrame, by: list[str], order: str, mode: str = "auto", window: int = 5, k: int = 3, limit: int = 120, retrieval: DataFrame | None = None) -> DataFrame:

@@ -64,7 +64,8 @@ def frame_clock(frames: DataFrame, fps: Column | float, kept: str, by: list[str]
     """Kept frames with t_s (their extracted position over fps), frame_idx from 0, name, and effective_fps."""
     whole = Window.partitionBy(*by)
     ranked = frames.withColumn("_pos", F.row_number().over(whole.orderBy(order)) - 1).withColumn("_n", F.count("*").over(whole)).withColumn("_kept", F.count_if(F.col(kept)).over(whole))
-    ranked = ranked.withColumn("t_s", F.col("_pos") / fps).withColumn("effective_fps", F.lit(fps) * F.col("_kept") / F.col("_n") if not isinstance(fps, Column) else fps * F.col("_kept") / F.col("_n"))
+    rate = fps if isinstance(fps, Column) else F.lit(float(fps))
+    ranked = ranked.withColumn("t_s", F.col("_pos") / rate).withColumn("effective_fps", rate * F.col("_kept") / F.col("_n"))
     out = ranked.where(F.col(kept)).withColumn("frame_idx", F.row_number().over(whole.orderBy("_pos")) - 1)
     return out.withColumn("name", F.format_string("%05d", "frame_idx")).drop("_pos", "_n", "_kept")
 
