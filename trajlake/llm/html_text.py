@@ -29,6 +29,7 @@ _CONTAINER = frozenset("html body div article main section header nav footer asi
 _BLOCK = _LEAF | _CONTAINER | {"hr", "title", "option"}
 _CLOSED_BY_BLOCK = frozenset(["p"])
 _BAD = frozenset("nav navbar navigation menu submenu sidebar footer masthead ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus breadcrumb breadcrumbs pagination pager toolbar widget widgets search skip".split())
+_BESIDE = frozenset(["with", "has", "no", "without"])
 _HEAD = frozenset(["header", "topbar"])
 _GOOD = frozenset("article post entry story content main text body".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
@@ -56,7 +57,8 @@ class Page:
         words = {x.lower() for x in _PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
         out = tag in _DROPPED or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         if tag not in ("html", "body"):
-            named = bool(words & _BAD) or bool(words & _HEAD) and not words & _GOOD and not inside
+            # "with-sidebar" and the like say what stands beside an element.
+            named = bool(words & _BAD) and not words & _BESIDE or bool(words & _HEAD) and not words & _GOOD and not inside
             out = out or found.get("role", "").lower() in _ROLES or named and tag not in ("article", "main") or tag == "article" and "comment" in " ".join(words)
             out = out or tag == "header" and not inside
         return step, out, 3.0 if tag in ("article", "main") else 1.3 if words & _GOOD else 1.0
