@@ -36,6 +36,15 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that ``cut`` has written and nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    conf = df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def short_batches(spark: SparkSession) -> None:
     """Hands Python at most BATCH_ROWS rows at once, so that long texts don't fill its memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -8,7 +8,8 @@ sizes. Pairs of nodes are followed down both sides, and dropped as soon as the
 largest overlap that the bitmaps and sizes leave possible is too small; what
 arrives at two documents is compared exactly.
 
-Documents with one set are one class from the start. A first round compares
+Documents with one set are one class from the start. Of a group, only members that
+the bound leaves a partner go on. Then a first round compares
 each class within a single group, and joins what it finds into components; the
 second looks only at groups that hold several components, and there only at pairs
 across them, so that a large group of near copies costs no pair for each two of
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import cut, short_batches
+from trajlake.llm.common import cut, discard, short_batches
 from trajlake.llm.components import components
 
 #: Members of a group, or of a chunk, that one task compares.
@@ -77,11 +78,39 @@ def bitmap(elements: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.uint64)
 
 
+def fine_bitmap(elements: np.ndarray) -> bytes:
+    """Four to eight bits for each element, a power of two of them; the lower half of a size is the OR of its halves."""
+    size = 1 << max(9, int(4 * len(elements) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[elements & (size - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def fine_may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
+    """Whether sets of ``n`` and ``m`` elements can be similar, given their fine bitmaps."""
+    a, b = (np.frombuffer(v, np.uint64) for v in (x, y))
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    most = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+    return (100 + percent) * most >= percent * (n + m)
+
+
 def required(n: int, percent: int) -> int:
     """The least overlap that a set of ``n`` needs with any similar one."""
     return -(-percent * n // 100)
 
 
+def may_link(some: np.ndarray, every: np.ndarray, low: np.ndarray, high: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets below nodes ``a`` and ``b`` can be similar, given OR and AND bitmaps and size ranges of nodes."""
+    most = np.minimum(high[a], high[b])
+    most = np.minimum(most, high[a] - np.bitwise_count(every[a] & ~some[b]).sum(1, dtype=np.int64))
+    most = np.minimum(most, high[b] - np.bitwise_count(every[b] & ~some[a]).sum(1, dtype=np.int64))
+    # overlap / (n + m - overlap) >= percent / 100 for the smallest n, m of the two nodes
+    return (100 + percent) * most >= percent * (low[a] + low[b])
+
+
 class Tree:
     """Levels of nodes, leaves first: OR and AND bitmaps, size ranges, component (-1: several)."""
 
@@ -106,12 +135,8 @@ class Tree:
             keep = np.zeros(len(i), bool)
             for at in range(0, len(i), 1 << 14):
                 a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-                most = np.minimum(high[a], high[b])
-                most = np.minimum(most, high[a] - np.bitwise_count(every[a] & ~some[b]).sum(1, dtype=np.int64))
-                most = np.minimum(most, high[b] - np.bitwise_count(every[b] & ~some[a]).sum(1, dtype=np.int64))
+                possible = may_link(some, every, low, high, a, b, percent)
                 alike = (label[a] == label[b]) & (label[a] >= 0)
-                # overlap / (n + m - overlap) >= percent / 100 for the smallest n, m of the two nodes
-                possible = (100 + percent) * most >= percent * (low[a] + low[b])
                 keep[at : at + (1 << 14)] = possible & ~alike
             if not depth:
                 keep &= i < j
@@ -172,19 +197,20 @@ def _common(texts: DataFrame, words: int) -> np.ndarray:
 
 
 def _sets(texts: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
-    """doc_id, key (digest of the set), n, prefix: the elements by which a similar set can be found."""
+    """doc_id, key (digest of the set), n, bits, prefix: the elements by which a similar set can be found."""
     shared = texts.sparkSession.sparkContext.broadcast(common)
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = _Hashes(), shared.value
         for batch in batches:
-            keys, sizes, first = [], [], []
+            keys, sizes, first, bits = [], [], [], []
             for text in batch.column(1):
                 e = shingle_hashes(text.as_py(), words, known)
                 n = len(e)
                 keys.append(hashlib.blake2b(e.tobytes(), digest_size=16).digest() if n else None)
                 sizes.append(n)
+                bits.append(bitmap(e).tobytes())
                 if often.shape[1] and n:
                     at = np.minimum(np.searchsorted(often[0], e), often.shape[1] - 1)
                     e = e[np.argsort(np.where(often[0][at] == e, often[1][at], 0), kind="stable")]
@@ -193,13 +219,13 @@ def _sets(texts: DataFrame, words: int, percent: int, common: np.ndarray) -> Dat
                     known.clear()
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), prefix], names=["doc_id", "key", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), prefix], names=["doc_id", "key", "n", "bits", "prefix"])
 
-    return texts.mapInArrow(run, f"doc_id {kind}, key binary, n bigint, prefix array<bigint>")
+    return texts.mapInArrow(run, f"doc_id {kind}, key binary, n bigint, bits binary, prefix array<bigint>")
 
 
 def _whole_sets(texts: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """rep, key, elements (64-bit little-endian) of the documents in ``reps``."""
+    """rep, key, elements (64-bit little-endian), fine (bitmap) of the documents in ``reps``."""
     ids = reps.select(F.col("rep").alias("doc_id")).distinct()
     if reps.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -208,13 +234,58 @@ def _whole_sets(texts: DataFrame, reps: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
-            raw = [shingle_hashes(x.as_py(), words, known).tobytes() for x in batch.column(1)]
+            sets = [shingle_hashes(x.as_py(), words, known) for x in batch.column(1)]
+            raw = [x.tobytes() for x in sets]
             keys = [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in raw]
             if len(known) > _HELD:
                 known.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], names=["rep", "key", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(raw, pa.binary()), pa.array(map(fine_bitmap, sets), pa.binary())], names=["rep", "key", "elements", "fine"])
+
+    return texts.join(ids, "doc_id", "left_semi").mapInArrow(run, f"rep {kind}, key binary, elements binary, fine binary")
+
 
-    return texts.join(ids, "doc_id", "left_semi").mapInArrow(run, f"rep {kind}, key binary, elements binary")
+def _live(rows: DataFrame, percent: int) -> DataFrame:
+    """e, rep, n of the rows (e, rep, n, bits; groups of GROUP at most) that the bound leaves a partner in their group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            e, n = table.column("e").to_numpy(), table.column("n").to_numpy()
+            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, _BITMAP_WORDS)
+            live = np.zeros(len(e), bool)
+            starts = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
+            sizes = np.diff(np.append(starts, len(e)))
+            few = np.repeat(sizes <= 24, sizes)
+            for d in range(1, 24):
+                a = np.flatnonzero(few[:-d] & (e[:-d] == e[d:])) if d < len(e) else np.zeros(0, np.int64)
+                for at in range(0, len(a), 1 << 14):
+                    x = a[at : at + (1 << 14)]
+                    x = x[may_link(bits, bits, n, n, x, x + d, percent)]
+                    live[x] = live[x + d] = True
+            for start, k in zip(starts[sizes > 24], sizes[sizes > 24], strict=True):
+                order = start + np.argsort(n[start : start + k], kind="stable")
+                i, j = Tree(bits[order], n[order], np.arange(k)).pairs(percent)
+                live[order[i]] = live[order[j]] = True
+            yield from table.select(["e", "rep", "n"]).filter(pa.array(live)).combine_chunks().to_batches()
+
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size < 1 << 14:
+                continue
+            table = pa.Table.from_batches(held)
+            e = table.column("e").to_numpy()
+            cut_ = int(np.searchsorted(e, e[-1]))
+            yield from settle(table.slice(0, cut_))
+            held = table.slice(cut_).combine_chunks().to_batches()
+            size = sum(map(len, held))
+        if held:
+            yield from settle(pa.Table.from_batches(held))
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("e", "rep", "n", "bits").repartition(n, "e").sortWithinPartitions("e").mapInArrow(run, "e bigint, rep bigint, n bigint")
 
 
 def _links(rows: DataFrame, percent: int) -> DataFrame:
@@ -265,17 +336,25 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     short_batches(spark)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    own = cut(_sets(texts, words, percent, _common(texts, words)), "sets")
-    classes = cut(own.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("m")).select("key", F.col("m.doc_id").alias("rep"), "m.n", "m.prefix"), "classes")
+    wide = cut(_sets(texts, words, percent, _common(texts, words)), "sets")
+    own = cut(wide.select("doc_id", "key", "n"), "keys")
+    classes = cut(wide.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "bits", "prefix")).alias("m")).select("key", F.col("m.doc_id").alias("rep"), "m.n", "m.bits", "m.prefix"), "classes")
 
-    # Groups of first elements; of groups with the same members, one.
-    firsts = classes.select(F.explode("prefix").alias("e"), "rep", "n")
-    sums = firsts.groupBy("e").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.min("rep").alias("least")).where("k > 1")
+    discard(wide)
+
+    # Groups of first elements, but for those of one document; of groups with the same members, one.
+    firsts = classes.select(F.explode("prefix").alias("e"), "rep")
+    shared = firsts.groupBy("e").agg(F.count("*").alias("k")).where("k > 1").select("e")
+    several = cut(firsts.join(shared, "e", "left_semi"), "shared")
+    sums = several.groupBy("e").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.min("rep").alias("least"))
     groups = sums.groupBy("k", "x", "y", "least").agg(F.min("e").alias("e")).select("e", "k")
-    members = cut(firsts.join(groups, "e"), "members")
-    reps = members.groupBy("rep").agg(F.min("e").alias("e"))
-    # The bitmap by which the trees of the second round prune.
-    whole = cut(_with_bits(_whole_sets(texts, reps, words).join(classes.select("key", "rep", "n"), ["key", "rep"]).dropDuplicates(["key"]).drop("key")), "whole")
+    met = cut(several.join(groups, "e"), "met")
+    small = _live(met.where(F.col("k") <= group).join(classes.select("rep", "n", "bits"), "rep"), percent)
+    large = met.where(F.col("k") > group).join(classes.select("rep", "n"), "rep").select("e", "rep", "n")
+    live = cut(small.unionByName(large), "live")
+    members = live.join(live.groupBy("e").agg(F.count("*").alias("k")), "e")
+    reps = live.groupBy("rep").agg(F.min("e").alias("e"))
+    whole = cut(_whole_sets(texts, reps, words).join(classes.select("key", "rep"), ["key", "rep"]).dropDuplicates(["key"]).drop("key"), "whole")
 
     # First round: each document in one group, that of its least shared element.
     sizes = reps.groupBy("e").agg(F.count("*").alias("k"))
@@ -300,8 +379,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other = heads.select("e", *[F.col(c).alias(f"{c}_") for c in ("chunk", "c0", "c1", "low", "high")])
     near = (F.least("high", "high_") * 100 >= F.greatest("low", "low_") * percent) & ~((F.col("c0") == F.col("c1")) & (F.col("c0_") == F.col("c1_")) & (F.col("c0") == F.col("c0_")))
     jobs = heads.join(other, "e").where((F.col("chunk") <= F.col("chunk_")) & near).select(F.struct("e", "chunk", "chunk_").alias("task"), "e", F.explode(F.array_distinct(F.array("chunk", "chunk_"))).alias("chunk"))
-    rows = dealt.join(jobs, ["e", "chunk"]).select("task", "rep", "comp").join(whole.select("rep", "n", "bits"), "rep")
+    rows = dealt.join(jobs, ["e", "chunk"]).select("task", "rep", "comp").join(classes.select("rep", "n", "bits"), "rep")
     left = cut(_pairs(rows, percent).distinct(), "pairs")
+    one, two = (whole.select(F.col("rep").alias(c), F.col("fine").alias(f"e{c}"), (F.octet_length("elements") / 8).cast("bigint").alias(f"n{c}")) for c in "ab")
+    left = cut(_close(left.join(one, "a").join(two, "b"), percent), "close")
     one, two = (whole.select(F.col("rep").alias(c), F.col("elements").alias(f"e{c}")) for c in "ab")
     more = cut(_verified(left.join(one, "a").join(two, "b"), percent), "more")
     labels = components(links.unionAll(more))
@@ -311,15 +392,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return keyed.join(of, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _with_bits(sets: DataFrame) -> DataFrame:
+def _close(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, ea, eb, na, nb) that their fine bitmaps leave over."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("elements")
-            bits = [bitmap(np.frombuffer(x, np.int64)).tobytes() for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits, pa.binary())], names=[*batch.schema.names, "bits"])
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ea", "eb", "na", "nb")), strict=True)
+            out = [(a, b) for a, b, x, y, n, m in rows if fine_may_link(x, y, n, m, percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sets.schema.fields)
-    return sets.mapInArrow(run, f"{fields}, bits binary")
+    return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, percent: int) -> DataFrame:
