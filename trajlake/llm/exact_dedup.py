@@ -21,12 +21,15 @@ from pyspark.sql import functions as F
 from trajlake.llm.common import ascii_lower, cut
 
 BLOCK_CHARS = 2048
+#: Leading characters of blocks by which ranges are cut: what the driver samples for them is small.
+_RANGE_CHARS = 64
 
 
 def _named(values: DataFrame, tag: str) -> DataFrame:
     """Distinct rows of ``values`` with ``name``: integers in the rows' order."""
     cols = [F.col(c) for c in values.columns]
-    ranked = values.distinct().repartitionByRange(*cols).sortWithinPartitions(*cols)
+    ranges = [F.substring(F.col(c), 1, _RANGE_CHARS) if kind == "string" else F.col(c) for c, kind in values.dtypes]
+    ranked = values.distinct().repartitionByRange(*ranges).sortWithinPartitions(*cols)
     return cut(ranked.withColumn("name", F.monotonically_increasing_id()), tag)
 
 
