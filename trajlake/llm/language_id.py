@@ -28,7 +28,7 @@ SAMPLE_DOCS = 1500
 SEED = 7
 UNKNOWN = "und"
 #: A task's memory of words already scored.
-_WORDS, _HELD_BYTES = 400_000, 1 << 25
+_WORDS, _HELD_BYTES = 150_000, 1 << 24
 _CHUNK_BYTES = 1 << 21
 
 

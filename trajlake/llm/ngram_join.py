@@ -40,7 +40,7 @@ ORDER_DOCS = 4000
 _COMMON, _MOST_COMMON = 4, 200_000
 _BITMAP_WORDS = 32
 _FANOUT = 8
-_HELD = 300_000
+_HELD = 150_000
 #: As many ids as may be broadcast, of 8 bytes each.
 BROADCAST_IDS = 500_000
 
