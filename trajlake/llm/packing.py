@@ -11,6 +11,7 @@ s+1, ... at offset o"); the pieces find their run by their rank in Spark.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
@@ -25,9 +26,11 @@ from trajlake.llm.common import cut, short_batches
 
 CAPACITY = 4096
 END_ID = 1
-#: A task's memory of words already tokenized: so many at most, none longer than this.
-_WORDS, _LONGEST = 250_000, 64
-_SLICE_BYTES = 1 << 21
+#: A task's memory of words already tokenized: about so many at most, none longer than this.
+_WORDS, _LONGEST = 600_000, 64
+#: Latin letters that are their own NFC form, then punctuation other than the apostrophe and what special tokens begin with.
+_ENDS = frozenset([b".", b",", b";", b":", b"!", b"?"])
+_SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=?@\[-`{-~]*)")
 _CHUNKS = 512
 
 
@@ -149,35 +152,58 @@ def plan_runs(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(runs), dtype=np.int64).reshape(-1, 4)
 
 
-def word_encoder(tokenizer_file: str) -> Callable[[], Callable[[str], bytes]]:
-    """Makes, in a task, a function from a text to its ids as little-endian unsigned 32-bit numbers.
+def word_encoder(tokenizer_file: str) -> Callable[[], Callable[[list[str]], Iterator[bytes]]]:
+    """Makes, in a task, a function from texts to their ids as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and joins nothing across it, so words are encoded
-    one by one and remembered.
+    one by one and remembered. It also lower-cases, and cuts punctuation from letters:
+    a word of Latin letters with punctuation after it is put together from both, and
+    its letters go to the tokenizer's model directly.
     """
 
-    def start() -> Callable[[str], bytes]:
+    def start() -> Callable[[list[str]], Iterator[bytes]]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_file)
-        known: dict[bytes, bytes] = {}
-
-        def encode(text: str) -> bytes:
-            words = text.encode("utf-8", "replace").split()
-            new = list(set(words).difference(known))
-            if new:
-                for at in range(0, len(new), 20_000):
-                    part = new[at : at + 20_000]
-                    for w, e in zip(part, tokenizer.encode_batch([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-                        known[w] = np.array(e.ids, dtype="<u4").tobytes()
-            out = b"".join(map(known.__getitem__, words))
-            if len(known) > _WORDS:
-                known.clear()
-            else:
-                for w in new:
-                    if len(w) > _LONGEST:
-                        del known[w]
-            return out
+        model = tokenizer.model
+        # The byte-level alphabet: printable bytes stand for themselves, the n-th of the others for 256 + n.
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        alphabet = {x: 256 + n for n, x in enumerate(x for x in range(256) if x not in plain)}
+
+        def packed(ids: list[int]) -> bytes:
+            return np.array(ids, dtype="<u4").tobytes()
+
+        class Stems(dict):
+            def __missing__(self, raw: bytes) -> bytes:
+                out = packed([t.id for t in model.tokenize(raw.decode("latin-1").translate(alphabet))])
+                if len(raw) <= _LONGEST:
+                    self[raw] = out
+                return out
+
+        stems = Stems()
+
+        class Words(dict):
+            def __missing__(self, raw: bytes) -> bytes:
+                if raw.isalpha():
+                    out = stems[raw.lower()]
+                elif raw[:-1].isalpha() and raw[-1:] in _ENDS:
+                    out = stems[raw[:-1].lower()] + stems[raw[-1:]]
+                elif m := _SIMPLE.fullmatch(word := raw.decode("utf-8")):
+                    out = stems[m[1].lower().encode()] + (stems[m[2].encode()] if m[2] else b"")
+                else:
+                    out = packed(tokenizer.encode(word, add_special_tokens=False).ids)
+                if len(raw) <= _LONGEST:
+                    self[raw] = out
+                return out
+
+        words = Words()
+
+        def encode(texts: list[str]) -> Iterator[bytes]:
+            for known in (words, stems):
+                if len(known) > _WORDS:
+                    known.clear()
+            for text in texts:
+                yield b"".join(map(words.__getitem__, text.encode("utf-8", "replace").split()))
 
         return encode
 
@@ -195,8 +221,8 @@ def pieces(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_co
         encode, step = start(), 4 * capacity
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
+            for doc, own in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+                ids = own + end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
