@@ -107,6 +107,18 @@ def test_fingerprints(spark, rows):
     assert one[0]["near_next"] == 1
 
 
+@pytest.mark.parametrize("shingles", [1, 4, 8, 16, 40])
+def test_fingerprints_of_a_short_text_in_a_long_one(spark, shingles):
+    rng = np.random.default_rng(shingles)
+    long = [f"v{i}" for i in rng.permutation(3000)]
+    half = long[1000 : 1000 + shingles + 4] + [f"u{i}" for i in range(shingles + 4)]
+    table = [(1, " ".join(long[500 : 504 + shingles]), "en", "s"), (2, " ".join(long), "en", "s"), (3, " ".join(half), "en", "s"), (4, " ".join(long), "en", "s")]
+    out = {r["doc_id"]: r["near_next"] for r in collect(fingerprints(docs(spark, table)))}
+    true = shingles / (2 * shingles + 4)
+    assert out[1] == 1 and out[4] == 1
+    assert out[2] == out[3] == pytest.approx(true, abs=1e-9 if shingles < 16 else 0.25)
+
+
 HTML = "<html><head><title>T</title></head><body><div class=menu><a href=/>Home</a></div><div class='post-body p12'><h1>Head &amp; tail</h1><p>First  para&eacute; one<br>goes on and on.<p>Second, with <b>bold</b> text &lt;x&gt;.</div><div id='comments'><p>{}</p></div><aside>side</aside><footer>&copy; me</footer><script>var a = '<p>no</p>'</script></body></html>"
 
 

@@ -1,11 +1,13 @@
 """Document fingerprints by a threshold-scaled sketch.
 
 Of a text's shingles, every hash below a fixed fraction of the hash range is
-kept. Two sketches made with one fraction merge by union, and what they share,
+kept. Two sketches made with one fraction merge by union. A document with so few
+shingles that under LEAST of them fall below the fraction keeps its LEAST smallest
+ones, so only a text without words has an empty sketch. Sketches compare up to the
+lower of their two thresholds, where both hold every hash: what they share there,
 over the smaller of them, estimates how much of the smaller document the larger
-contains, however unequal they are. A document with so few shingles that under
-LEAST of them fall below the fraction keeps its LEAST smallest ones, so that
-short documents compare too and only a text without words has an empty sketch.
+contains, however unequal they are. Where that leaves under LEAST hashes, the
+smaller text is short, and all shingles of both texts are compared.
 """
 
 from __future__ import annotations
@@ -25,24 +27,38 @@ _BITS = 40
 _LONGEST_BUCKETS = 1024
 
 
-def sketch(text: Column, words: int = SHINGLE_WORDS, scale: int = SCALE) -> Column:
-    """Sorted distinct kept hashes (40 bits each) of the text's word shingles; null counts as empty.
+def hashes(text: Column, words: int = SHINGLE_WORDS) -> Column:
+    """Hashes (40 bits each) of all word shingles of the text, in its order; null counts as empty.
 
     Fewer words than a shingle has make one shingle.
     """
-    mask, limit = F.lit((1 << _BITS) - 1), F.lit((1 << _BITS) // scale)
+    mask = F.lit((1 << _BITS) - 1)
 
-    def hashes(w: Column) -> Column:
+    def each(w: Column) -> Column:
         n = F.size(w)
         runs = F.transform(F.sequence(F.lit(0), n - words), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(words)]).bitwiseAND(mask))
         return F.when(n == 0, w).when(n < words, F.array(F.xxhash64(w).bitwiseAND(mask))).otherwise(runs)
 
+    split = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    return let(F.transform(split, lambda x: F.xxhash64(x)), each)
+
+
+def sketch(text: Column, words: int = SHINGLE_WORDS, scale: int = SCALE) -> Column:
+    """Sorted distinct kept hashes of the text's word shingles."""
+    limit = F.lit((1 << _BITS) // scale)
+
     def kept(h: Column) -> Column:
         small = F.array_sort(F.array_distinct(F.filter(h, lambda x: x < limit)))
         return let(small, lambda s: F.when(F.size(s) >= LEAST, s).otherwise(F.slice(F.array_sort(F.array_distinct(h)), 1, LEAST)))
 
-    split = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    return let(let(F.transform(split, lambda x: F.xxhash64(x)), hashes), kept)
+    return let(hashes(text, words), kept)
+
+
+def threshold(kept: Column, scale: int = SCALE) -> Column:
+    """The largest hash up to which a sketch holds all hashes of its text; a sketch tells it itself."""
+    limit = (1 << _BITS) // scale
+    last = F.get(kept, F.size(kept) - 1)
+    return F.when(F.size(kept) < LEAST, F.lit((1 << _BITS) - 1)).when(last >= limit, last).otherwise(F.lit(limit - 1))
 
 
 def fingerprint(kept: Column) -> Column:
@@ -50,12 +66,29 @@ def fingerprint(kept: Column) -> Column:
     return F.array_join(F.transform(kept, lambda x: F.lpad(F.lower(F.hex(x)), _BITS // 4, "0")), "")
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Share of the smaller sketch that the other has; 1 for two empty ones, 0 if one is empty."""
+def _share(a: Column, b: Column) -> Column:
+    """Share of the smaller set that the other has; 1 for two empty ones, 0 if one is empty."""
     small = F.least(F.size(a), F.size(b))
     return F.when(small > 0, F.size(F.array_intersect(a, b)) / small).otherwise((F.size(a) == F.size(b)).cast("double"))
 
 
+def containment(a: Column, b: Column, text_a: Column, text_b: Column, words: int = SHINGLE_WORDS, scale: int = SCALE) -> Column:
+    """Share of the smaller text's shingles that the other has, from sketches ``a`` and ``b``.
+
+    Counted on all shingles where fewer than LEAST kept hashes can be compared.
+    """
+
+    def below(t: Column) -> Column:
+        return F.struct(F.filter(a, lambda x: x <= t).alias("a"), F.filter(b, lambda x: x <= t).alias("b"))
+
+    def whole() -> Column:
+        both = F.struct(F.array_distinct(hashes(text_a, words)).alias("a"), F.array_distinct(hashes(text_b, words)).alias("b"))
+        return let(both, lambda w: _share(w["a"], w["b"]))
+
+    pair = let(F.least(threshold(a, scale), threshold(b, scale)), below)
+    return let(pair, lambda k: F.when(F.least(F.size(k["a"]), F.size(k["b"])) >= LEAST, _share(k["a"], k["b"])).otherwise(whole()))
+
+
 def _buckets(ids: DataFrame, n: int) -> tuple[list, int]:
     cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
     return sorted(set(cuts or [])), n
@@ -113,7 +146,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("kept")).alias("fingerprint"),
         fingerprint(F.col("edited_kept")).alias("edited_fingerprint"),
-        containment(F.col("kept"), F.col("edited_kept")).alias("near_edited"),
-        containment(F.col("kept"), F.col("next_kept")).alias("near_next"),
+        containment(F.col("kept"), F.col("edited_kept"), F.col("text"), F.col("edited"), words, scale).alias("near_edited"),
+        containment(F.col("kept"), F.col("next_kept"), F.col("text"), F.col("next_text"), words, scale).alias("near_next"),
         F.size("kept").alias("n_kept"),
     )
