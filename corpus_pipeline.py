@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import ascii_lower, cut, scratch
+from trajlake.llm.common import cut, scratch
 from trajlake.llm.exact_dedup import exact_dedup
 from trajlake.llm.language_id import UNKNOWN, identify
 from trajlake.llm.mixing import mix_sources
@@ -16,39 +16,52 @@ from trajlake.llm.queries import tokenizer_file
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _one_of_each(docs: DataFrame, twins: DataFrame) -> DataFrame:
-    """``docs``; of rows with an id in ``twins``, one for each text up to case."""
-    if twins.isEmpty():
-        return docs
-    same = docs.join(twins, "doc_id", "left_semi").withColumn("_norm", F.sha2(ascii_lower(F.col("text")), 256)).dropDuplicates(["doc_id", "_norm"]).drop("_norm")
-    return docs.join(twins, "doc_id", "left_anti").select(docs.columns).unionByName(same)
+def _keyed(docs: DataFrame, tag: str) -> DataFrame:
+    """``docs``, written with ``_row``: a key of each row's own, as ids may repeat or be null."""
+    return cut(docs.withColumn("_row", F.monotonically_increasing_id()), tag)
+
+
+def _with_id(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with ``_id``: ids first, then rows."""
+    return keyed.withColumn("_id", F.struct("doc_id", "_row"))
+
+
+def _without(keyed: DataFrame, gone: DataFrame, tag: str) -> DataFrame:
+    """``keyed`` without the rows whose ``_row`` is in ``gone``, and without ``_row``."""
+    return keyed.join(cut(gone, tag), "_row", "left_anti").select(COLUMNS)
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts of no language: null ones and those without a letter."""
-    rejected = identify(docs).where(F.col("lang_pred") == UNKNOWN).select(F.col("doc_id").alias("rejected")).distinct()
-    return docs.join(cut(rejected, "rejected"), F.col("doc_id").eqNullSafe(F.col("rejected")), "left_anti")
+    keyed = _keyed(docs, "rows")
+    rejected = identify(keyed, id_col="_row").where(F.col("lang_pred") == UNKNOWN).select(F.col("doc_id").alias("_row"))
+    return _without(keyed, rejected, "rejected")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of equal texts, the document with the largest id."""
-    found = cut(exact_dedup(docs).where("not kept").select("doc_id", "keep_id"), "copies")
-    gone = found.where("doc_id is null or doc_id != keep_id").select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    return _one_of_each(left, found.where("doc_id = keep_id").select("doc_id").distinct())
+    """Keeps, of equal texts, the document with the largest id (a null one is the smallest), one row of it."""
+    keyed = _keyed(docs, "rows")
+    gone = exact_dedup(_with_id(keyed), id_col="_id").where("not kept").select("doc_id._row")
+    return _without(keyed, gone, "copies")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each component of near copies (five words, 0.8), the document with the smallest id."""
-    found = ngram_join(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(cut(found, "near"), "doc_id", "left_anti").select(docs.columns)
+    """Keeps, of each component of near copies (five words, 0.8), the document with the smallest id (a null one is the largest), one row of it."""
+    keyed = _keyed(docs, "rows")
+    found = ngram_join(keyed, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    moved = cut(found.where("_row != component_id"), "moved")
+    members = moved.unionByName(moved.select(F.col("component_id").alias("_row"), "component_id").distinct())
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row"))
+    best = members.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("best")).select("best._row")
+    return _without(keyed, members.select("_row").join(best, "_row", "left_anti"), "near")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the mix wants it: 0, 1 or 2 rows."""
-    copies = mix_sources(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    rows = docs.join(cut(copies, "copies"), "doc_id")
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    keyed = _keyed(docs, "rows")
+    copies = mix_sources(_with_id(keyed), id_col="_id", drawn_by=lambda key: key["doc_id"]).where("copies > 0").select("doc_id._row", "copies")
+    rows = keyed.join(cut(copies, "copies"), "_row")
+    return rows.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

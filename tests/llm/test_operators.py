@@ -392,3 +392,24 @@ def test_pipeline(spark, tmp_path):
     assert data.count() > 0.8 * len(left[2])
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == left[3]
+
+
+def test_pipeline_keeps_clean_rows_with_repeated_or_null_ids(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(13)
+    a, b, c, d, e, f = (words(rng, 80) for _ in range(6))
+    rows = [(1, a, "en", "s"), (1, "12 34", "en", "s"), (None, b, "en", "s"), (None, None, "en", "s"), (None, c, "en", "s"), (2, c.upper(), "en", "s"), (2, d, "en", "s"), (3, d, "en", "s")]
+    rows += [(4, e, "en", "s"), (5, e + " tail", "en", "s"), (5, f, "en", "s"), (None, f + " tail", "en", "s"), (6, f, "en", "s"), (6, f, "en", "s")]
+    data = docs(spark, rows).select(corpus_pipeline.COLUMNS)
+    left = []
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        data = stage(spark, data, "")
+        left.append(sorted(((r.doc_id or 0, r.text) for r in data.collect())))
+    first = sorted((r[0] or 0, r[1]) for r in rows if r[1] and "12 34" not in r[1])
+    second = sorted([(1, a), (0, b), (2, c.upper()), (3, d), (4, e), (5, e + " tail"), (0, f + " tail"), (6, f)])
+    third = sorted([(1, a), (0, b), (2, c.upper()), (3, d), (4, e), (6, f)])
+    assert left == [first, second, third]
+    many = docs(spark, [(None if i % 3 else i % 5, words(rng, 20), "en", "s") for i in range(200)]).select(corpus_pipeline.COLUMNS)
+    taken = Counter((r.doc_id, r.text) for r in corpus_pipeline.mixed(spark, many, "").collect())
+    assert sum(20 * n for n in taken.values()) == pytest.approx(1.5 * 200 * 20, abs=20) and set(taken.values()) == {1, 2} and len(taken) == 200

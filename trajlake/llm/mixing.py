@@ -51,13 +51,13 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return out.select("source", "source_size", "n", F.least("cap", F.coalesce(F.col("at") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def _meet(acc: Column, x: Column, height: int, seed: int) -> Column:
+def _meet(acc: Column, x: Column, height: int, seed: int, drawn_by) -> Column:
     """The pivotal step between the fraction that is carried along and the next one."""
     cur = acc["cur"]
     p1, s1, p2, s2 = cur["p"], cur["size"].cast("double"), x["p"], x["size"].cast("double")
     up = F.least((1 - p1) * s1, p2 * s2)  # words that may move to the carried document
     down = F.least(p1 * s1, (1 - p2) * s2)  # and away from it
-    gains = uniform(cur["doc_id"], x["doc_id"], cur["size"], x["size"], F.lit(height), F.lit(seed)) * (up + down) < down
+    gains = uniform(drawn_by(cur["doc_id"]), drawn_by(x["doc_id"]), cur["size"], x["size"], F.lit(height), F.lit(seed)) * (up + down) < down
 
     def item(y: Column, p: Column, extra: Column | int = 0) -> Column:
         return F.struct(y["doc_id"].alias("doc_id"), y["size"].alias("size"), (y["copies"] + extra).cast("int").alias("copies"), p.alias("p"))
@@ -76,13 +76,13 @@ def _meet(acc: Column, x: Column, height: int, seed: int) -> Column:
     return F.when(cur.isNull(), F.struct(x.alias("cur"), acc["out"].alias("out"))).otherwise(step)
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, fan_in: int = FAN_IN, seed: int = SEED) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, fan_in: int = FAN_IN, seed: int = SEED, drawn_by=lambda key: key) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
 
     ``size`` counts the words of the text (null: none); ``taken`` is ``copies * size``,
     with ``copies`` from 0 to ``most``. A document without words takes 0 words. The
     outcome depends on ids, sizes and ``seed`` alone, so reruns agree. Rows that repeat an id are documents of
-    their own. An empty table gives an empty result; other columns aren't read.
+    their own. The id may be a struct; ``drawn_by`` gives what of it decides. An empty table gives an empty result; other columns aren't read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     spec = _ITEM.format(id=kind)
@@ -103,17 +103,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups, height = F.ceil(F.col("n") / fan_in), 0
     left = ceil((most_docs or 1) / fan_in)
     while True:
-        group = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + height)), F.col("groups"))
+        group = F.pmod(F.xxhash64(drawn_by(F.col("doc_id")), "size", F.lit(seed + height)), F.col("groups"))
         dealt = open_.withColumn("groups", groups).withColumn("slot", group)
         lists = dealt.groupBy(*keys, "groups", "slot").agg(F.array_sort(F.collect_list(F.struct("doc_id", "size", "copies", "p"))).alias("items"))
         start = F.struct(F.lit(None).cast(spec).alias("cur"), F.expr(f"cast(array() as array<{spec}>)").alias("out"))
         h = height
-        folded = cut(lists.select(*keys, "groups", F.aggregate("items", start, lambda acc, x: _meet(acc, x, h, seed)).alias("s")), "fold")
+        folded = cut(lists.select(*keys, "groups", F.aggregate("items", start, lambda acc, x: _meet(acc, x, h, seed, drawn_by)).alias("s")), "fold")
         settled.append(folded.select(*keys, F.explode("s.out").alias("o")).select(*keys, "o.doc_id", "o.size", "o.copies"))
         rest = folded.select(*keys, F.col("groups").alias("n"), "s.cur.*")
         height += 1
         if left == 1:
-            last = F.col("copies") + (uniform(F.col("doc_id"), F.col("size"), F.lit(seed - 1)) < F.col("p")).cast("int")
+            last = F.col("copies") + (uniform(drawn_by(F.col("doc_id")), F.col("size"), F.lit(seed - 1)) < F.col("p")).cast("int")
             settled.append(rest.select(*keys, "doc_id", "size", last.alias("copies")))
             break
         whole = (F.col("p") < 1e-12) | (F.col("p") > 1 - 1e-12)
