@@ -373,6 +373,19 @@ def test_licences(spark):
     assert {k: r["family"] for k, r in out.items()} == {100: "MIT", 101: "CC-BY-NC", 104: "GPL"} and out[100]["paragraph"] == 1
 
 
+def test_licences_wrapped_and_two_in_a_line(spark):
+    import textwrap
+
+    from trajlake.llm.licenses import STATEMENTS
+
+    rng = np.random.default_rng(11)
+    plain = ["\n".join(words(rng, 12, EN) for _ in range(12)) for _ in range(60)]
+    table = [(i, t, "en", "s") for i, t in enumerate(plain)]
+    table += [(100, plain[0] + "\n" + "\n".join(textwrap.wrap(STATEMENTS["MIT"][3], 50)) + "\n" + plain[1], "en", "s"), (101, "Licensed under the MIT License. Licensed under the BSD 3-Clause License.", "en", "s")]
+    out = collect(scan(docs(spark, table)))
+    assert sorted((r["doc_id"], r["family"]) for r in out if r["family"] != "unknown") == [(100, "MIT"), (101, "BSD"), (101, "MIT")]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
