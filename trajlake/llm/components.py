@@ -26,3 +26,15 @@ def components(edges: DataFrame) -> DataFrame:
         if new.where("label != old").isEmpty():
             return new.select("v", "label")
         labels = new.select("v", "label")
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """v, label of the components of ``labels`` and ``links`` (a, b): links count between components, so few are left of them."""
+    if labels is None:
+        return components(links)
+    for c in "ab":
+        links = links.join(labels.select(F.col("v").alias(c), F.col("label").alias(f"of_{c}")), c, "left").withColumn(c, F.coalesce(f"of_{c}", c)).select("a", "b")
+    between = components(links).withColumnsRenamed({"v": "was", "label": "now"})
+    moved = labels.join(between, F.col("label") == F.col("was"), "left").select("v", F.coalesce("now", "label").alias("label"))
+    fresh = between.join(labels.select(F.col("v").alias("was")), "was", "left_anti").select(F.col("was").alias("v"), F.col("now").alias("label"))
+    return cut(moved.unionByName(fresh), "labels")

@@ -2,17 +2,23 @@
 
 Two sets can only be as similar as asked if they share one of the first few
 elements of each under any fixed order of all elements, so documents meet in the
-groups of their first elements. In a group a tree is built over its documents:
+groups of their first elements. The order puts what a sample shows to be common last; where
+a group is crowded all the same, the documents in it have all of their elements counted, and
+elements that crowd them move back, the more the later. The smaller of two similar sets even holds
+a shared one among fewer elements still; a group without such a member is left out. In a group
+trees are built over its documents:
 a node holds the OR and the AND of the token bitmaps below it and the range of their
 sizes. Pairs of nodes are followed down both sides, and dropped as soon as the
 largest overlap that the bitmaps and sizes leave possible is too small; what
-arrives at two documents is compared exactly.
+arrives at two documents is compared exactly. Bitmaps grow with the set, so long sets are told apart
+as well as short ones: one to two bits an element tell those who share nothing else, four to eight the rest.
 
 Documents with one set are one class from the start. Of a group, only members that
-the bound leaves a partner go on. Then a first round compares
-each class within a single group, and joins what it finds into components; the
-second looks only at groups that hold several components, and there only at pairs
-across them, so that a large group of near copies costs no pair for each two of
+the bound leaves a partner go on. Then come rounds: each class is compared within
+a single group, drawn anew in every round, and what is found joins components; a round
+looks only at groups that still hold several components. What is still
+mixed after them goes through the trees once more, only at pairs across components, so
+that a large group of near copies costs no pair for each two of
 them. A group too large for a task is cut into chunks of alike components, and
 pairs of chunks go down their trees in tasks of their own.
 """
@@ -26,21 +32,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trajlake.llm.common import cut, discard, short_batches
-from trajlake.llm.components import components
+from trajlake.llm.components import merged
 
 #: Members of a group, or of a chunk, that one task compares.
-GROUP = 384
-#: Documents of a large group that each of its chunks is compared with in the first round.
+GROUP = 256
+#: Documents of a large group that each of its chunks is compared with in a round.
 PIVOTS = 8
-#: Documents, about, whose elements are counted for the order: common ones come last.
-#: The order decides how large groups are, never what is found.
+#: Documents, about, whose elements are counted for the first order. It decides how large groups are, never what is found.
 ORDER_DOCS = 4000
 _COMMON, _MOST_COMMON = 4, 200_000
-_BITMAP_WORDS = 32
+#: Rounds at most before the trees look at all that is still mixed.
+ROUNDS = 3
+#: Bits of the smallest and the largest bitmap.
+_LEAST_BITS, _MOST_BITS = 1 << 9, 1 << 18
 _FANOUT = 8
 _HELD = 150_000
+#: Bytes of bitmaps that a step compares, and that a task holds, at once.
+_STEP_BYTES, _HELD_BYTES = 1 << 22, 1 << 24
 #: As many ids as may be broadcast, of 8 bytes each.
 BROADCAST_IDS = 500_000
 
@@ -72,31 +83,14 @@ def shingle_hashes(text: str | None, words: int, known: dict) -> np.ndarray:
     return np.unique((x * np.uint64(0xBF58476D1CE4E5B9) ^ x >> np.uint64(32)).astype(np.int64))
 
 
-def bitmap(elements: np.ndarray) -> np.ndarray:
-    bits = np.zeros(_BITMAP_WORDS * 64, bool)
-    bits[(elements >> 7) & (_BITMAP_WORDS * 64 - 1)] = True
-    return np.packbits(bits).view(np.uint64)
-
-
-def fine_bitmap(elements: np.ndarray) -> bytes:
-    """Four to eight bits for each element, a power of two of them; the lower half of a size is the OR of its halves."""
-    size = 1 << max(9, int(4 * len(elements) - 1).bit_length())
+def bitmap(elements: np.ndarray, each: int = 4) -> bytes:
+    """From ``each`` to twice as many bits for each element, a power of two of them; the lower half of a size is the OR of its halves."""
+    size = min(_MOST_BITS, max(_LEAST_BITS, 1 << int(max(each * len(elements), 2) - 1).bit_length()))
     bits = np.zeros(size, bool)
     bits[elements & (size - 1)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def fine_may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
-    """Whether sets of ``n`` and ``m`` elements can be similar, given their fine bitmaps."""
-    a, b = (np.frombuffer(v, np.uint64) for v in (x, y))
-    while len(a) > len(b):
-        a = a[: len(a) // 2] | a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] | b[len(b) // 2 :]
-    most = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
-    return (100 + percent) * most >= percent * (n + m)
-
-
 def required(n: int, percent: int) -> int:
     """The least overlap that a set of ``n`` needs with any similar one."""
     return -(-percent * n // 100)
@@ -112,47 +106,77 @@ def may_link(some: np.ndarray, every: np.ndarray, low: np.ndarray, high: np.ndar
 
 
 class Tree:
-    """Levels of nodes, leaves first: OR and AND bitmaps, size ranges, component (-1: several)."""
+    """Levels of nodes, leaves first: OR and AND bitmaps, size ranges, component and side (-1: several)."""
 
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
-        self.levels = [(bits, bits, sizes, sizes, labels)]
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sides: np.ndarray):
+        self.levels = [(bits, bits, sizes, sizes, labels, sides)]
         while len(self.levels[-1][0]) > 1:
-            some, every, low, high, label = self.levels[-1]
+            some, every, low, high, *marks = self.levels[-1]
             at = np.arange(0, len(some), _FANOUT)
-            first, last = np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
-            self.levels.append((np.bitwise_or.reduceat(some, at), np.bitwise_and.reduceat(every, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.where(first == last, first, -1)))
+            one = [np.where(np.minimum.reduceat(x, at) == np.maximum.reduceat(x, at), x[at], -1) for x in marks]
+            self.levels.append((np.bitwise_or.reduceat(some, at), np.bitwise_and.reduceat(every, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), *one))
 
     def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Leaf pairs i < j of different components that may be similar: both sides descend together."""
+        """Leaf pairs i < j of different components and sides that may be similar: both sides descend together."""
+        step = max(64, _STEP_BYTES // (8 * self.levels[0][0].shape[1]))
         i = j = np.zeros(1, np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
-            some, every, low, high, label = self.levels[depth]
+            some, every, low, high, label, side = self.levels[depth]
             if depth < len(self.levels) - 1:
                 kids = np.arange(_FANOUT)
                 i, j = (x.ravel() for x in np.broadcast_arrays(i[:, None, None] * _FANOUT + kids[:, None], j[:, None, None] * _FANOUT + kids))
                 use = (i < len(some)) & (j < len(some)) & (i <= j)
                 i, j = i[use], j[use]
-            keep = np.zeros(len(i), bool)
-            for at in range(0, len(i), 1 << 14):
-                a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-                possible = may_link(some, every, low, high, a, b, percent)
-                alike = (label[a] == label[b]) & (label[a] >= 0)
-                keep[at : at + (1 << 14)] = possible & ~alike
+            keep = ~((label[i] == label[j]) & (label[i] >= 0)) & ~((side[i] == side[j]) & (side[i] >= 0))
+            keep &= (100 + percent) * np.minimum(high[i], high[j]) >= percent * (low[i] + low[j])
             if not depth:
                 keep &= i < j
             i, j = i[keep], j[keep]
+            keep = np.zeros(len(i), bool)
+            for at in range(0, len(i), step):
+                keep[at : at + step] = may_link(some, every, low, high, i[at : at + step], j[at : at + step], percent)
+            i, j = i[keep], j[keep]
         return i, j
 
 
+def candidates(bits: list[bytes], sizes: np.ndarray, labels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different labels (from 0 on) that sizes and bitmaps leave possible; sets come in order of size.
+
+    Sets with bitmaps of one length share a tree; those of two lengths meet in one more, over the shorter length.
+    """
+    lengths = np.array([len(x) for x in bits])
+    kinds = np.unique(lengths)
+    whole = {k: np.frombuffer(b"".join(bits[x] for x in np.flatnonzero(lengths == k)), np.uint64).reshape(-1, k // 8) for k in kinds}
+    left, right = [], []
+    for k in kinds:
+        own = np.flatnonzero(lengths == k)
+        i, j = Tree(whole[k], sizes[own], labels[own], np.full(len(own), -1)).pairs(percent)
+        left.append(own[i])
+        right.append(own[j])
+        for m in kinds[kinds > k]:
+            far = np.flatnonzero(lengths == m)
+            a = 100 * sizes[own] >= percent * sizes[far[0]]
+            b = percent * sizes[far] <= 100 * sizes[own[-1]]
+            if a.any() and b.any():
+                folded = np.bitwise_or.reduce(whole[m][b].reshape(-1, m // k, k // 8), axis=1)
+                both = np.concatenate([own[a], far[b]])
+                i, j = Tree(np.concatenate([whole[k][a], folded]), sizes[both], labels[both], np.repeat([0, 1], [a.sum(), b.sum()])).pairs(percent)
+                left.append(both[i])
+                right.append(both[j])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = np.intersect1d(a, b, assume_unique=True).size
     return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
 
 
-def compare(ids: list[int], sets: list[np.ndarray], percent: int, pivots: int = 0) -> list[tuple[int, int]]:
-    """Spanning links of a group: of all its similar pairs, enough to connect what they connect."""
+def compare(ids: list[int], sets: list[np.ndarray], percent: int, labels: list[int] | None = None) -> list[tuple[int, int]]:
+    """Spanning links of a group: of all its similar pairs, enough to connect what they connect, given what ``labels`` connect."""
     order = sorted(range(len(ids)), key=lambda x: (len(sets[x]), ids[x]))
-    up = list(range(len(order)))
+    first: dict[int, int] = {}
+    up = [first.setdefault(labels[x] if labels else ids[x], k) for k, x in enumerate(order)]
+    apart = len(first)
 
     def root(x: int) -> int:
         while up[x] != x:
@@ -163,25 +187,26 @@ def compare(ids: list[int], sets: list[np.ndarray], percent: int, pivots: int =
     out = []
 
     def check(x: int, y: int) -> None:
+        nonlocal apart
         p, q = root(x), root(y)
         if p != q and linked(sets[order[x]], sets[order[y]], percent):
             up[max(p, q)] = min(p, q)
+            apart -= 1
             out.append((ids[order[x]], ids[order[y]]))
 
     middle = len(order) // 2
     for x in range(len(order)):
         check(middle, x)
-    if len(out) < len(order) - 1:
-        tree = Tree(np.stack([bitmap(sets[x]) for x in order]), np.array([len(sets[x]) for x in order]), np.array([root(x) for x in range(len(order))]))
-        for x, y in zip(*(v.tolist() for v in tree.pairs(percent)), strict=True):
+    if apart > 1:
+        roots = np.array([root(x) for x in range(len(order))])
+        for x, y in zip(*(v.tolist() for v in candidates([bitmap(sets[x]) for x in order], np.array([len(sets[x]) for x in order]), roots, percent)), strict=True):
             check(x, y)
     return out
 
 
 def _common(texts: DataFrame, words: int) -> np.ndarray:
     """Elements (row 0) that occur often among about ORDER_DOCS documents, and how often (row 1), sorted by element."""
-    n = texts.count()
-    share = min(1.0, ORDER_DOCS / max(n, 1))
+    share = min(1.0, ORDER_DOCS / max(texts.count(), 1))
     drawn = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,52 +221,97 @@ def _common(texts: DataFrame, words: int) -> np.ndarray:
     return table[:, np.argsort(table[0])]
 
 
+def _often(e: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """How often ``common`` has seen each element."""
+    if not common.shape[1]:
+        return np.zeros(len(e), np.int64)
+    at = np.minimum(np.searchsorted(common[0], e), common.shape[1] - 1)
+    return np.where(common[0][at] == e, common[1][at], 0)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays]), pa.int64()))
+
+
+def _key(elements: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest() if len(elements) else None
+
+
 def _sets(texts: DataFrame, words: int, percent: int, common: np.ndarray) -> DataFrame:
-    """doc_id, key (digest of the set), n, bits, prefix: the elements by which a similar set can be found."""
+    """rid, doc_id, key (digest of the set), n, bits, prefix: the first elements, by which a similar set can be found."""
     shared = texts.sparkSession.sparkContext.broadcast(common)
-    kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = _Hashes(), shared.value
+        known = _Hashes()
         for batch in batches:
-            keys, sizes, first, bits = [], [], [], []
-            for text in batch.column(1):
+            keys, sizes, bits, first = [], [], [], []
+            for text in batch.column(2):
                 e = shingle_hashes(text.as_py(), words, known)
-                n = len(e)
-                keys.append(hashlib.blake2b(e.tobytes(), digest_size=16).digest() if n else None)
-                sizes.append(n)
-                bits.append(bitmap(e).tobytes())
-                if often.shape[1] and n:
-                    at = np.minimum(np.searchsorted(often[0], e), often.shape[1] - 1)
-                    e = e[np.argsort(np.where(often[0][at] == e, often[1][at], 0), kind="stable")]
-                first.append(e[: n - required(n, percent) + 1] if n else e)
+                keys.append(_key(e))
+                sizes.append(len(e))
+                bits.append(bitmap(e, 1))
+                first.append(e[np.argsort(_often(e, shared.value), kind="stable")][: len(e) - required(len(e), percent) + 1])
                 if len(known) > _HELD:
                     known.clear()
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), prefix], names=["doc_id", "key", "n", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), _lists(first)], names=["rid", "doc_id", "key", "n", "bits", "prefix"])
 
-    return texts.mapInArrow(run, f"doc_id {kind}, key binary, n bigint, bits binary, prefix array<bigint>")
+    return texts.mapInArrow(run, "rid bigint, doc_id bigint, key binary, n bigint, bits binary, prefix array<bigint>")
 
 
-def _whole_sets(texts: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """rep, key, elements (64-bit little-endian), fine (bitmap) of the documents in ``reps``."""
-    ids = reps.select(F.col("rep").alias("doc_id")).distinct()
-    if reps.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    kind = texts.schema["doc_id"].dataType.simpleString()
+def _of(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is in ``ids``, a written table of distinct ids."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+
+
+def _whole(texts: DataFrame, reps: DataFrame, heads: DataFrame, words: int, common: np.ndarray) -> DataFrame:
+    """rep, elements, often (what ``common`` says of each), bits of the classes in ``reps``, a written table of rep."""
+    shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
             sets = [shingle_hashes(x.as_py(), words, known) for x in batch.column(1)]
-            raw = [x.tobytes() for x in sets]
-            keys = [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in raw]
             if len(known) > _HELD:
                 known.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(raw, pa.binary()), pa.array(map(fine_bitmap, sets), pa.binary())], names=["rep", "key", "elements", "fine"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_key, sets), pa.binary()), _lists(sets), _lists([_often(e, shared.value) for e in sets]), pa.array(map(bitmap, sets), pa.binary())], names=["rep", "key", "elements", "often", "bits"])
 
-    return texts.join(ids, "doc_id", "left_semi").mapInArrow(run, f"rep {kind}, key binary, elements binary, fine binary")
+    asked = _of(texts.select(F.col("doc_id").alias("rep"), "text"), reps, "rep")
+    found = asked.mapInArrow(run, "rep bigint, key binary, elements array<bigint>, often array<bigint>, bits binary")
+    return found.join(heads.select("key", "rep"), ["key", "rep"]).dropDuplicates(["key"]).drop("key")
+
+
+def _members(firsts: DataFrame, texts: DataFrame, heads: DataFrame, words: int, percent: int, group: int, common: np.ndarray) -> DataFrame:
+    """``firsts`` (e, rep, n) under an order in which elements that crowd a group come later, by how many sets hold them.
+
+    Only sets with such an element among their first ones get others, so the order is one for all.
+    """
+    crowded = cut(firsts.groupBy("e").agg(F.count("*").alias("k")).where(F.col("k") > group), "crowded")
+    if crowded.isEmpty():
+        return firsts
+    within = cut(firsts.join(crowded, "e").select("rep").distinct(), "within")
+    each = _whole(texts, within, heads, words, common).select(F.explode("elements").alias("e"))
+    late = crowded.unionAll(each.groupBy("e").agg(F.count("*").alias("k")).where(F.col("k") > group)).groupBy("e").agg(F.max("k").alias("late"))
+    late = cut(late, "late")
+    moved = cut(firsts.join(late, "e", "left_semi").select("rep").distinct(), "moved")
+    again = _whole(texts, moved, heads, words, common).select("rep", F.size("elements").alias("n"), F.explode(F.arrays_zip("elements", "often")).alias("x"))
+    again = again.select("rep", "n", F.col("x.elements").alias("e"), F.col("x.often").alias("often")).join(late, "e", "left")
+    order = Window.partitionBy("rep").orderBy("often", F.coalesce("late", F.lit(0)), "e")
+    again = again.withColumn("n", F.col("n").cast("bigint")).withColumn("at", (F.row_number().over(order) - 1).cast("bigint"))
+    again = again.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).select("e", "rep", "n", _early(percent))
+    return _shared(firsts.join(moved, "rep", "left_anti").select("e", "rep", "n", "early").unionByName(again))
+
+
+def _early(percent: int) -> Column:
+    """Whether the element at place ``at`` of a set of ``n`` is one of those that the smaller of two similar sets must share."""
+    return (F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent))).cast("bigint").alias("early")
+
+
+def _shared(firsts: DataFrame) -> DataFrame:
+    """Rows (e, rep, n, early) of elements that several sets hold, one of them early."""
+    both = F.sum(F.col("early") * (1 << 32) + 1)
+    kept = firsts.groupBy("e").agg(both.alias("k")).where((F.col("k") > 1 << 32) & (F.col("k") % (1 << 32) > 1)).select("e")
+    return firsts.join(kept, "e", "left_semi")
 
 
 def _live(rows: DataFrame, percent: int) -> DataFrame:
@@ -249,38 +319,30 @@ def _live(rows: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
 
         def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            e, n = table.column("e").to_numpy(), table.column("n").to_numpy()
-            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, _BITMAP_WORDS)
+            table = table.sort_by([("e", "ascending"), ("n", "ascending")])
+            e, n, bits = table.column("e").to_numpy(), table.column("n").to_numpy(), table.column("bits").to_pylist()
             live = np.zeros(len(e), bool)
             starts = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
-            sizes = np.diff(np.append(starts, len(e)))
-            few = np.repeat(sizes <= 24, sizes)
-            for d in range(1, 24):
-                a = np.flatnonzero(few[:-d] & (e[:-d] == e[d:])) if d < len(e) else np.zeros(0, np.int64)
-                for at in range(0, len(a), 1 << 14):
-                    x = a[at : at + (1 << 14)]
-                    x = x[may_link(bits, bits, n, n, x, x + d, percent)]
-                    live[x] = live[x + d] = True
-            for start, k in zip(starts[sizes > 24], sizes[sizes > 24], strict=True):
-                order = start + np.argsort(n[start : start + k], kind="stable")
-                i, j = Tree(bits[order], n[order], np.arange(k)).pairs(percent)
-                live[order[i]] = live[order[j]] = True
+            for a, b in zip(starts, np.append(starts[1:], len(e)), strict=True):
+                if b - a == 2:
+                    # Most groups are pairs: the size alone settles many of them.
+                    live[a:b] = 100 * n[a] >= percent * n[a + 1] and len(candidates(bits[a:b], n[a:b], np.arange(2), percent)[0]) > 0
+                else:
+                    i, j = candidates(bits[a:b], n[a:b], np.arange(b - a), percent)
+                    live[a + i] = live[a + j] = True
             yield from table.select(["e", "rep", "n"]).filter(pa.array(live)).combine_chunks().to_batches()
 
         for batch in batches:
             held.append(batch)
-            size += len(batch)
-            if size < 1 << 14:
+            if sum(x.nbytes for x in held) < _HELD_BYTES:
                 continue
             table = pa.Table.from_batches(held)
             e = table.column("e").to_numpy()
             cut_ = int(np.searchsorted(e, e[-1]))
             yield from settle(table.slice(0, cut_))
             held = table.slice(cut_).combine_chunks().to_batches()
-            size = sum(map(len, held))
         if held:
             yield from settle(pa.Table.from_batches(held))
 
@@ -288,31 +350,29 @@ def _live(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("e", "rep", "n", "bits").repartition(n, "e").sortWithinPartitions("e").mapInArrow(run, "e bigint, rep bigint, n bigint")
 
 
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [x for chunk in column.chunks for x in np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())[:-1])]
+
+
 def _links(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b from (task, rep, elements): spanning links within each task's rows."""
+    """a, b from (task, rep, comp, elements): links within each task's rows that connect what isn't yet."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids = table.column("rep").to_pylist()
-        sets = [np.frombuffer(x, np.int64) for x in table.column("elements").to_pylist()]
-        unique = dict(zip(ids, sets, strict=True))
-        out = compare(list(unique), list(unique.values()), percent) if len(unique) > 1 else []
+        ids, comp = table.column("rep").to_pylist(), table.column("comp").to_pylist()
+        out = compare(ids, _arrays(table.column("elements")), percent, comp) if len(ids) > 1 else []
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return rows.select("task", "rep", "elements").groupBy("task").applyInArrow(run, "a bigint, b bigint")
+    return rows.select("task", "rep", "comp", "elements").groupBy("task").applyInArrow(run, "a bigint, b bigint")
 
 
 def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     """a, b from (task, rep, n, bits, comp): pairs across components that the tree leaves over."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        order = np.lexsort((table.column("rep").to_numpy(), table.column("n").to_numpy()))
-        table = table.take(pa.array(order))
-        ids, comp = table.column("rep").to_numpy(), table.column("comp").to_numpy()
-        labels = np.unique(comp, return_inverse=True)[1]
-        bits = np.stack([np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()])
-        i, j = Tree(bits, table.column("n").to_numpy(), labels).pairs(percent)
-        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        table = table.sort_by([("n", "ascending"), ("rep", "ascending")])
+        ids, labels = table.column("rep").to_numpy(), np.unique(table.column("comp").to_numpy(), return_inverse=True)[1]
+        i, j = candidates(table.column("bits").to_pylist(), table.column("n").to_numpy(), labels, percent)
+        return pa.table({"a": pa.array(np.minimum(ids[i], ids[j]), pa.int64()), "b": pa.array(np.maximum(ids[i], ids[j]), pa.int64())})
 
     return rows.select("task", "rep", "n", "bits", "comp").groupBy("task").applyInArrow(run, "a bigint, b bigint")
 
@@ -322,6 +382,26 @@ def _chunked(members: DataFrame, group: Column, by: Column, size: Column, most:
     return members.withColumn("chunk", F.pmod(F.xxhash64(group, by, F.lit(3)), F.greatest(F.ceil(size / most), F.lit(1))))
 
 
+def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """e, k, rep, n, comp of the groups in ``members`` that hold several components under ``labels`` (v, label)."""
+    if labels is None:
+        return members.withColumn("comp", F.col("rep"))
+    labelled = members.join(labels.select(F.col("v").alias("rep"), F.col("label").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    labelled = cut(labelled.select("e", "k", "rep", "n", "comp"), "labelled")
+    mixed = labelled.groupBy("e").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("e")
+    return labelled.join(mixed, "e")
+
+
+def _round(open_: DataFrame, whole: DataFrame, percent: int, group: int, seed: int) -> DataFrame:
+    """a, b: links found by comparing each set of ``open_`` within one of its groups, drawn by ``seed``."""
+    drawn = open_.groupBy("rep", "comp").agg(F.min(F.struct(F.xxhash64("e", F.lit(seed)).alias("by"), "e")).alias("m")).select("rep", "comp", "m.e")
+    placed = _chunked(drawn.join(drawn.groupBy("e").agg(F.count("*").alias("k")).where("k > 1"), "e"), F.col("e"), F.col("rep"), F.col("k"), group)
+    picked = placed.where(F.pmod(F.xxhash64("rep", "e", F.lit(5)), F.greatest(F.floor(F.col("k") / PIVOTS), F.lit(1))) == 0).where(F.col("k") > group)
+    spread = picked.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("k") / group) - 1)))
+    tasks = cut(placed.unionByName(spread).select(F.struct("e", "chunk").alias("task"), "rep", "comp").distinct(), "tasks")
+    return cut(_links(whole.join(F.broadcast(tasks) if tasks.count() <= BROADCAST_IDS else tasks, "rep"), percent), "links")
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, group: int = GROUP) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -335,80 +415,62 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     short_batches(spark)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    wide = cut(_sets(texts, words, percent, _common(texts, words)), "sets")
-    own = cut(wide.select("doc_id", "key", "n"), "keys")
-    classes = cut(wide.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "bits", "prefix")).alias("m")).select("key", F.col("m.doc_id").alias("rep"), "m.n", "m.bits", "m.prefix"), "classes")
-
-    discard(wide)
+    texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    common = _common(texts, words)
+    sets = cut(_sets(texts, words, percent, common), "sets")
+    own = cut(sets.select("doc_id", "key", "n"), "own")
+    heads = cut(sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "rid")).alias("m")).select("key", F.col("m.doc_id").alias("rep"), "m.rid"), "heads")
+    classes = cut(_of(sets, heads.select("rid"), "rid").select(F.col("doc_id").alias("rep"), "n", "bits", "prefix"), "classes")
+    discard(sets)
 
     # Groups of first elements, but for those of one document; of groups with the same members, one.
-    firsts = classes.select(F.explode("prefix").alias("e"), "rep")
-    shared = firsts.groupBy("e").agg(F.count("*").alias("k")).where("k > 1").select("e")
-    several = cut(firsts.join(shared, "e", "left_semi"), "shared")
-    sums = several.groupBy("e").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.min("rep").alias("least"))
+    firsts = classes.select(F.posexplode("prefix").alias("at", "e"), "rep", "n").select("e", "rep", "n", _early(percent))
+    firsts = cut(_members(cut(_shared(firsts), "shared"), texts, heads, words, percent, group, common), "firsts")
+    sums = firsts.groupBy("e").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.min("rep").alias("least")).where("k > 1")
     groups = sums.groupBy("k", "x", "y", "least").agg(F.min("e").alias("e")).select("e", "k")
-    met = cut(several.join(groups, "e"), "met")
-    small = _live(met.where(F.col("k") <= group).join(classes.select("rep", "n", "bits"), "rep"), percent)
-    large = met.where(F.col("k") > group).join(classes.select("rep", "n"), "rep").select("e", "rep", "n")
-    live = cut(small.unionByName(large), "live")
-    members = live.join(live.groupBy("e").agg(F.count("*").alias("k")), "e")
-    reps = live.groupBy("rep").agg(F.min("e").alias("e"))
-    whole = cut(_whole_sets(texts, reps, words).join(classes.select("key", "rep"), ["key", "rep"]).dropDuplicates(["key"]).drop("key"), "whole")
-
-    # First round: each document in one group, that of its least shared element.
-    sizes = reps.groupBy("e").agg(F.count("*").alias("k"))
-    placed = _chunked(reps.join(sizes, "e"), F.col("e"), F.col("rep"), F.col("k"), group)
-    picked = placed.where(F.pmod(F.xxhash64("rep", "e", F.lit(5)), F.greatest(F.floor(F.col("k") / PIVOTS), F.lit(1))) == 0).where(F.col("k") > group)
-    spread = picked.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("k") / group) - 1)))
-    tasks = placed.unionByName(spread).select(F.struct("e", "chunk").alias("task"), "rep").distinct()
-    links = cut(_links(tasks.join(whole, "rep"), percent), "links")
-    found = components(links)
-
-    # Second round: groups of several components, without their elements; what the trees leave is compared exactly.
-    labelled = cut(members.join(found.select(F.col("v").alias("rep"), F.col("label").alias("comp")), "rep", "left").select("e", "k", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "labelled")
-    mixed = labelled.groupBy("e").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("e")
-    open_ = labelled.join(mixed, "e")
+    met = cut(firsts.join(groups, "e"), "met")
+    small = _live(met.where(F.col("k") <= group).join(classes.select("rep", "bits"), "rep"), percent)
+    live = cut(small.unionByName(met.where(F.col("k") > group).select("e", "rep", "n")), "live")
+    members = cut(live.join(live.groupBy("e").agg(F.count("*").alias("k")), "e"), "members")
+    reps = cut(live.select("rep").distinct(), "reps")
+    whole = cut(_whole(texts, reps, heads, words, common).drop("often"), "whole")
+
+    labels = None
+    for seed in range(ROUNDS):
+        links = _round(_mixed(members, labels), whole.select("rep", "elements"), percent, group, seed)
+        if links.isEmpty():
+            break
+        labels = merged(labels, links)
+
+    # What is mixed still, without its elements; what the trees leave is compared exactly.
+    open_ = _mixed(members, labels)
     shares = open_.groupBy("e", "comp").agg(F.count("*").alias("own"), F.min("k").alias("k"))
     large = F.col("own") > group / 2
     shares = shares.withColumn("pool", F.when(F.col("k") <= group, F.lit(0)).when(large, F.xxhash64("comp")).otherwise(F.lit(0)))
     within = F.when(F.col("pool") == 0, F.col("k")).otherwise(F.col("own"))
     dealt = open_.drop("k").join(shares, ["e", "comp"])
     dealt = cut(_chunked(dealt, F.col("e"), F.when(F.col("pool") == 0, F.col("comp")).otherwise(F.col("rep")), within, group).withColumn("chunk", F.struct("pool", "chunk")), "dealt")
-    heads = dealt.groupBy("e", "chunk").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("low"), F.max("n").alias("high"))
-    other = heads.select("e", *[F.col(c).alias(f"{c}_") for c in ("chunk", "c0", "c1", "low", "high")])
+    heads_ = dealt.groupBy("e", "chunk").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("low"), F.max("n").alias("high"))
+    other = heads_.select("e", *[F.col(c).alias(f"{c}_") for c in ("chunk", "c0", "c1", "low", "high")])
     near = (F.least("high", "high_") * 100 >= F.greatest("low", "low_") * percent) & ~((F.col("c0") == F.col("c1")) & (F.col("c0_") == F.col("c1_")) & (F.col("c0") == F.col("c0_")))
-    jobs = heads.join(other, "e").where((F.col("chunk") <= F.col("chunk_")) & near).select(F.struct("e", "chunk", "chunk_").alias("task"), "e", F.explode(F.array_distinct(F.array("chunk", "chunk_"))).alias("chunk"))
-    rows = dealt.join(jobs, ["e", "chunk"]).select("task", "rep", "comp").join(classes.select("rep", "n", "bits"), "rep")
+    jobs = heads_.join(other, "e").where((F.col("chunk") <= F.col("chunk_")) & near).select(F.struct("e", "chunk", "chunk_").alias("task"), "e", F.explode(F.array_distinct(F.array("chunk", "chunk_"))).alias("chunk"))
+    rows = dealt.join(jobs, ["e", "chunk"]).select("task", "rep", "n", "comp").join(whole.select("rep", "bits"), "rep")
     left = cut(_pairs(rows, percent).distinct(), "pairs")
-    one, two = (whole.select(F.col("rep").alias(c), F.col("fine").alias(f"e{c}"), (F.octet_length("elements") / 8).cast("bigint").alias(f"n{c}")) for c in "ab")
-    left = cut(_close(left.join(one, "a").join(two, "b"), percent), "close")
     one, two = (whole.select(F.col("rep").alias(c), F.col("elements").alias(f"e{c}")) for c in "ab")
-    more = cut(_verified(left.join(one, "a").join(two, "b"), percent), "more")
-    labels = components(links.unionAll(more))
+    labels = merged(labels, cut(_verified(left.join(one, "a").join(two, "b"), percent), "more"))
 
-    of = classes.select("key", "rep").join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("key", F.coalesce("label", "rep").alias("component"))
+    of = heads.select("key", "rep").join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("key", F.coalesce("label", "rep").alias("component"))
     keyed = own.select("doc_id", "n", F.coalesce("key", F.concat(F.lit("none").cast("binary"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).alias("key"))
     return keyed.join(of, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _close(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, ea, eb, na, nb) that their fine bitmaps leave over."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ea", "eb", "na", "nb")), strict=True)
-            out = [(a, b) for a, b, x, y, n, m in rows if fine_may_link(x, y, n, m, percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
-
-    return pairs.mapInArrow(run, "a bigint, b bigint")
-
-
 def _verified(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, ea, eb) whose sets link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ea", "eb")), strict=True)
-            out = [(a, b) for a, b, x, y in rows if linked(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+            sets = (_arrays(pa.chunked_array([batch.column(c)])) for c in ("ea", "eb"))
+            found = pa.array([linked(x, y, percent) for x, y in zip(*sets, strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(found)
 
     return pairs.mapInArrow(run, "a bigint, b bigint")
