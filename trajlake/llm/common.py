@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Keys, at most, that ``join_uneven`` takes for hot; a hot key has more rows than HOT_ROWS.
+HOT_KEYS, HOT_ROWS = 2000, 64
 #: Most rows of one Arrow batch that goes to Python: texts may be long.
 BATCH_ROWS = 256
 
@@ -45,6 +47,24 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def join_uneven(rows: DataFrame, side: DataFrame, keys: list[str], times: str, salt: Column, broadcast_rows: int = 0) -> DataFrame:
+    """``rows`` with what ``side``, a written table of distinct ``keys``, has for them, or null.
+
+    ``times`` says how many of ``rows`` have a key. Keys of more than a HOT_KEYS-th of all rows are
+    broadcast, and their rows are spread by ``salt`` through the join of all others, so no
+    key fills a task. A ``side`` of ``broadcast_rows`` at most is broadcast whole.
+    """
+    if broadcast_rows and side.count() <= broadcast_rows:
+        return rows.join(F.broadcast(side), keys, "left")
+    least = max(HOT_ROWS, (side.agg(F.sum(times)).first()[0] or 0) // HOT_KEYS)
+    values = [c for c in side.columns if c not in keys]
+    hot = side.where(F.col(times) > least).select(*keys, F.struct(*values).alias("_hot"))
+    cold = side.where(F.col(times) <= least).select(*keys, F.lit(0).alias("_salt"), F.struct(*values).alias("_cold"))
+    spread = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(salt, F.lit(1 << 20)).cast("int") + 1))
+    met = spread.join(cold, [*keys, "_salt"], "left").withColumn("_of", F.coalesce("_hot", "_cold"))
+    return met.select("*", *[F.col("_of")[c].alias(c) for c in values]).drop("_hot", "_cold", "_of", "_salt")
+
+
 def short_batches(spark: SparkSession) -> None:
     """Hands Python at most BATCH_ROWS rows at once, so that long texts don't fill its memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

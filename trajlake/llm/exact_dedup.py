@@ -1,7 +1,7 @@
 """Exact duplicates by deterministic block naming.
 
-A text is cut into blocks of a fixed number of characters. Equal blocks get one
-integer, their rank among the sorted distinct blocks; then neighbouring pairs of
+A text is cut into blocks of a fixed number of characters. The distinct blocks are
+sorted, and each gets an integer of its own, by its range and its place there; then neighbouring pairs of
 integers are named in the same way, until each document is down to one integer.
 Names come from comparisons of the blocks themselves, so two documents share an
 identity only if their texts are the same: there is nothing to collide.
@@ -18,18 +18,21 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import ascii_lower, cut
+from trajlake.llm.common import ascii_lower, cut, join_uneven
 
 BLOCK_CHARS = 2048
-#: Leading characters of blocks by which ranges are cut: what the driver samples for them is small.
+#: Leading characters of blocks that go first in their order: what the driver samples of them for ranges is small.
 _RANGE_CHARS = 64
 
 
 def _named(values: DataFrame, tag: str) -> DataFrame:
-    """Distinct rows of ``values`` with ``name``: integers in the rows' order."""
-    cols = [F.col(c) for c in values.columns]
-    ranges = [F.substring(F.col(c), 1, _RANGE_CHARS) if kind == "string" else F.col(c) for c, kind in values.dtypes]
-    ranked = values.distinct().repartitionByRange(*ranges).sortWithinPartitions(*cols)
+    """Distinct rows of ``values`` with ``times``, how often they occur, and ``name``: an integer of each row's own.
+
+    Strings are sorted by their leading characters, then by a hash, so that many with one
+    beginning don't share a range, then as a whole.
+    """
+    order = [x for c, kind in values.dtypes for x in ([F.substring(F.col(c), 1, _RANGE_CHARS), F.xxhash64(c)] if kind == "string" else [F.col(c)])]
+    ranked = values.groupBy(*values.columns).agg(F.count("*").alias("times")).repartitionByRange(*order).sortWithinPartitions(*order, *values.columns)
     return cut(ranked.withColumn("name", F.monotonically_increasing_id()), tag)
 
 
@@ -50,15 +53,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def blocks(df: DataFrame) -> DataFrame:
         return df.withColumn("n", pieces).select("*", F.posexplode(each).alias("pos", "block")).withColumn("h", F.xxhash64("block"))
 
-    repeated = blocks(texts.select("norm")).groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h", F.lit(True).alias("again"))
+    repeated = cut(blocks(texts.select("norm")).groupBy("h").agg(F.count("*").alias("times")).where("times > 1"), "repeated")
     numbered = texts.withColumn("rid", F.monotonically_increasing_id())
     rows = blocks(numbered).select("rid", "doc_id", "n", "pos", "block", "h", F.when(F.col("pos") == 0, F.sha2("norm", 256)).alias("sha"))
-    first = cut(rows.join(repeated, "h", "left").select("rid", "doc_id", "n", "pos", "sha", F.expr("if(again, block, null)").alias("block")), "blocks")
+    place = F.xxhash64("rid", "pos")
+    met = join_uneven(rows, repeated, ["h"], "times", place)
+    first = cut(met.select("rid", "doc_id", "n", "pos", "sha", F.expr("if(times > 1, block, null)").alias("block")), "blocks")
 
     alone = first.where("block is null").select("rid").distinct()
-    todo = first.where("block is not null").join(alone, "rid", "left_anti")
-    names = _named(first.where("block is not null").select("block"), "names")
-    level = cut(todo.join(names, "block").select("rid", "n", "pos", "name"), "level")
+    todo = first.where("block is not null").join(alone, "rid", "left_anti").select("rid", "n", "pos", "block")
+    level = join_uneven(todo, _named(first.where("block is not null").select("block"), "names"), ["block"], "times", place)
+    level = cut(level.select("rid", "n", "pos", "name"), "level")
     most = level.agg(F.max("n")).first()[0] or 1
 
     done = [level.where("n = 1").select("rid", F.lit(0).alias("height"), "name")]
@@ -69,7 +74,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .agg(F.max(F.when(even, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(-1)).alias("b"))
         )
         pairs = cut(pairs, "pairs")
-        level = pairs.join(_named(pairs.select("a", "b"), "names"), ["a", "b"]).select("rid", F.ceil(F.col("n") / 2).cast("int").alias("n"), F.col("half").alias("pos"), "name")
+        level = join_uneven(pairs, _named(pairs.select("a", "b"), "names"), ["a", "b"], "times", F.xxhash64("rid", "half"))
+        level = level.select("rid", F.ceil(F.col("n") / 2).cast("int").alias("n"), F.col("half").alias("pos"), "name")
         level = cut(level, "level")
         done.append(level.where("n = 1").select("rid", F.lit(height).alias("height"), "name"))
     identity = done[0]
@@ -78,8 +84,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     own = first.where("pos = 0").select("rid", "doc_id", "sha")
     copies = cut(identity.join(own.select("rid", "doc_id"), "rid"), "identity")
-    groups = copies.groupBy("height", "name").agg(F.max(F.struct("doc_id", "rid")).alias("best"), F.count("*").alias("group_size")).where("group_size > 1")
-    found = copies.join(groups, ["height", "name"]).select("rid", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"), "group_size")
+    groups = cut(copies.groupBy("height", "name").agg(F.max(F.struct("doc_id", "rid")).alias("best"), F.count("*").alias("group_size")).where("group_size > 1"), "groups")
+    found = join_uneven(copies, groups, ["height", "name"], "group_size", F.xxhash64("rid")).where("group_size > 1")
+    found = found.select("rid", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"), "group_size")
     return own.join(found, "rid", "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
