@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trajlake.llm.common import cut, scratch
 from trajlake.llm.exact_dedup import exact_dedup
 from trajlake.llm.language_id import UNKNOWN, identify
 from trajlake.llm.mixing import mix_sources
-from trajlake.llm.ngram_join import ngram_join
+from trajlake.llm.ngram_join import BROADCAST_IDS, ngram_join
 from trajlake.llm.packing import pack
 from trajlake.llm.queries import tokenizer_file
 
@@ -17,8 +19,17 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _keyed(docs: DataFrame, tag: str) -> DataFrame:
-    """``docs``, written with ``_row``: a key of each row's own, as ids may repeat or be null."""
-    return cut(docs.withColumn("_row", F.monotonically_increasing_id()), tag)
+    """``docs`` with ``_row``: a key of each row's own, as ids may repeat or be null.
+
+    Rows of written files have their place in them, which no reading changes; others are written first.
+    """
+    try:
+        placed = docs.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.row_index")})
+    except AnalysisException:
+        return cut(docs.withColumn("_row", F.monotonically_increasing_id()), tag)
+    names = docs.select(F.col("_metadata.file_path").alias("_file")).distinct()
+    files = cut(names.select("_file", (F.row_number().over(Window.orderBy("_file")) - 1).cast("bigint").alias("_k")), tag)
+    return placed.join(files, "_file").withColumn("_row", F.col("_k") * (1 << 36) + F.col("_at")).select(*COLUMNS, "_row")
 
 
 def _with_id(keyed: DataFrame) -> DataFrame:
@@ -28,25 +39,29 @@ def _with_id(keyed: DataFrame) -> DataFrame:
 
 def _without(keyed: DataFrame, gone: DataFrame, tag: str) -> DataFrame:
     """``keyed`` without the rows whose ``_row`` is in ``gone``, and without ``_row``."""
-    return keyed.join(cut(gone, tag), "_row", "left_anti").select(COLUMNS)
+    gone = cut(gone, tag)
+    return keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "_row", "left_anti").select(COLUMNS)
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts of no language: null ones and those without a letter."""
+    """Drops texts of no language: null ones and those without a letter. Each row counts for itself, whatever its id; an empty table stays empty."""
     keyed = _keyed(docs, "rows")
     rejected = identify(keyed, id_col="_row").where(F.col("lang_pred") == UNKNOWN).select(F.col("doc_id").alias("_row"))
     return _without(keyed, rejected, "rejected")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of equal texts, the document with the largest id (a null one is the smallest), one row of it."""
+    """Keeps, of equal texts, the document with the largest id (a null one is the smallest), one row of it. Null counts as the empty text; an empty table stays empty."""
     keyed = _keyed(docs, "rows")
     gone = exact_dedup(_with_id(keyed), id_col="_id").where("not kept").select("doc_id._row")
     return _without(keyed, gone, "copies")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each component of near copies (five words, 0.8), the document with the smallest id (a null one is the largest), one row of it."""
+    """Keeps, of each component of near copies (five words, 0.8), the document with the smallest id (a null one is the largest), one row of it.
+
+    Texts without words, null ones too, are no copies; rows that repeat an id are compared as others are; an empty table stays empty.
+    """
     keyed = _keyed(docs, "rows")
     found = ngram_join(keyed, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
     moved = cut(found.where("_row != component_id"), "moved")
@@ -57,15 +72,16 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix wants it: 0, 1 or 2 rows."""
+    """Takes each document as often as the mix wants it: 0, 1 or 2 rows. A null source is one of its own, the last; an empty table stays empty."""
     keyed = _keyed(docs, "rows")
     copies = mix_sources(_with_id(keyed), id_col="_id", drawn_by=lambda key: key["doc_id"]).where("copies > 0").select("doc_id._row", "copies")
-    rows = keyed.join(cut(copies, "copies"), "_row")
+    copies = cut(copies, "copies")
+    rows = keyed.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "_row")
     return rows.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences of 4096 tokens."""
+    """Pieces of documents and their places in sequences of 4096 tokens. A null text is an empty one; rows that repeat an id are packed each; an empty table gives no piece."""
     return pack(docs, tokenizer_file())
 
 
