@@ -138,6 +138,37 @@ def test_html_host_path_overrules_a_page():
     assert page.text("/html/body/article.a#") == page.text(None) and page.text("/body/article.a#") == "The text."
 
 
+LONG = " ".join(["A long sentence of the article that goes on and on for the reader."] * 6)
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<div class='wrapper menu-closed'><article><h1>Hd</h1><p>{}</p></article></div>", "Hd\n\n{}"),
+        ("<body><div class='content ad-free'><p>{}</p></div>", "{}"),
+        ("<article><div class='related-work'><p>{}</p></div></article>", "{}"),
+        ("<div id=main class='page nav-open'><h1>Hd</h1><p>{}</p></div>", "Hd\n\n{}"),
+        ("<article><p>first</p><svg/><p>{}</p></article>", "first\n\n{}"),
+        ("<article><p>a<object/><p>{}</p></article>", "a\n\n{}"),
+        ("<article><svg><path d=x><p>{}</p></article>", "{}"),
+        ("<article><p>x <math><mi>y</mi></math> z</p><figure><figcaption>cap</figcaption></figure><p>{}</p></article>", "x y z\n\ncap\n\n{}"),
+        ("<body><div class=t><h1>Head</h1></div><div class=c><p>{}</p></div>", "Head\n\n{}"),
+        ("<body><div class=page><h1>T</h1><p>lead</p><div class=section><p>{}</p></div></div>", "T\n\nlead\n\n{}"),
+        ("<article><p>{}</p><h2 id=related-work>Rel</h2><section id=search-methods><p>m</p></section></article><div class=related-posts><p>no</p></div>", "{}\n\nRel\n\nm"),
+    ],
+)
+def test_html_keeps_whole_articles(source, want):
+    assert Page(source.format(LONG)).text(None) == want.format(LONG)
+
+
+def test_html_stray_quotes_take_linear_time():
+    import time
+
+    began = time.process_time()
+    text = Page("<article>" + '<p class="a title=x>text</p>\n' * 20_000 + "</article>").text(None)
+    assert len(text) > 1000 and time.process_time() - began < 5
+
+
 def test_warc(spark, tmp_path):
     rows = [(3, "http://a", "same"), (1, "http://b", "same"), (2, None, "other ü"), (4, "http://c", None), (5, "http://d", ""), (6, "http://e\r\nx", "y" * 300_000), (6, "http://e", "y" * 300_000), (None, "http://n", "same")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("sha", F.lit(1))

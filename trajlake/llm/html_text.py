@@ -3,7 +3,13 @@
 Each page scores its containers; the tag-class path of the best one is its vote.
 Votes are counted per host in Spark, and every page is extracted again from the
 elements on its host's winning path, or from its own best container where it has
-none of them.
+none of them. To these come what stands directly in the containers around them, headings
+before them and neighbours with as much running text.
+
+A class or id names furniture if one of its names consists of words for furniture and
+of words that say nothing ("site-footer", but not "menu-closed" or "related-work"). Paragraphs and headings are
+never left out by name, nor is an element that holds most of the page's text and
+its article or first heading.
 """
 
 from __future__ import annotations
@@ -16,29 +22,40 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import cut, short_batches
+from trajlake.llm.common import cut, join_uneven, short_batches
 
 #: As many hosts' winners as may be broadcast: a row of them takes under 500 bytes.
 BROADCAST_HOSTS = 100_000
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe svg math object".split())
-_DROPPED = frozenset("nav footer aside form button select option label fieldset dialog menu audio video canvas head figcaption".split())
+_RAW = frozenset("script style textarea title iframe".split())
+_FOREIGN = frozenset(["svg"])
+_DROPPED = frozenset("nav footer aside form button select option dialog menu audio video canvas head noscript template svg".split())
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr caption address".split())
 _CONTAINER = frozenset("html body div article main section header nav footer aside form ul ol dl table tbody thead tfoot center figure details summary fieldset hgroup dialog menu".split())
 _BLOCK = _LEAF | _CONTAINER | {"hr", "title", "option"}
+_HEADINGS = frozenset(["h1", "h2"])
 _CLOSED_BY_BLOCK = frozenset(["p"])
 _BAD = frozenset("nav navbar navigation menu submenu sidebar footer masthead ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus breadcrumb breadcrumbs pagination pager toolbar widget widgets search skip".split())
-_BESIDE = frozenset(["with", "has", "no", "without"])
+#: Words beside which a name still means furniture.
+_PLAIN = frozenset("site page main top bottom left right header head bar box block area list item items link links icon icons button buttons btn inner outer wrap wrapper container content section slot unit zone panel col column row primary secondary global local mini main user reader post posts article articles entry story stories view form field text title body card cards count thread tree list js the by and more all new my".split())
+_COMMENTS = frozenset("comment comments disqus".split())
 _HEAD = frozenset(["header", "topbar"])
 _GOOD = frozenset("article post entry story content main text body".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: Longest attribute value whose brackets are read as text: a stray quote costs no more than this.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>", re.S)
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
+def _furniture(name: str, inside: bool) -> bool:
+    words = [w.lower() for w in _PARTS.findall(name) if not w.isdigit()]
+    head = not inside and any(w in _HEAD for w in words) and not any(w in _GOOD for w in words)
+    return head or any(w in _BAD for w in words) and all(w in _BAD or w in _PLAIN for w in words)
+
+
 class Page:
     """Blocks of text and the containers around them."""
 
@@ -46,25 +63,33 @@ class Page:
         self.parent: list[int] = [-1]
         self.path: list[str] = [""]
         self.bonus: list[float] = [0.1]
-        self.blocks: list[tuple[str, int, float]] = []  # text, container, share of it in links
+        self.blocks: list[tuple[str, int, float, str]] = []  # text, container, share of it in links, innermost block tag
+        self._named: list[list[float]] = []  # of each element left out by name: its text, whether it may be spared
+        self._held: list[tuple[str, int, float, str, tuple[int, ...]]] = []
         self._read(source)
+        total = sum(len(x[0]) * (1 - x[2]) for x in self._held)
+        for text, _, linked, _, named in self._held:
+            for i in named:
+                self._named[i][0] += len(text) * (1 - linked)
+        spared = {i for i, (held, main) in enumerate(self._named) if main and 2 * held > total}
+        self.blocks = [x[:4] for x in self._held if spared.issuperset(x[4])]
 
-    def _attributes(self, tag: str, raw: str, inside: bool) -> tuple[str, bool, float]:
-        """Step of the general path; whether it's left out; what its name is worth."""
+    def _attributes(self, tag: str, raw: str, inside: bool) -> tuple[str, bool, bool, float]:
+        """Step of the general path; whether it's left out; whether its name is one of furniture; what its name is worth."""
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)} if raw.strip("/ ") else {}
-        classes = sorted({re.sub(r"\d+", "#", c) for c in found.get("class", "").split()})
-        step = ".".join([tag, *classes])
-        words = {x.lower() for x in _PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
+        names = found.get("class", "").split()
+        step = ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in names})])
+        names += found.get("id", "").split()
+        words = {x.lower() for name in names for x in _PARTS.findall(name)}
         out = tag in _DROPPED or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        if tag not in ("html", "body"):
-            # "with-sidebar" and the like say what stands beside an element.
-            named = bool(words & _BAD) and not words & _BESIDE or bool(words & _HEAD) and not words & _GOOD and not inside
-            out = out or found.get("role", "").lower() in _ROLES or named and tag not in ("article", "main") or tag == "article" and "comment" in " ".join(words)
-            out = out or tag == "header" and not inside
-        return step, out, 3.0 if tag in ("article", "main") else 1.3 if words & _GOOD else 1.0
+        named = False
+        if tag not in ("html", "body") and tag not in _LEAF:
+            out = out or found.get("role", "").lower() in _ROLES or tag == "header" and not inside
+            named = tag not in ("article", "main") and any(_furniture(x, inside) for x in names) or tag == "article" and bool(words & _COMMENTS)
+        return step, out, named, 3.0 if tag in ("article", "main") else 1.3 if words & _GOOD else 1.0
 
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, left out
+        stack: list[tuple[str, int, bool, tuple[int, ...]]] = [("", 0, False, ())]  # tag, container, left out, left out by name
         text: list[str] = []
         linked = at = 0
         links = inside = 0
@@ -77,13 +102,14 @@ class Page:
                     whole = "".join(text)
                     flat = _SPACE.sub(" ", entities.unescape(whole)).strip()
                     if flat:
-                        self.blocks.append((flat, stack[-1][1], min(1.0, linked / max(1, len(whole.strip())))))
+                        tag = next((t for t, *_ in reversed(stack) if t in _BLOCK), "")
+                        self._held.append((flat, stack[-1][1], min(1.0, linked / max(1, len(whole.strip()))), tag, stack[-1][3]))
                 text.clear()
             linked = 0
 
         def pop_to(i: int) -> None:
             nonlocal links, inside
-            for tag, _, _ in stack[i:]:
+            for tag, *_ in stack[i:]:
                 links -= tag == "a"
                 inside -= tag in ("article", "main")
             del stack[i:]
@@ -104,7 +130,7 @@ class Page:
             if m[1] or m[4]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == tag:
-                        if tag in _BLOCK or any(t in _BLOCK for t, _, _ in stack[i:]):
+                        if tag in _BLOCK or any(t in _BLOCK for t, *_ in stack[i:]):
                             flush()
                         pop_to(i)
                         break
@@ -113,7 +139,8 @@ class Page:
                         flush()
                 continue
             raw = m[3] if m[2] else m[6]
-            if tag in _RAW:
+            closed = raw.endswith("/")
+            if tag in _RAW and not (closed and tag == "iframe"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
                 at = end.end() if end else size
                 text.append(" ")
@@ -125,6 +152,11 @@ class Page:
                     text.append(" " if tag == "br" else "")
                 continue
             if tag in _BLOCK:
+                # A drawing ends where text begins, closed or not.
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] in _FOREIGN and tag != "title":
+                        pop_to(i)
+                        break
                 flush()
                 for i in range(len(stack) - 1, 0, -1):
                     open_ = stack[i][0]
@@ -133,10 +165,13 @@ class Page:
                         break
                     if open_ in _CONTAINER:
                         break
-            _, box, out = stack[-1]
+            _, box, out, named = stack[-1]
             if raw.strip("/ ") or tag in _DROPPED or tag == "header":
-                step, left_out, worth = self._attributes(tag, raw, bool(inside))
+                step, left_out, furniture, worth = self._attributes(tag, raw, bool(inside))
                 out = out or left_out
+                if furniture and not closed:
+                    named = (*named, len(self._named))
+                    self._named.append([0.0, False])
             else:
                 step, worth = tag, 3.0 if tag in ("article", "main") else 1.0
             if tag in _CONTAINER:
@@ -144,10 +179,13 @@ class Page:
                 path.append(f"{path[box]}/{step}")
                 bonus.append(worth)
                 box = len(path) - 1
+            if tag in ("article", "main", "h1"):
+                for i in named:
+                    self._named[i][1] = True
             inside += tag in ("article", "main")
             links += tag == "a"
-            if not raw.endswith("/"):
-                stack.append((tag, box, out))
+            if not closed or tag in _BLOCK:
+                stack.append((tag, box, out, named))
             else:
                 links -= tag == "a"
                 inside -= tag in ("article", "main")
@@ -156,7 +194,7 @@ class Page:
     def best(self) -> tuple[int, float]:
         """The best container and its score: text outside links, fading by a half at each step up."""
         score = [0.0] * len(self.path)
-        for text, box, linked in self.blocks:
+        for text, box, linked, _ in self.blocks:
             worth = len(text) * (1 - linked)
             while box >= 0 and worth >= 0.5:
                 score[box] += worth
@@ -168,15 +206,55 @@ class Page:
     def text(self, wanted: str | None) -> str:
         """Text of the elements on path ``wanted``, or of the best container if there are none."""
         chosen = {i for i, p in enumerate(self.path) if p == wanted} if wanted is not None else set()
-        if not chosen or not (found := self._inside(chosen)):
-            found = self._inside({self.best()[0]}) if self.blocks else []
-        return "\n\n".join(found)
+        if not chosen or not self._inside(chosen):
+            chosen = {self.best()[0]} if self.blocks else set()
+        found = self._inside(chosen)
+        around = self._around(chosen, found) if found else []
+        return "\n\n".join(self.blocks[k][0] for k in sorted({*found, *around}))
 
-    def _inside(self, chosen: set[int]) -> list[str]:
+    def _inside(self, chosen: set[int]) -> list[int]:
+        """Numbers of the blocks in ``chosen`` containers."""
         within = [False] * len(self.path)
         for i, up in enumerate(self.parent):
             within[i] = i in chosen or up >= 0 and within[up]
-        return [text for text, box, _ in self.blocks if within[box]]
+        return [k for k, (_, box, _, _) in enumerate(self.blocks) if within[box]]
+
+    def _around(self, chosen: set[int], found: list[int]) -> list[int]:
+        """Blocks beside ``chosen`` that belong to their text.
+
+        Of the containers around them: unlinked blocks that stand there directly, neighbours of at least a fifth
+        of the text in long unlinked blocks (not of an article), and headings in neighbours before them.
+        """
+        size = sum(len(self.blocks[k][0]) for k in found)
+        whole = any(self.bonus[i] == 3.0 for i in chosen)  # an article has all of its text inside
+        above: dict[int, int] = {}  # container around the chosen ones: its child on the way to them
+        for i in chosen:
+            below, up = i, self.parent[i]
+            while up >= 0 and self.path[up] not in ("", "/html", "/html/body", "/body"):
+                above[up] = below
+                below, up = up, self.parent[up]
+            if up >= 0:
+                above[up] = below
+        taken, beside, more = set(found), {}, []
+        for k, (text, box, linked, tag) in enumerate(self.blocks):
+            if k in taken:
+                continue
+            root = box
+            while root >= 0 and root not in above:
+                below, root = root, self.parent[root]
+            if root == box:
+                if linked < 0.5 and (tag in _HEADINGS or len(text) >= 80 or self.parent[box] > 0 and self.path[box] not in ("/html/body", "/body") and tag in _LEAF):
+                    more.append(k)
+            elif root >= 0:
+                beside.setdefault(below, []).append(k)
+        for blocks in beside.values():
+            long = sum(len(self.blocks[k][0]) * (1 - self.blocks[k][2]) for k in blocks if len(self.blocks[k][0]) >= 80)
+            full = sum(len(self.blocks[k][0]) for k in blocks)
+            if not whole and 5 * long >= size and 4 * long >= 3 * full:
+                more += blocks
+            elif blocks[-1] < found[0] and full < 300:
+                more += [k for k in blocks if self.blocks[k][3] in _HEADINGS and self.blocks[k][2] < 0.5]
+        return more
 
 
 def host_of(url: Column) -> Column:
@@ -184,7 +262,7 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path, votes: each host's winning path, by votes, then score, then name."""
+    """host, path, votes, pages: each host's winning path, by votes, then score, then name; and how many pages voted."""
     short_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,8 +277,8 @@ def host_paths(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     voted = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).mapInArrow(run, "host string, path string, score double")
     paths = voted.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
-    best = paths.groupBy("host").agg(F.max(F.struct("votes", F.round("score", 3).alias("score"), "path")).alias("b"))
-    return best.select("host", "b.path", "b.votes")
+    best = paths.groupBy("host").agg(F.max(F.struct("votes", F.round("score", 3).alias("score"), "path")).alias("b"), F.sum("votes").alias("pages"))
+    return best.select("host", "b.path", "b.votes", "pages")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -210,11 +288,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Pages without a host share the host "". An empty table gives an empty result;
     repeated rows vote each; other columns aren't read.
     """
-    winners = cut(host_paths(pages, id_col, url_col, html_col), "paths").select("host", "path")
-    if winners.count() <= BROADCAST_HOSTS:
-        winners = F.broadcast(winners)
+    winners = cut(host_paths(pages, id_col, url_col, html_col), "paths").select("host", "path", "pages")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    rows = rows.join(winners, "host", "left").select("page_id", "url", "path", "html")
+    rows = join_uneven(rows, winners, ["host"], "pages", F.xxhash64("page_id", "url"), BROADCAST_HOSTS).select("page_id", "url", "path", "html")
     kind = rows.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
