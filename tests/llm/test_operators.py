@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from trajlake.llm import packing, warc
 from trajlake.llm.components import components
 from trajlake.llm.exact_dedup import exact_dedup
-from trajlake.llm.fingerprint import fingerprints
+from trajlake.llm.fingerprint import fingerprints, hashes, merge, sketch
 from trajlake.llm.html_text import Page, extract
 from trajlake.llm.language_id import identify
 from trajlake.llm.licenses import scan
@@ -119,6 +119,21 @@ def test_fingerprints_of_a_short_text_in_a_long_one(spark, shingles):
     assert out[2] == out[3] == pytest.approx(true, abs=1e-9 if shingles < 16 else 0.25)
 
 
+def test_sketches_are_threshold_sets_and_merge_by_union(spark):
+    rng = np.random.default_rng(3)
+    a, b = words(rng, 300), words(rng, 90)
+    df = spark.createDataFrame([(a, b, None)], "a string, b string, c string")
+    every, kept, other, both, none = df.select(hashes(F.col("a")), sketch(F.col("a")), sketch(F.col("b")), merge(sketch(F.col("a")), sketch(F.col("b"))), sketch(F.col("c"))).first()
+    assert len(every) == 296 and kept == sorted({x for x in every if x < (1 << 40) // 4}) and none == []
+    assert both == sorted({*kept, *other})
+
+
+def test_fingerprints_with_repeated_and_null_ids(spark):
+    table = [(1, "a b c d e f", "en", "s"), (1, "a b c d e f", "en", "s"), (None, "x y z", "en", "s"), (2, None, "en", "s")]
+    out = collect(fingerprints(docs(spark, table)))
+    assert sorted(str(r["doc_id"]) for r in out) == ["1", "1", "2", "None"] and sum(r["near_next"] == 1 for r in out if r["doc_id"] == 1) == 1
+
+
 HTML = "<html><head><title>T</title></head><body><div class=menu><a href=/>Home</a></div><div class='post-body p12'><h1>Head &amp; tail</h1><p>First  para&eacute; one<br>goes on and on.<p>Second, with <b>bold</b> text &lt;x&gt;.</div><div id='comments'><p>{}</p></div><aside>side</aside><footer>&copy; me</footer><script>var a = '<p>no</p>'</script></body></html>"
 
 

@@ -1,13 +1,10 @@
 """Document fingerprints by a threshold-scaled sketch.
 
 Of a text's shingles, every hash below a fixed fraction of the hash range is
-kept. Two sketches made with one fraction merge by union. A document with so few
-shingles that under LEAST of them fall below the fraction keeps its LEAST smallest
-ones, so only a text without words has an empty sketch. Sketches compare up to the
-lower of their two thresholds, where both hold every hash: what they share there,
-over the smaller of them, estimates how much of the smaller document the larger
-contains, however unequal they are. Where that leaves under LEAST hashes, the
-smaller text is short, and all shingles of both texts are compared.
+kept, and no other. So sketches merge by union, and what two of them share, over the
+smaller of them, estimates how much of the smaller document the larger
+contains, however unequal they are. Where the smaller sketch has under LEAST hashes, the
+text is short, and all shingles of both texts are compared.
 """
 
 from __future__ import annotations
@@ -21,10 +18,11 @@ from trajlake.llm.common import let
 SHINGLE_WORDS = 5
 #: One of so many hashes is kept.
 SCALE = 4
-#: Hashes that a document keeps at least, if it has as many shingles.
+#: Hashes of the smaller sketch from which on sketches alone are compared.
 LEAST = 8
 _BITS = 40
-_LONGEST_BUCKETS = 1024
+#: Ranges of ids at most: their bounds are part of the plan.
+_MOST_RANGES = 1 << 14
 
 
 def hashes(text: Column, words: int = SHINGLE_WORDS) -> Column:
@@ -44,21 +42,14 @@ def hashes(text: Column, words: int = SHINGLE_WORDS) -> Column:
 
 
 def sketch(text: Column, words: int = SHINGLE_WORDS, scale: int = SCALE) -> Column:
-    """Sorted distinct kept hashes of the text's word shingles."""
+    """Sorted distinct hashes of the text's word shingles below a ``scale``-th of the range."""
     limit = F.lit((1 << _BITS) // scale)
+    return F.array_sort(F.array_distinct(F.filter(hashes(text, words), lambda x: x < limit)))
 
-    def kept(h: Column) -> Column:
-        small = F.array_sort(F.array_distinct(F.filter(h, lambda x: x < limit)))
-        return let(small, lambda s: F.when(F.size(s) >= LEAST, s).otherwise(F.slice(F.array_sort(F.array_distinct(h)), 1, LEAST)))
 
-    return let(hashes(text, words), kept)
-
-
-def threshold(kept: Column, scale: int = SCALE) -> Column:
-    """The largest hash up to which a sketch holds all hashes of its text; a sketch tells it itself."""
-    limit = (1 << _BITS) // scale
-    last = F.get(kept, F.size(kept) - 1)
-    return F.when(F.size(kept) < LEAST, F.lit((1 << _BITS) - 1)).when(last >= limit, last).otherwise(F.lit(limit - 1))
+def merge(a: Column, b: Column) -> Column:
+    """The sketch of both texts' shingles together."""
+    return F.array_sort(F.array_union(a, b))
 
 
 def fingerprint(kept: Column) -> Column:
@@ -72,21 +63,13 @@ def _share(a: Column, b: Column) -> Column:
     return F.when(small > 0, F.size(F.array_intersect(a, b)) / small).otherwise((F.size(a) == F.size(b)).cast("double"))
 
 
-def containment(a: Column, b: Column, text_a: Column, text_b: Column, words: int = SHINGLE_WORDS, scale: int = SCALE) -> Column:
-    """Share of the smaller text's shingles that the other has, from sketches ``a`` and ``b``.
+def containment(a: Column, b: Column, text_a: Column, text_b: Column, words: int = SHINGLE_WORDS) -> Column:
+    """Share of the smaller text's shingles that the other has, from sketches ``a`` and ``b`` of one scale.
 
-    Counted on all shingles where fewer than LEAST kept hashes can be compared.
+    Counted on all shingles where the smaller sketch has under LEAST hashes.
     """
-
-    def below(t: Column) -> Column:
-        return F.struct(F.filter(a, lambda x: x <= t).alias("a"), F.filter(b, lambda x: x <= t).alias("b"))
-
-    def whole() -> Column:
-        both = F.struct(F.array_distinct(hashes(text_a, words)).alias("a"), F.array_distinct(hashes(text_b, words)).alias("b"))
-        return let(both, lambda w: _share(w["a"], w["b"]))
-
-    pair = let(F.least(threshold(a, scale), threshold(b, scale)), below)
-    return let(pair, lambda k: F.when(F.least(F.size(k["a"]), F.size(k["b"])) >= LEAST, _share(k["a"], k["b"])).otherwise(whole()))
+    both = F.struct(F.array_distinct(hashes(text_a, words)).alias("a"), F.array_distinct(hashes(text_b, words)).alias("b"))
+    return F.when(F.least(F.size(a), F.size(b)) >= LEAST, _share(a, b)).otherwise(let(both, lambda w: _share(w["a"], w["b"])))
 
 
 def _buckets(ids: DataFrame, n: int) -> tuple[list, int]:
@@ -102,7 +85,7 @@ def with_next(docs: DataFrame, value_cols: list[str], id_col: str = "doc_id", de
     range needs another one. ``derive`` adds columns to the rows before they meet.
     """
     spark = docs.sparkSession
-    want = min(_LONGEST_BUCKETS, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    want = min(_MOST_RANGES, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     ids = docs.select(F.col(id_col).alias("doc_id"))
     cuts, _ = _buckets(ids, want)
     step = max(1, int(len(cuts) ** 0.5))
@@ -146,7 +129,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("kept")).alias("fingerprint"),
         fingerprint(F.col("edited_kept")).alias("edited_fingerprint"),
-        containment(F.col("kept"), F.col("edited_kept"), F.col("text"), F.col("edited"), words, scale).alias("near_edited"),
-        containment(F.col("kept"), F.col("next_kept"), F.col("text"), F.col("next_text"), words, scale).alias("near_next"),
+        containment(F.col("kept"), F.col("edited_kept"), F.col("text"), F.col("edited"), words).alias("near_edited"),
+        containment(F.col("kept"), F.col("next_kept"), F.col("text"), F.col("next_text"), words).alias("near_next"),
         F.size("kept").alias("n_kept"),
     )
