@@ -472,3 +472,25 @@ def test_pipeline_keeps_clean_rows_with_repeated_or_null_ids(spark):
     many = docs(spark, [(None if i % 3 else i % 5, words(rng, 20), "en", "s") for i in range(200)]).select(corpus_pipeline.COLUMNS)
     taken = Counter((r.doc_id, r.text) for r in corpus_pipeline.mixed(spark, many, "").collect())
     assert sum(20 * n for n in taken.values()) == pytest.approx(1.5 * 200 * 20, abs=20) and set(taken.values()) == {1, 2} and len(taken) == 200
+
+
+def test_licences_need_the_classifier(spark, monkeypatch):
+    from trajlake.llm import licenses
+
+    table = [(1, "Released under the MIT License.", "en", "s"), (1, "Released under the MIT License.", "en", "s"), (None, "Licensed under CC BY 4.0.", None, None)]
+    out = collect(scan(docs(spark, table)))
+    assert sorted((str(r["doc_id"]), r["family"], r["predicted"]) for r in out) == [("1", "MIT", "MIT"), ("1", "MIT", "MIT"), ("None", "CC-BY", "CC-BY")]
+    once = collect(scan(docs(spark, table[1:])))
+    assert {r["probability"] for r in out if r["doc_id"] == 1} == {r["probability"] for r in once if r["doc_id"] == 1}
+    # A classifier that takes MIT for GPL: the template of another family doesn't decide.
+    true = licenses.train
+
+    def swapped(texts, n):
+        classes, vocabulary, weights, intercepts, threshold = true(texts, n)
+        a, b = classes.index("MIT"), classes.index("GPL")
+        for x in (weights, intercepts):
+            x[a], x[b] = x[b], x[a]
+        return classes, vocabulary, weights, intercepts, threshold
+
+    monkeypatch.setattr(licenses, "train", swapped)
+    assert {(r["family"], r["predicted"]) for r in collect(scan(docs(spark, table[:1])))} == {("unknown", "GPL")}
