@@ -94,16 +94,19 @@ def angle_deg(a: Quat, b: Quat) -> Column:
     return F.degrees(2 * F.acos(F.least(F.lit(1.0), F.abs(dot(a, b)))))
 
 
-def slerp(a: Quat, b: Quat, u: Column) -> Quat:
-    """Shortest-arc interpolation; linear and normalised where the two nearly agree."""
-    d = dot(a, b)
-    b = tuple(F.when(d < 0, -x).otherwise(x) for x in b)
+def slerp_weights(d: Column, u: Column) -> tuple[Column, Column]:
+    """What of two quaternions with dot product ``d`` makes the one at ``u``; linear where they nearly agree."""
     c = F.least(F.abs(d), F.lit(1.0))
     near = c > 0.9995
     theta = F.acos(c)
     s = F.sin(theta)
-    wa = F.when(near, 1 - u).otherwise(F.sin((1 - u) * theta) / s)
     wb = F.when(near, u).otherwise(F.sin(u * theta) / s)
+    return F.when(near, 1 - u).otherwise(F.sin((1 - u) * theta) / s), F.when(d < 0, -wb).otherwise(wb)
+
+
+def slerp(a: Quat, b: Quat, u: Column) -> Quat:
+    """Shortest-arc interpolation; linear and normalised where the two nearly agree."""
+    wa, wb = slerp_weights(dot(a, b), u)
     mixed = tuple(x * wa + y * wb for x, y in zip(a, b, strict=True))
     return unit(mixed, least=0.0)
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+_ALL = (1 << 64) - 1
 
 def blur_gate(frames: DataFrame, rel: float, least: float, cap: float, by: list[str], order: str, sharpness: str = "sharpness") -> DataFrame:
     """``frames`` with threshold and keep.
@@ -25,19 +29,24 @@ def blur_gate(frames: DataFrame, rel: float, least: float, cap: float, by: list[
 
 
 def drop_near_duplicates(frames: DataFrame, least_distance: int, by: list[str], order: str, phash: str = "phash") -> DataFrame:
-    """Frames at least ``least_distance`` bits from the last kept one, in order; 0 keeps all."""
+    """Frames at least ``least_distance`` bits from the last kept one, in order; 0 keeps all.
+
+    A frame without a hash stays, as does the one after it. Of each clip, one hash is held at a time.
+    """
     if least_distance <= 0:
         return frames
-    rows = frames.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(phash).alias("h")))).alias("_f"))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        near = F.bit_count(acc["last"].bitwiseXOR(x["h"])) < least_distance
-        keep = F.struct(x["h"].alias("last"), F.concat(acc["kept"], F.array(x["o"].cast("bigint"))).alias("kept"))
-        return F.when(F.coalesce(near, F.lit(False)), acc).otherwise(keep)
 
-    kept = rows.select(*by, F.explode(F.aggregate("_f", start, step)["kept"]).alias(order))
-    return frames.join(kept, [*by, order], "left_semi")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clip, last = None, None
+        for batch in batches:
+            keep = []
+            for *own, h in zip(*(batch.column(c).to_pylist() for c in (*by, phash)), strict=True):
+                new = own != clip or last is None or h is None or ((last ^ h) & _ALL).bit_count() >= least_distance
+                clip, last = own, h if new else last
+                keep.append(new)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return frames.repartition(*by).sortWithinPartitions(*by, order, phash).mapInArrow(run, frames.schema)
 
 
 def fov_gate(clips: DataFrame, most: float = 100.0, fov: str = "fov_deg") -> DataFrame:

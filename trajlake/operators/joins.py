@@ -32,7 +32,8 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: str, by: list[str], tole
     w = Window.partitionBy(*by).orderBy("_t", "_side")
     both = lefts.unionByName(rights)
     before = F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("_r", True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    back = Window.partitionBy(*by).orderBy(F.desc("_t"), F.desc("_side"))
+    after = F.last("_r", True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = both.withColumn("_b", before).withColumn("_a", after).where("_side = 1").join(stats, by, "left")
     later = F.col("_b").isNull() | (F.col(f"_a.{on}") - F.col("_t") < F.col("_t") - F.col(f"_b.{on}"))
     rows = rows.withColumn("_c", F.when(F.coalesce(later, F.lit(False)), F.col("_a")).otherwise(F.col("_b")))
@@ -196,7 +197,7 @@ def resolve_companions(clips: DataFrame, files: DataFrame, explicit: DataFrame,
 def view_pixels(cameras: DataFrame, cloud: DataFrame, fx: float, width: int, height: int, near: float = 0.05, far: float = 10.0, splat: int = 0, fill_ring: int = 1, block: float = 0.5) -> DataFrame:
     """clip, frame, px, py, depth, point_id: pixels that points cover in each camera, each widened to a square.
 
-    Cameras (clip, frame, pose) meet blocks of the cloud first, as a sphere in their view cone; only
+    Cameras (clip, frame, pose) meet blocks of the cloud in the cells around them first, as a sphere in their view cone; only
     then the points of those blocks. ``fill_ring`` widens by as many pixels more, for points whose own square
     touches the image.
     """
@@ -205,11 +206,17 @@ def view_pixels(cameras: DataFrame, cloud: DataFrame, fx: float, width: int, hei
     half = block * 3**0.5 / 2
     key = [F.floor(F.col(c) / block).cast("bigint").alias(f"b{c}") for c in "xyz"]
     points = cloud.select("*", *key)
-    blocks = points.select("bx", "by", "bz").distinct()
+    slope = ((width / 2 + 1 + splat) / fx, (height / 2 + 1 + splat) / fx)
+    # No camera sees farther than ``reach``, so what it sees lies in its own cell of that size or one beside it.
+    reach = (far + half) * (1 + slope[0] ** 2 + slope[1] ** 2) ** 0.5 + 2 * half
     centre = tuple((F.col(f"b{c}") + 0.5) * block for c in "xyz")
-    met = cameras.select("clip", "frame", *POSE).crossJoin(small(blocks))
+    blocks = points.select("bx", "by", "bz").distinct().withColumns({f"_c{c}": F.floor(m / reach) for c, m in zip("xyz", centre, strict=True)})
+    seeing = cameras.select("clip", "frame", *POSE)
+    for c, at in zip("xyz", POSE[:3], strict=True):
+        own = F.floor(F.col(at) / reach)
+        seeing = seeing.withColumn(f"_c{c}", F.explode(F.array(own - 1, own, own + 1)))
+    met = seeing.join(small(blocks), ["_cx", "_cy", "_cz"]).drop("_cx", "_cy", "_cz")
     view = rotate(conj(cols(*POSE[3:])), sub(centre, cols(*POSE[:3])))
-    slope = ((width / 2 + 1 + splat) / fx, (height / 2 + 1 + splat) / fx)
     seen = (view[2] > near - half) & (view[2] < far + half)
     for c, s in zip(view[:2], slope, strict=True):
         seen = seen & (F.abs(c) <= s * F.greatest(view[2], F.lit(0.0)) + half * (1 + s))
@@ -230,13 +237,18 @@ def view_pixels(cameras: DataFrame, cloud: DataFrame, fx: float, width: int, hei
 def near_hashes(df: DataFrame, key: str, phash: str, most: int) -> DataFrame:
     """a, b, distance of all pairs of 64-bit hashes up to ``most`` bits apart.
 
-    Hashes are cut into ``most`` + 1 bands: two that close agree in one of them at least.
+    Hashes are cut into ``most`` + 1 bands: two that close agree in one of them at least. Distinct
+    hashes meet there; their rows are added to the pairs found.
     """
     bands = most + 1
     edges = [64 * i // bands for i in range(bands + 1)]
-    h = F.col(phash)
+    h = F.col("ha")
     cut = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft(h, 64 - hi), 64 - hi + lo).alias("bits")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
-    rows = df.select(F.col(key).alias("a"), h.alias("ha"), F.explode(F.array(*cut)).alias("c")).select("a", "ha", "c.*")
-    other = rows.select("band", "bits", F.col("a").alias("b"), F.col("ha").alias("hb"))
-    distance = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    return rows.join(other, ["band", "bits"]).where(F.col("a") < F.col("b")).withColumn("distance", distance).where(F.col("distance") <= most).select("a", "b", "distance").distinct()
+    hashes = df.where(F.col(phash).isNotNull()).select(F.col(phash).alias("ha"), F.col(key).alias("a"))
+    kinds = hashes.select("ha").distinct()
+    rows = kinds.select("ha", F.explode(F.array(*cut)).alias("c")).select("ha", "c.*")
+    distance = F.bit_count(h.bitwiseXOR(F.col("hb"))).alias("distance")
+    near = rows.join(rows.select("band", "bits", h.alias("hb")), ["band", "bits"]).where("ha < hb").select("ha", "hb", distance).where(F.col("distance") <= most).distinct()
+    near = near.unionAll(near.select(F.col("hb").alias("ha"), h.alias("hb"), "distance")).unionAll(kinds.select("ha", h.alias("hb"), F.lit(0).alias("distance")))
+    other = hashes.select(h.alias("hb"), F.col("a").alias("b"))
+    return hashes.join(near, "ha").join(other, "hb").where("a < b").select("a", "b", "distance").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trajlake.functions.pose import POSE, cols, dot, lerp, named, norm, scale, slerp, sub
+from trajlake.functions.pose import POSE, cols, dot, lerp, named, norm, scale, slerp, slerp_weights, sub, unit
 
 
 def _w(by: list[str], order: str):
@@ -18,7 +18,8 @@ def _so_far(by: list[str], order: str):
 
 
 def _from_here(by: list[str], order: str):
-    return _w(by, order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    """The rows from the last one back to the current one: a frame that only grows, so the nearest following value is the last in it."""
+    return Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def schmitt(df: DataFrame, col: str, close: Column | float, open_: Column | float, by: list[str], order: str, out: str = "closed") -> DataFrame:
@@ -60,7 +61,7 @@ def fill_gaps(df: DataFrame, col: str, by: list[str], order: str) -> DataFrame:
     """Missing values by linear interpolation in ``order`` between their neighbours; edges hold."""
     before, after = _so_far(by, order), _from_here(by, order)
     at = F.when(F.col(col).isNotNull(), F.col(order))
-    df = df.withColumns({"_v0": F.last(col, True).over(before), "_v1": F.first(col, True).over(after), "_t0": F.last(at, True).over(before), "_t1": F.first(at, True).over(after)})
+    df = df.withColumns({"_v0": F.last(col, True).over(before), "_v1": F.last(col, True).over(after), "_t0": F.last(at, True).over(before), "_t1": F.last(at, True).over(after)})
     u = F.when(F.col("_t1") > F.col("_t0"), (F.col(order) - F.col("_t0")) / (F.col("_t1") - F.col("_t0"))).otherwise(F.lit(0.0))
     value = F.when(F.col("_v0").isNull(), F.col("_v1")).when(F.col("_v1").isNull(), F.col("_v0")).otherwise(F.col("_v0") + (F.col("_v1") - F.col("_v0")) * u)
     return df.withColumn(col, value).drop("_v0", "_v1", "_t0", "_t1")
@@ -70,15 +71,18 @@ def fill_pose_gaps(df: DataFrame, by: list[str], order: str, valid: str = "valid
     """Poses of invalid rows between their valid neighbours: slerp and lerp; edges hold the nearest; none valid gives NULL."""
     before, after = _so_far(by, order), _from_here(by, order)
     own = F.when(F.col(valid), F.struct(*[F.col(p).alias(p) for p in POSE], F.col(order).alias("at")))
-    df = df.withColumn("_a", F.last(own, True).over(before)).withColumn("_b", F.first(own, True).over(after))
+    df = df.withColumn("_a", F.last(own, True).over(before)).withColumn("_b", F.last(own, True).over(after))
     df = df.withColumn("_a", F.coalesce("_a", "_b")).withColumn("_b", F.coalesce("_b", "_a"))
     a, b = ([F.col(f"{s}.{p}") for p in POSE] for s in ("_a", "_b"))
     span = F.col("_b.at") - F.col("_a.at")
-    u = F.when(span > 0, (F.col(order) - F.col("_a.at")) / span).otherwise(F.lit(0.0))
-    t, q = lerp(a[:3], b[:3], u), slerp(tuple(a[3:]), tuple(b[3:]), u)
+    # Each step a column of its own, so that no expression holds the steps before it several times.
+    df = df.withColumn("_u", F.when(span > 0, (F.col(order) - F.col("_a.at")) / span).otherwise(F.lit(0.0))).withColumn("_d", dot(a[3:], b[3:]))
+    df = df.withColumns(dict(zip(("_wa", "_wb"), slerp_weights(F.col("_d"), F.col("_u")), strict=True)))
+    df = df.withColumns({f"_{p}": x * F.col("_wa") + y * F.col("_wb") for p, x, y in zip(POSE[3:], a[3:], b[3:], strict=True)})
+    q = unit(tuple(F.col(f"_{p}") for p in POSE[3:]), least=0.0)
     inside = F.col(valid) | (span <= 0)
-    values = [F.when(inside, x).otherwise(y) for x, y in zip(a, [*t, *q], strict=True)]
-    return df.withColumns(dict(zip(POSE, values, strict=True))).drop("_a", "_b")
+    values = [F.when(inside, x).otherwise(y) for x, y in zip(a, [*lerp(a[:3], b[:3], F.col("_u")), *q], strict=True)]
+    return df.withColumns(dict(zip(POSE, values, strict=True))).drop("_a", "_b", "_u", "_d", "_wa", "_wb", *[f"_{p}" for p in POSE[3:]])
 
 
 def smooth_poses(df: DataFrame, window: int, by: list[str], order: str) -> DataFrame:

@@ -41,7 +41,7 @@ d2_rate_map_half_up, d2_rate_map_half_even = _rate("half_up"), _rate("half_even"
 
 
 @query("""SELECT query, ref, rank, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, ref)::int AS rank FROM (
-    SELECT q.vec_id AS query, r.vec_id AS ref, list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda p: p[1]::double * p[2]::double)) AS score FROM embeddings q, embeddings r WHERE q.vec_id % 5 = 0 AND r.vec_id % 5 <> 0)) WHERE rank <= 3""")
+    SELECT q.vec_id AS query, r.vec_id AS ref, list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda p: p[1]::double * p[2]::double)) AS score FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0)) WHERE rank <= 3""")
 def d3_retrieve_topk(spark, sf):
     return rounded(joins.retrieve_topk(*desc(spark, sf), 3), ["score"], 5)
 
@@ -141,11 +141,11 @@ def d12_resolve_companions(spark, sf):
 
 
 def _views(spark, sf):
-    cameras = traj(spark, sf).where("frame % 25 = 0")
+    cameras = traj(spark, sf)
     return cameras, joins.view_pixels(cameras, cloud(spark, sf).select("point_id", "x", "y", "z"), 20.0, 32, 24, splat=0, fill_ring=1)
 
 
-_ROT = """cam AS (SELECT * FROM traj WHERE frame % 25 = 0), d AS (SELECT c.clip, c.frame, c.qw AS w, -c.qx AS a, -c.qy AS b, -c.qz AS e, p.vec_id AS point_id, p.tx - c.tx AS x, p.ty - c.ty AS y, p.tz - c.tz AS z FROM cam c, traj p),
+_ROT = """cam AS (SELECT * FROM traj), d AS (SELECT c.clip, c.frame, c.qw AS w, -c.qx AS a, -c.qy AS b, -c.qz AS e, p.vec_id AS point_id, p.tx - c.tx AS x, p.ty - c.ty AS y, p.tz - c.tz AS z FROM cam c, traj p),
     c1 AS (SELECT *, 2 * (b * z - e * y) AS t1, 2 * (e * x - a * z) AS t2, 2 * (a * y - b * x) AS t3 FROM d),
     v AS (SELECT clip, frame, point_id, x + w * t1 + (b * t3 - e * t2) AS cx, y + w * t2 + (e * t1 - a * t3) AS cy, z + w * t3 + (a * t2 - b * t1) AS cz FROM c1),
     uv AS (SELECT *, floor(cx / cz * 20 + 16.5)::int AS u, floor(cy / cz * 20 + 12.5)::int AS vv FROM v WHERE cz > 0.05 AND cz < 10),
@@ -191,11 +191,13 @@ def e3_viewpoint_overlap(spark, sf):
     return aggs.viewpoint_overlap(m, m.where("ref = 0"), ["session"])
 
 
-@query("""SELECT a.event_id AS a, b.event_id AS b, bit_count(xor(a.h, b.h))::int AS distance FROM (SELECT event_id, (event_id * 40503) % 1048576 AS h FROM events WHERE event_type = 'error') a, (SELECT event_id, (event_id * 40503) % 1048576 AS h FROM events WHERE event_type = 'error') b
-    WHERE a.event_id < b.event_id AND bit_count(xor(a.h, b.h)) <= 2""")
+_BANDS = ("h % 256", "(h // 256) % 128", "(h // 32768) % 128")
+
+
+@query("WITH e AS (SELECT event_id, (event_id * 2654435761) % 4194304 AS h FROM events), p AS (" + " UNION ".join(f"SELECT a.event_id AS a, b.event_id AS b, bit_count(xor(a.h, b.h))::int AS distance FROM (SELECT *, {x} AS k FROM e) a JOIN (SELECT *, {x} AS k FROM e) b USING (k) WHERE a.event_id < b.event_id AND bit_count(xor(a.h, b.h)) <= 2" for x in _BANDS) + ") SELECT a, b, distance FROM p")
 def p5_batch_hash_duplicates(spark, sf):
-    e = table(spark, sf, "events").where("event_type = 'error'")
-    # Twenty bits spread over the word, so that every band differs between events.
-    bits = (F.col("event_id") * 40503) % 1048576
-    spread = F.aggregate(F.sequence(F.lit(0), F.lit(19)), F.lit(0).cast("bigint"), lambda acc, i: acc.bitwiseOR(F.call_function("shiftleft", F.call_function("shiftright", bits, i).bitwiseAND(1), (i * 3).cast("int"))))
+    e = table(spark, sf, "events")
+    # Twenty-two bits spread over the word, so that every band differs between events.
+    bits = (F.col("event_id") * 2654435761) % 4194304
+    spread = F.aggregate(F.sequence(F.lit(0), F.lit(21)), F.lit(0).cast("bigint"), lambda acc, i: acc.bitwiseOR(F.call_function("shiftleft", F.call_function("shiftright", bits, i).bitwiseAND(1), ((i * 3) % 64).cast("int"))))
     return joins.near_hashes(e.select("event_id", spread.alias("h")), "event_id", "h", 2)

@@ -184,9 +184,9 @@ def e29_score_episodes(spark, sf):
 
 
 def _projections(spark, sf):
-    """Each point of a clip seen by every fifth pose of it, with exact pixels."""
+    """Each point of a clip seen by every pose of it, with exact pixels."""
     t = traj(spark, sf)
-    cams = t.where("frame % 5 = 0").select("clip", F.col("frame").alias("cam"), *POSE)
+    cams = t.select("clip", F.col("frame").alias("cam"), *POSE)
     back = scale(rotate(conj(cols(*_Q)), cols(*_T)), -1.0)
     axes = [rotate(conj(cols(*_Q)), lits(*v)) for v in ((1, 0, 0), (0, 1, 0), (0, 0, 1))]
     p = {f"p{i}{j}": axes[j][i] if j < 3 else back[i] for i in range(3) for j in range(4)}
