@@ -35,13 +35,13 @@ def stride_sample(df: DataFrame, most: int, by: list[str], order: str, first: in
 
 
 def seeded_cap(df: DataFrame, n: int, seed: int, by: list[str], key: str) -> DataFrame:
-    """``n`` rows of each group at most, drawn by a hash of ``key`` and ``seed``.
+    """``n`` rows of each group at most, drawn by md5 of ``key`` and ``seed``, which any engine repeats.
 
     The threshold comes from the group's count, so that no group is sorted whole; what is
     left, a little more than ``n`` rows, is ranked.
     """
     counts = df.groupBy(*by).agg(F.count("*").alias("_m"))
-    drawn = df.withColumn("_h", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)))
+    drawn = df.withColumn("_h", F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), 1, 10), 16, 10).cast("bigint"))
     share = (F.lit(float(n)) + 6 * F.sqrt(F.lit(float(n))) + 20) / F.col("_m")
     near = drawn.join(counts, by).where(F.col("_h") < share * float(1 << 40))
     return near.withColumn("_k", _rank(by, "_h", key)).where(F.col("_k") <= n).drop("_h", "_m", "_k")

@@ -214,7 +214,7 @@ def i2_register_frames(spark, sf):
     return rounded(solve.register_frames(model, clouds, ["clip"], "frame"), [*POSE, "rmse"], 3)
 
 
-@query()
+@query(f"WITH {TRAJ} SELECT clip, frame, {r(_T, _T, 6)}, {rq(_Q)} FROM traj")
 def b11_round_trip(spark, sf):
     """A similarity and its inverse: how far each pose comes back off."""
     out = _moved(spark, sf)

@@ -186,7 +186,7 @@ def g2_stride_sample(spark, sf):
     return sample.stride_sample(sig(spark, sf).select("clip", "frame"), 10, ["clip"], "frame", first=7)
 
 
-@query()
+@query("SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY substr(md5(doc_id || ':42'), 1, 10), doc_id) AS k FROM documents WHERE lang IS NOT NULL) WHERE k <= 100")
 def g3_seeded_cap(spark, sf):
     return sample.seeded_cap(table(spark, sf, "documents").select("lang", "doc_id"), 100, 42, ["lang"], "doc_id")
 
