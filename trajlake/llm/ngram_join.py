@@ -41,9 +41,9 @@ from trajlake.llm.components import merged
 GROUP = 256
 #: Documents of a large group that each of its chunks is compared with in a round.
 PIVOTS = 8
-#: Documents, about, whose elements are counted for the first order. It decides how large groups are, never what is found.
-ORDER_DOCS = 4000
-_COMMON, _MOST_COMMON = 4, 200_000
+#: Share of the documents whose elements are counted for the first order, the same at every size. It decides how large groups are, never what is found.
+ORDER_SHARE = 1 / 12
+_COMMON, _MOST_COMMON = 4, 400_000
 #: Rounds at most before the trees look at all that is still mixed.
 ROUNDS = 3
 #: Bits of the smallest and the largest bitmap.
@@ -205,9 +205,8 @@ def compare(ids: list[int], sets: list[np.ndarray], percent: int, labels: list[i
 
 
 def _common(texts: DataFrame, words: int) -> np.ndarray:
-    """Elements (row 0) that occur often among about ORDER_DOCS documents, and how often (row 1), sorted by element."""
-    share = min(1.0, ORDER_DOCS / max(texts.count(), 1))
-    drawn = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    """Elements (row 0) that occur often among a share of ORDER_SHARE of the documents, and how often (row 1), sorted by element."""
+    drawn = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(ORDER_SHARE * (1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
