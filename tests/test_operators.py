@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trajlake.functions.pose import POSE
 from trajlake.operators import aggs, gates, joins, project, sample, seq, solve
-from trajlake.sources import capture
+from trajlake.sources import capture, export
 
 
 def flags(spark, values):
@@ -176,3 +176,30 @@ def test_npz_and_sparse_model_readers(spark, tmp_path):
     (model / "points3D.bin").write_bytes(struct.pack("<QQ3d3BdQ2i", 1, 7, 1, 2, 3, 255, 0, 0, 0.5, 1, 3, 0))
     t = capture.read_sparse_model(spark, str(model))
     assert t["cameras"].first().params == [500, 500, 320, 240] and t["images"].first().name == "f.jpg" and t["points"].first().r == 1.0
+    assert [tuple(r)[:5] for r in t["observations"].collect()] == [(3, 0, 5.0, 6.0, 7)]
+
+
+def test_training_table_refuses_late_frames(spark, tmp_path):
+    rows = [(c, k, k / 10 + late) for c, late in (("a", 0.0), ("b", 0.001), (None, 5.0)) for k in range(3)]
+    df = spark.createDataFrame(rows, "clip string, k int, t double").withColumns({"x": F.lit(1.0), "task": F.lit("t"), "ok": F.lit(True)})
+
+    def write(name, df):
+        export.write_training_table(df, str(tmp_path / name), ["clip"], "k", "t", 10.0, ["x"], ["x"], "task", "ok")
+
+    with pytest.raises(ValueError, match="timestamps"):
+        write("late", df)
+    assert not (tmp_path / "late" / "data").exists()
+    with pytest.raises(ValueError, match="timestamps"):
+        write("null", df.withColumn("t", F.when(F.col("k") > 0, F.col("t"))))
+    write("good", df.where("clip is null or clip = 'a'"))
+    assert spark.read.parquet(str(tmp_path / "good" / "data")).count() == 3
+    write("empty", df.limit(0))
+
+
+def test_bundles_are_bounded(spark, tmp_path):
+    rows = [("a", k, k / 10, 1.0, 2.0, float(k), None if k == 1 else 0.5, k == 2) for k in range(5)]
+    df = spark.createDataFrame(rows, "clip string, frame int, t_s double, tx double, ty double, tz double, width_m double, closed boolean")
+    export.write_episode_arrays(df, str(tmp_path), most=2)
+    assert sorted(p.name for p in tmp_path.glob("*")) == ["a-0.npz", "a-1.npz", "a-2.npz"]
+    back = capture.read_episode_arrays(spark, str(tmp_path)).orderBy("t_s").collect()
+    assert [(r.k, r.tz, r.width_m, r.closed) for r in back] == [(k % 2, float(k), None if k == 1 else 0.5, k == 2) for k in range(5)]

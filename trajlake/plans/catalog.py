@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trajlake.plans import aggregates, curation, files, joins, poses, sequences  # noqa: F401
+from trajlake.plans import aggregates, curation, exports, files, joins, poses, sequences  # noqa: F401
 from trajlake.plans.registry import QUERIES, SQL
 
 

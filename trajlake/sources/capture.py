@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -116,7 +116,7 @@ _MODEL_PARAMS = {0: 3, 1: 4, 2: 4, 3: 5, 4: 8, 5: 8, 6: 12, 7: 5, 8: 4, 9: 5, 10
 
 
 def read_sparse_model(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """cameras, images and points of binary sparse models; 2-D points and tracks are skipped. One file is one task."""
+    """cameras, images, observations (2-D points; a null point_id is none) and points of binary sparse models; tracks repeat observations and are skipped. One file is one task."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "{cameras,images,points3D}.bin").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def cameras(data: bytes) -> list[dict]:
@@ -138,6 +138,17 @@ def read_sparse_model(spark: SparkSession, path: str) -> dict[str, DataFrame]:
             at = end + 9 + 24 * points
         return out
 
+    def observations(data: bytes) -> list[dict]:
+        (n,), at, out = struct.unpack_from("<Q", data), 8, []
+        for _ in range(n):
+            (image,) = struct.unpack_from("<i", data, at)
+            end = data.index(b"\0", at + 64)
+            (seen,) = struct.unpack_from("<Q", data, end + 1)
+            for kp, (u, v, point) in enumerate(struct.iter_unpack("<ddq", data[end + 9 : end + 9 + 24 * seen])):
+                out.append({"image_id": image, "kp": kp, "u": u, "v": v, "point_id": point if point >= 0 else None})
+            at = end + 9 + 24 * seen
+        return out
+
     def points(data: bytes) -> list[dict]:
         (n,), at, out = struct.unpack_from("<Q", data), 8, []
         for _ in range(n):
@@ -146,13 +157,13 @@ def read_sparse_model(spark: SparkSession, path: str) -> dict[str, DataFrame]:
             at += 51 + 8 * track
         return out
 
-    def table(name: str, parse, schema: str) -> DataFrame:
+    def table(name: str, parse: Callable[[bytes], list[dict]], schema: str) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in batches:
                 for file, content in zip(f["path"], f["content"], strict=True):
                     rows = parse(content)
                     if rows:
-                        yield pd.DataFrame(rows).assign(source_file=file)
+                        yield pd.DataFrame(rows, dtype=object).assign(source_file=file)
 
         return files.where(F.col("path").endswith(f"/{name}.bin")).mapInPandas(run, f"{schema}, source_file string")
 
@@ -160,6 +171,7 @@ def read_sparse_model(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {
         "cameras": table("cameras", cameras, "camera_id int, model int, width bigint, height bigint, params array<double>"),
         "images": table("images", images, f"image_id int, {pose}, camera_id int, name string"),
+        "observations": table("images", observations, "image_id int, kp int, u double, v double, point_id bigint"),
         "points": table("points3D", points, "point_id bigint, x double, y double, z double, r double, g double, b double, error double"),
     }
 
