@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trajlake.llm.common import table
 from trajlake.llm.exact_dedup import exact_dedup
+from trajlake.llm.filter_audit import audit
 from trajlake.llm.fingerprint import fingerprints
 from trajlake.llm.html_text import extract
 from trajlake.llm.language_id import identify
@@ -65,6 +66,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language_id, op2_html_text, op3_fingerprints, op4_licenses, op5_exact_dedup, op6_warc, op7_ngram_join, op8_lm_score, op9_mixing, op10_packing, pipeline)
+    own = (op1_language_id, op2_html_text, op3_fingerprints, op4_licenses, op5_exact_dedup, op6_warc, op7_ngram_join, op8_lm_score, op9_mixing, op10_packing, op13_filter_audit, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -82,4 +87,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                    doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
             FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)""",
+        "op13_filter_audit": r"""
+            WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+            f AS (SELECT doc_id, part, len(ws) < 50 AS a, 100 * len(list_distinct(ws)) < 65 * len(ws) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c,
+                regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM w),
+            l AS (SELECT doc_id, coalesce(max((quality = 1)::int), 0) AS good, coalesce(max((toxic = 1)::int), 0) AS bad FROM labels GROUP BY 1),
+            m AS (SELECT part, a::int + 2 * b::int + 4 * c::int + 8 * d::int + 16 * e::int AS mask, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, count(*) AS n FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2, 3, 4),
+            x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), o AS (SELECT p.x || q.x || r.x || s.x || t.x AS o FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+            s AS (SELECT o AS filter_order, k::int AS step, o[k] AS name, 1 << (ascii(o[k]) - 65) AS own, list_sum([1 << (ascii(z) - 65) FOR z IN string_split(o[1:k - 1], '') IF z <> ''])::int AS before FROM o, generate_series(1, 5) g(k)),
+            j AS (SELECT *, (mask & own) > 0 AS fails, (mask & coalesce(before, 0)) > 0 AS gone FROM m, s),
+            r AS (SELECT part, filter_order, step, any_value(name) AS name, sum(n) FILTER (NOT fails AND NOT gone) AS kept, sum(n) FILTER (fails AND NOT gone) AS removed, sum(n) FILTER (fails AND gone) AS redundant,
+                sum(n) FILTER (mask = own) AS unique_fails, sum(n * good) FILTER (fails AND NOT gone) AS good_lost, sum(n * bad) FILTER (fails AND NOT gone) AS toxic_lost FROM j GROUP BY 1, 2, 3)
+            SELECT part, filter_order, step, coalesce(kept, 0)::bigint AS kept, coalesce(removed, 0)::bigint AS removed, coalesce(redundant, 0)::bigint AS redundant, coalesce(unique_fails, 0)::bigint AS unique_fails,
+                coalesce(good_lost, 0)::bigint AS good_lost, coalesce(toxic_lost, 0)::bigint AS toxic_lost, (sum(coalesce(removed, 0)) OVER (PARTITION BY part, name))::bigint AS shapley FROM r""",
     }
