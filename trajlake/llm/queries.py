@@ -17,6 +17,7 @@ from trajlake.llm.lm_score import score
 from trajlake.llm.mixing import mix_sources
 from trajlake.llm.ngram_join import ngram_join
 from trajlake.llm.packing import pack
+from trajlake.llm.prefix_trie import trie
 from trajlake.llm.warc import archive
 
 
@@ -66,6 +67,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -77,16 +82,31 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language_id, op2_html_text, op3_fingerprints, op4_licenses, op5_exact_dedup, op6_warc, op7_ngram_join, op8_lm_score, op9_mixing, op10_packing, op13_filter_audit, pipeline)
+    own = (op1_language_id, op2_html_text, op3_fingerprints, op4_licenses, op5_exact_dedup, op6_warc, op7_ngram_join, op8_lm_score, op9_mixing, op10_packing, op12_prefix_trie, op13_filter_audit, pipeline)
     return {f.__name__: f for f in own}
 
 
+#: SQL of the unsigned crc32 of an integer's decimal digits, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split({0}::varchar, ''), lambda ch: [ascii(ch)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) WHEN acc % 2 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END), 4294967295)"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                    doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
             FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)""",
+        "op12_prefix_trie": f"""
+            WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k, {{'r': coalesce(role, ''), 'x': coalesce(text, '')}} AS m FROM conversations WHERE conv_id IS NOT NULL),
+            c AS (SELECT conv_id, list(m ORDER BY k) AS own, {_CRC.format("conv_id")} % 6 AS h FROM t GROUP BY 1),
+            s AS (SELECT c.conv_id, list_concat(coalesce(b.own, [])[1:c.h], c.own[c.h + 1:]) AS p FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 100),
+            x AS (SELECT conv_id, p[1:d] AS q, d, len(p) AS n FROM (SELECT *, unnest(generate_series(0, len(p))) AS d FROM s)),
+            n AS (SELECT q, d, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN d > 0 THEN length(q[d].x) ELSE 0 END AS chars, coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (n = d), '') AS ends FROM x GROUP BY q, d),
+            k AS (SELECT q[1:d - 1] AS q, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+            j AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (q, d)),
+            a AS (SELECT q[1:u] AS q, u AS d, sum((n_convs - 1) * chars) AS saved, sum((n_children = 0)::int) AS n_leaves FROM (SELECT *, unnest(generate_series(0, d)) AS u FROM j) GROUP BY 1, 2)
+            SELECT j.conv_id, j.d AS depth, u.conv_id AS parent_conv_id, j.n_convs, j.n_children, a.n_leaves::bigint AS n_leaves, a.saved::bigint AS saved_tokens, sha256(j.ends) AS ends_sha256
+            FROM j JOIN a ON a.q = j.q AND a.d = j.d LEFT JOIN j u ON j.d > 0 AND u.d = j.d - 1 AND u.q = j.q[1:j.d - 1]""",
         "op13_filter_audit": r"""
             WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
             f AS (SELECT doc_id, part, len(ws) < 50 AS a, 100 * len(list_distinct(ws)) < 65 * len(ws) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c,
