@@ -18,6 +18,7 @@ from trajlake.llm.mixing import mix_sources
 from trajlake.llm.ngram_join import ngram_join
 from trajlake.llm.packing import pack
 from trajlake.llm.prefix_trie import trie
+from trajlake.llm.toxicity import toxicity
 from trajlake.llm.warc import archive
 
 
@@ -67,6 +68,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(table(spark, sf_dir, "conversations"))
 
@@ -82,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language_id, op2_html_text, op3_fingerprints, op4_licenses, op5_exact_dedup, op6_warc, op7_ngram_join, op8_lm_score, op9_mixing, op10_packing, op12_prefix_trie, op13_filter_audit, pipeline)
+    own = (op1_language_id, op2_html_text, op3_fingerprints, op4_licenses, op5_exact_dedup, op6_warc, op7_ngram_join, op8_lm_score, op9_mixing, op10_packing, op11_toxicity, op12_prefix_trie, op13_filter_audit, pipeline)
     return {f.__name__: f for f in own}
 
 
