@@ -494,3 +494,20 @@ def test_licences_need_the_classifier(spark, monkeypatch):
 
     monkeypatch.setattr(licenses, "train", swapped)
     assert {(r["family"], r["predicted"]) for r in collect(scan(docs(spark, table[:1])))} == {("unknown", "GPL")}
+
+
+def test_language_learns_from_rows_without_ids(spark):
+    """Rows that share an id, or have none, are drawn each for itself; a repeated text counts once."""
+    sf = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null and lang is not null")
+    anonymous = sf.withColumn("doc_id", F.lit(None).cast("bigint"))
+    anonymous = anonymous.unionByName(spark.range(500).join(anonymous.limit(1)).drop("id"))
+    out = identify(anonymous.withColumnRenamed("lang", "given").withColumn("lang", F.col("given")), sample_docs=40)
+    seen = {r["lang_pred"] for r in out.collect()}
+    assert seen == {r["lang"] for r in sf.select("lang").distinct().collect()} | (seen & {"und"})
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark):
+    sf = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120)
+    sf = spark.createDataFrame(sf.collect(), sf.schema)
+    a, b = ({r["doc_id"]: r["score"] for r in score(sf.repartition(n)).collect()} for n in (2, 7))
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-6

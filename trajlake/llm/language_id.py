@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import remainder, short_batches
+from trajlake.llm.common import remainder, short_batches, uniform
 
 ORDER = 4
 #: Documents of each language that its tree is fitted on, about: all if it has fewer. They
-#: are drawn by a hash of their id, and bound the tree's size.
+#: are drawn by a hash of their text, and bound the tree's size.
 SAMPLE_DOCS = 1500
 SEED = 7
 UNKNOWN = "und"
@@ -106,6 +106,15 @@ class Trees:
                 own = -np.log2(count[rows] / (total + kinds)[where[rows]])
             self.bits[rows] = np.where(count[rows] > 0, own, self.escape[where[rows]] + below)
 
+    @classmethod
+    def of(cls, state: dict | None) -> Trees | None:
+        """Trees from their ``vars``: what is broadcast must not need this module where it is read."""
+        if state is None:
+            return None
+        trees = cls.__new__(cls)
+        vars(trees).update(state)
+        return trees
+
     def word_bits(self, words: list[bytes]) -> np.ndarray:
         """Code length of each word, with the white space after it, in each language."""
         codes, sym = _keys(words, self.order)
@@ -136,13 +145,14 @@ class Trees:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, order: int = ORDER, seed: int = SEED) -> Trees | None:
     """Trees from labelled rows (doc_id, lang, text); None if there are none."""
     rows = docs.where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("of"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("of"))
     langs = sorted((r["lang"], r["of"]) for r in counts.collect())
     if not langs:
         return None
-    share = F.create_map(*[F.lit(x) for lang, of in langs for x in (lang, min(1.0, sample_docs / of))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    got = count_contexts(rows.where(draw < share[F.col("lang")]), order).toPandas()
+    share = F.create_map(*[F.lit(x) for lang, of in langs for x in (lang, min(1.0, sample_docs / max(of, 1)))])
+    # By the text, not by the id, which may repeat or be null; equal texts count once, so the sample has a bound.
+    drawn = rows.where(uniform(F.col("text"), F.lit(seed)) < share[F.col("lang")]).select("lang", "text").distinct()
+    got = count_contexts(drawn, order).toPandas()
     if not len(got):
         return None
     names = sorted(got["lang"].unique())
@@ -158,13 +168,13 @@ def predict(docs: DataFrame, trees: Trees | None, text_col: str = "text") -> Dat
     of the winner among 2^-bits of all languages.
     """
     short_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(trees)
+    model = docs.sparkSession.sparkContext.broadcast(None if trees is None else vars(trees))
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col) + ", lang_pred string, score double, bits double, n_bytes bigint"
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = model.value
+        trees = Trees.of(model.value)
         known: dict[bytes, int] = {}
         held = 0
         matrix = np.zeros((1024, len(trees.langs) if trees else 0), np.float32)
