@@ -118,50 +118,157 @@ def triangulate(views: DataFrame, by: list[str], matrix: list[str], u: str = "u"
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in "xyz"})
 
 
-def register_frames(model: DataFrame, clouds: DataFrame, by: list[str], frame: str, trim: float = 0.2, rounds: int = 20, most: int = 4000) -> DataFrame:
+class VoxelGrid:
+    """Exact nearest neighbours among points, by cells of a pyramid of grids.
+
+    A query looks into its cell and the 26 around it. What it finds there within a cell's width is nearest of all; the few
+    queries that find nothing so near look again in cells twice as wide.
+    """
+
+    def __init__(self, points: np.ndarray):
+        self.points, self.low = points, points.min(0)
+        self.span = float(np.ptp(points, axis=0).max())
+        # About two points a cell, were they spread evenly over the box.
+        self.width = max(self.span * (2.0 / len(points)) ** (1 / 3), 1e-12)
+        self.grids: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _cells(self, at: np.ndarray, level: int) -> np.ndarray:
+        return np.floor((at - self.low) / (self.width * 2.0**level)).astype(np.int64)
+
+    @staticmethod
+    def _code(cells: np.ndarray) -> np.ndarray:
+        # Cells of the points lie in [0, 2^20); all others get a code that no point has.
+        inside = ((cells >= 0) & (cells < 1 << 20)).all(-1)
+        return np.where(inside, cells[..., 0] << 40 | cells[..., 1] << 20 | cells[..., 2], -1)
+
+    def _grid(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        if level not in self.grids:
+            code = self._code(self._cells(self.points, level))
+            order = np.argsort(code, kind="stable")
+            self.grids[level] = code[order], order
+        return self.grids[level]
+
+    def nearest(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the nearest point, the first of equally near ones, and its squared distance, for each row of ``at``."""
+        best, gap = np.zeros(len(at), np.int64), np.full(len(at), np.inf)
+        around = np.stack(np.meshgrid(*[np.arange(-1, 2)] * 3, indexing="ij"), -1).reshape(-1, 3)
+        todo, level = np.arange(len(at)), 0
+        while len(todo):
+            width = self.width * 2.0**level
+            if width > 2 * self.span:
+                # Wider cells tell nothing apart any more: these are far from all points.
+                for part in np.array_split(todo, -(-len(todo) // 64)):
+                    d = ((at[part, None] - self.points[None]) ** 2).sum(2)
+                    best[part], gap[part] = d.argmin(1), d.min(1)
+                break
+            code, order = self._grid(level)
+            wanted = self._code(self._cells(at[todo], level)[:, None] + around[None])
+            first, last = np.searchsorted(code, wanted), np.searchsorted(code, wanted, "right")
+            n = np.where(wanted >= 0, last - first, 0).ravel()
+            own = np.repeat(np.arange(len(todo)), n.reshape(len(todo), 27).sum(1))
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found = order[np.repeat(first.ravel(), n) + place]
+            d = ((at[todo][own] - self.points[found]) ** 2).sum(1)
+            rank = np.lexsort((found, d, own))
+            own, found, d = own[rank], found[rank], d[rank]
+            top = np.flatnonzero(np.diff(own, prepend=-1))
+            best[todo[own[top]]], gap[todo[own[top]]] = found[top], d[top]
+            todo = todo[gap[todo] > width * width]
+            level += 1
+        return best, gap
+
+
+def trimmed_icp(source: np.ndarray, target: np.ndarray, start: np.ndarray, trim: float, rounds: int) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """Rotation, translation, rmse and pairs of the rigid fit of ``source`` to ``target``, from rotation ``start`` at the target's centre.
+
+    The worst ``trim`` of the pairs of each round don't count; ``rmse`` is of the kept pairs before the last update.
+    """
+    source, target = (a[np.lexsort(a.T)] for a in (source, target))
+    grid = VoxelGrid(target)
+    rot, t = start, target.mean(0) - start @ source.mean(0)
+    keep = max(4, int(len(source) * (1 - trim)))
+    rmse, n = float("nan"), 0
+    for _ in range(rounds):
+        moved = source @ rot.T + t
+        near, gap = grid.nearest(moved)
+        kept = np.argsort(gap, kind="stable")[:keep]
+        rmse, n = float(np.sqrt(gap[kept].mean())), len(kept)
+        a, b = moved[kept], target[near[kept]]
+        step = nearest_rotation((b - b.mean(0)).T @ (a - a.mean(0)))
+        rot, t = nearest_rotation(step @ rot), step @ (t - a.mean(0)) + b.mean(0)
+    return rot, t, rmse, n
+
+
+def register_frames(model: DataFrame, clouds: DataFrame, by: list[str], frame: str, trim: float = 0.2, rounds: int = 20, most: int = 4000, chain: bool = False) -> DataFrame:
     """by, frame, pose, rmse, n: the canonical model moved onto each frame's cloud, from the cloud's centre, by trimmed ICP.
 
-    Each frame starts for itself, so frames run in parallel. A side keeps ``most`` points at most,
-    drawn by a hash of their id; ``rmse`` is of the kept pairs before the last update.
+    Both have by, point_id, x, y, z, and ``clouds`` the frame. A side keeps ``most`` points at most, drawn by a hash of their id; a
+    frame or a model of under four points has no row. Each frame starts upright and for itself, so frames run in parallel. With
+    ``chain`` it starts from the rotation of the frame before it that had a fit, as a turning object needs: a
+    group's points then pass one task in frame order, which holds the model and one frame at a time, and groups run in parallel.
     """
     from trajlake.operators.sample import seeded_cap
 
-    m = seeded_cap(model, most, 1, by, "point_id").groupBy(*by).agg(F.collect_list(F.array("x", "y", "z")).alias("_m"))
-    c = seeded_cap(clouds, most, 2, [*by, frame], "point_id").groupBy(*by, frame).agg(F.collect_list(F.array("x", "y", "z")).alias("_c"))
-    rows = c.join(m, by)
-
-    def icp(source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, int]:
-        source, target = (a[np.lexsort(a.T)] for a in (source, target))
-        rot, t = np.eye(3), target.mean(0) - source.mean(0)
-        keep = max(4, int(len(source) * (1 - trim)))
-        rmse = float("nan")
-        for _ in range(rounds):
-            moved = source @ rot.T + t
-            near = np.empty(len(moved), int)
-            gap = np.empty(len(moved))
-            for at in range(0, len(moved), 256):
-                d = ((moved[at : at + 256, None] - target[None]) ** 2).sum(2)
-                near[at : at + 256] = d.argmin(1)
-                gap[at : at + 256] = d.min(1)
-            best = np.argsort(gap, kind="stable")[:keep]
-            rmse = float(np.sqrt(gap[best].mean()))
-            a, b = moved[best], target[near[best]]
-            step = nearest_rotation((b - b.mean(0)).T @ (a - a.mean(0)))
-            rot, t = step @ rot, step @ (t - a.mean(0)) + b.mean(0)
-        return rot, t, rmse, len(best)
+    points = [*by, "point_id", "x", "y", "z"]
+    m = seeded_cap(model.select(*points), most, 1, by, "point_id")
+    c = seeded_cap(clouds.select(*points, frame), most, 2, [*by, frame], "point_id")
+    kinds = {k: c.schema[k].dataType.simpleString() for k in (*by, frame)}
+    schema = ", ".join(f"`{k}` {t}" for k, t in kinds.items()) + ", " + ", ".join(f"{k} double" for k in POSE) + ", rmse double, n double"
+    names = [*by, frame, *POSE, "rmse", "n"]
+    if chain:
+        return _chained(m, c, by, frame, trim, rounds, names, schema)
+    sides = [d.groupBy(*keys).agg(F.collect_list(F.array("x", "y", "z")).alias(out)) for d, keys, out in ((c, [*by, frame], "_c"), (m, by, "_m"))]
+    rows = sides[0].join(sides[1], by)
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for a, b in zip(f["_m"], f["_c"], strict=True):
+            for keys, a, b in zip(f[[*by, frame]].itertuples(index=False), f["_m"], f["_c"], strict=True):
                 x, y = (np.array([list(p) for p in v], float).reshape(-1, 3) for v in (a, b))
-                if len(x) < 4 or len(y) < 4:
-                    out.append([np.nan] * 9)
-                    continue
-                rot, t, rmse, n = icp(x, y)
-                out.append([*t, *_quaternion(rot), rmse, n])
-            got = pd.DataFrame(out, columns=[*POSE, "rmse", "n"])
-            yield pd.concat([f[[*by, frame]].reset_index(drop=True), got], axis=1).dropna(subset=["rmse"])
-
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in (*by, frame))
-    return rows.mapInPandas(solve, f"{kinds}, " + ", ".join(f"{k} double" for k in POSE) + ", rmse double, n double")
+                if min(len(x), len(y)) >= 4:
+                    rot, t, rmse, n = trimmed_icp(x, y, np.eye(3), trim, rounds)
+                    out.append([*keys, *t, *_quaternion(rot), rmse, n])
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.mapInPandas(solve, schema)
+
+
+def _chained(model: DataFrame, clouds: DataFrame, by: list[str], frame: str, trim: float, rounds: int, names: list[str], schema: str) -> DataFrame:
+    both = model.withColumn(frame, F.lit(None).cast(clouds.schema[frame].dataType)).unionByName(clouds.where(F.col(frame).isNotNull()))
+    # The model comes first, as its frame is null.
+    stream = both.select(*by, frame, "x", "y", "z").repartition(*by).sortWithinPartitions(*by, F.asc_nulls_first(frame))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, at, source, rot = None, None, np.zeros((0, 3)), np.eye(3)
+        parts: list[np.ndarray] = []
+
+        def fit() -> list[list]:
+            nonlocal source, rot
+            points = np.concatenate(parts) if parts else np.zeros((0, 3))
+            parts.clear()
+            if at is None:
+                source = points
+            elif min(len(source), len(points)) >= 4:
+                rot, t, rmse, n = trimmed_icp(source, points, rot, trim, rounds)
+                return [[*group, at, *t, *_quaternion(rot), rmse, n]]
+            return []
+
+        for f in batches:
+            out: list[list] = []
+            keys = [tuple(k) for k in f[by].itertuples(index=False)]
+            frames = [None if pd.isna(x) else x for x in f[frame]]
+            xyz = f[["x", "y", "z"]].to_numpy(float)
+            edges = [i for i in range(len(f)) if i == 0 or keys[i] != keys[i - 1] or frames[i] != frames[i - 1]]
+            for lo, hi in zip(edges, [*edges[1:], len(f)], strict=True):
+                if keys[lo] != group or frames[lo] != at:
+                    if group is not None:
+                        out += fit()
+                    if keys[lo] != group:
+                        source, rot = np.zeros((0, 3)), np.eye(3)
+                    group, at = keys[lo], frames[lo]
+                parts.append(xyz[lo:hi])
+            yield pd.DataFrame(out, columns=names)
+        if group is not None:
+            yield pd.DataFrame(fit(), columns=names)
+
+    return stream.mapInPandas(solve, schema)

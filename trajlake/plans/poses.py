@@ -156,7 +156,26 @@ def e11_fit_sim3(spark, sf):
     return rounded(out, out.columns[2:], 5)
 
 
-@query()
+_R9 = dict(zip([f"r{i}{j}" for i in range(3) for j in range(3)], ["1 - 2 * (qy * qy + qz * qz)", "2 * (qx * qy - qw * qz)", "2 * (qx * qz + qw * qy)", "2 * (qx * qy + qw * qz)", "1 - 2 * (qx * qx + qz * qz)", "2 * (qy * qz - qw * qx)", "2 * (qx * qz - qw * qy)", "2 * (qy * qz + qw * qx)", "1 - 2 * (qx * qx + qy * qy)"], strict=True))
+#: The symmetric 4 x 4 matrix whose largest eigenvector is the mean rotation, moved up so that no eigenvalue is negative.
+_K4 = {"00": "r00 + r11 + r22 + 4", "01": "r21 - r12", "02": "r02 - r20", "03": "r10 - r01", "11": "r00 - r11 - r22 + 4", "12": "r10 + r01", "13": "r02 + r20", "22": "r11 - r00 - r22 + 4", "23": "r21 + r12", "33": "r22 - r00 - r11 + 4"}
+
+
+def _at(i: int, j: int) -> str:
+    return f"k{min(i, j)}{max(i, j)}"
+
+
+_SQUARE = {ij: " + ".join(f"{_at(int(ij[0]), m)} * {_at(m, int(ij[1]))}" for m in range(4)) for ij in _K4}
+_TRACE = " + ".join(f"({_SQUARE[f'{i}{i}']})" for i in range(4))
+
+
+@query(f"""WITH RECURSIVE {TRAJ}, v AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY frame) - 1 AS k, count(*) OVER (PARTITION BY clip) AS m FROM traj WHERE valid),
+    p AS (SELECT DISTINCT clip, (u * (m - 1)) // 39 AS k FROM (SELECT DISTINCT clip, m FROM v WHERE m > 40), generate_series(0, 39) g(u)), d AS (SELECT * FROM v WHERE m <= 40 UNION ALL SELECT v.* FROM v JOIN p USING (clip, k)),
+    a AS (SELECT clip, count(*) AS n, {", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in _T)}, {", ".join(f"avg({e}) AS {c}" for c, e in _R9.items())} FROM d GROUP BY 1 HAVING count(*) >= 3),
+    s AS (SELECT clip, 0 AS step, {", ".join(f"({e}) / 10 AS k{ij}" for ij, e in _K4.items())} FROM a UNION ALL SELECT clip, step + 1, {", ".join(f"({e}) / ({_TRACE})" for e in _SQUARE.values())} FROM s WHERE step < 30),
+    e AS (SELECT clip, CASE WHEN k00 >= greatest(k11, k22, k33) THEN [k00, k01, k02, k03] WHEN k11 >= greatest(k22, k33) THEN [k01, k11, k12, k13] WHEN k22 >= k33 THEN [k02, k12, k22, k23] ELSE [k03, k13, k23, k33] END AS q FROM s WHERE step = 30),
+    f AS (SELECT clip, list_transform(q, lambda x: x / sqrt(list_sum(list_transform(q, lambda y: y * y))) * CASE WHEN q[1] < 0 THEN -1 ELSE 1 END) AS q FROM e)
+    SELECT a.clip, n, {", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _T)}, {", ".join(f"round(q[{i + 1}], 5) + 0.0 AS {c}" for i, c in enumerate(_Q))} FROM a JOIN f USING (clip)""")
 def e13_reference_pose(spark, sf):
     return rounded_pose(solve.reference_pose(traj(spark, sf).where("valid"), ["clip"], "frame").select("clip", "n", *POSE))
 
@@ -203,10 +222,15 @@ def i1_triangulate(spark, sf):
     return rounded(out.select("clip", "vec_id", "x", "y", "z"), ["x", "y", "z"], 4)
 
 
-@query()
+def _model(spark, sf):
+    return traj(spark, sf).select("clip", F.col("vec_id").alias("point_id"), F.col("tx").alias("x"), F.col("ty").alias("y"), F.col("tz").alias("z"))
+
+
+@query("""WITH m AS (SELECT label AS clip, count(*) AS n FROM embeddings GROUP BY 1) SELECT clip, f AS frame, round(0.1 * f, 3) AS tx, round(0.2 * f, 3) AS ty, round(0.3 * f, 3) AS tz,
+    0.999 AS qw, 0.03 AS qx, 0.02 AS qy, 0.035 AS qz, 0.0 AS rmse, greatest(4.0, floor(n * 0.8)) AS n FROM m, (SELECT unnest([0, 1])::int AS f) WHERE n >= 4""")
 def i2_register_frames(spark, sf):
-    t = traj(spark, sf)
-    model = t.select("clip", F.col("vec_id").alias("point_id"), F.col("tx").alias("x"), F.col("ty").alias("y"), F.col("tz").alias("z"))
+    """Clouds that are the model, turned a little and moved: the fit must give that motion back."""
+    model = _model(spark, sf)
     q = lits(0.99875, 0.03, 0.02, 0.035)
     frames = model.withColumn("frame", F.explode(F.array(F.lit(0), F.lit(1))))
     moved = add(rotate(q, cols("x", "y", "z")), tuple(F.col("frame") * c for c in (0.1, 0.2, 0.3)))
@@ -214,6 +238,21 @@ def i2_register_frames(spark, sf):
     return rounded(solve.register_frames(model, clouds, ["clip"], "frame"), [*POSE, "rmse"], 3)
 
 
+_TURN = 5
+
+
+@query(f"""WITH m AS (SELECT label AS clip, count(*) AS n FROM embeddings GROUP BY 1) SELECT clip, f AS frame, round(0.01 * f, 3) AS tx, round(-0.02 * f, 3) + 0.0 AS ty, 0.0 AS tz,
+    round(cos(radians({_TURN} / 2.0 * f)), 3) AS qw, 0.0 AS qx, 0.0 AS qy, round(sin(radians({_TURN} / 2.0 * f)), 3) AS qz, 0.0 AS rmse, greatest(4.0, floor(n * 0.8)) AS n FROM m, (SELECT unnest(generate_series(0, 24))::int AS f) WHERE n >= 4""")
+def i2_register_chained(spark, sf):
+    """The model turns by 120 degrees over 25 frames: each frame starts from the one before."""
+    model = _model(spark, sf)
+    frames = model.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(24))))
+    half = F.radians(F.col("frame") * (_TURN / 2.0))
+    moved = add(rotate((F.cos(half), F.lit(0.0), F.lit(0.0), F.sin(half)), cols("x", "y", "z")), (F.col("frame") * 0.01, F.col("frame") * -0.02, F.lit(0.0)))
+    clouds = frames.withColumns(dict(zip("xyz", moved, strict=True)))
+    return rounded(solve.register_frames(model, clouds, ["clip"], "frame", chain=True), [*POSE, "rmse"], 3)
+
+
 @query(f"WITH {TRAJ} SELECT clip, frame, {r(_T, _T, 6)}, {rq(_Q)} FROM traj")
 def b11_round_trip(spark, sf):
     """A similarity and its inverse: how far each pose comes back off."""
