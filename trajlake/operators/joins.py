@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trajlake.operators.scan import STRETCH_ROWS, Scan
+
 #: As many rows as a side may have to be broadcast: vectors or cameras take a few KB each.
 BROADCAST_ROWS = 20_000
 
@@ -19,7 +21,7 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if len(df.limit(most + 1).select(F.lit(1)).collect()) <= most else df
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, on: str, by: list[str], tolerance: Column | float | None = None, right_cols: list[str] | None = None) -> DataFrame:
+def asof_nearest(left: DataFrame, right: DataFrame, on: str, by: list[str], tolerance: Column | float | None = None, right_cols: list[str] | None = None, stretch: int = STRETCH_ROWS) -> DataFrame:
     """``left`` with r_* of the row of ``right`` nearest in ``on``, ties to the earlier, none beyond the tolerance.
 
     The default tolerance is half of the right side's mean interval. Both sides go
@@ -29,12 +31,8 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: str, by: list[str], tole
     stats = right.groupBy(*by).agg(F.count("*").alias("_n"), (F.max(on) - F.min(on)).alias("_span"))
     lefts = left.select(*by, F.col(on).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(_struct(right, right_cols)).alias("_r"))
     rights = right.select(*by, F.col(on).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(_struct(left, left.columns)).alias("_l"), F.struct(*right_cols).alias("_r"))
-    w = Window.partitionBy(*by).orderBy("_t", "_side")
-    both = lefts.unionByName(rights)
-    before = F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    back = Window.partitionBy(*by).orderBy(F.desc("_t"), F.desc("_side"))
-    after = F.last("_r", True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = both.withColumn("_b", before).withColumn("_a", after).where("_side = 1").join(stats, by, "left")
+    both = Scan(lefts.unionByName(rights), by, ["_t", "_side"], stretch).last(_b=F.col("_r")).next(_a=F.col("_r"))
+    rows = both.df.where("_side = 1").join(small(stats), by, "left")
     later = F.col("_b").isNull() | (F.col(f"_a.{on}") - F.col("_t") < F.col("_t") - F.col(f"_b.{on}"))
     rows = rows.withColumn("_c", F.when(F.coalesce(later, F.lit(False)), F.col("_a")).otherwise(F.col("_b")))
     most = F.when(F.col("_n") > 0, 0.5 * F.col("_span") / F.col("_n")) if tolerance is None else F.lit(tolerance)

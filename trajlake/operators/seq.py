@@ -7,39 +7,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trajlake.functions.pose import POSE, cols, dot, lerp, named, norm, scale, slerp, slerp_weights, sub, unit
+from trajlake.operators.scan import STRETCH_ROWS, Scan
 
 
 def _w(by: list[str], order: str):
     return Window.partitionBy(*by).orderBy(order)
 
 
-def _so_far(by: list[str], order: str):
-    return _w(by, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
-def _from_here(by: list[str], order: str):
-    """The rows from the last one back to the current one: a frame that only grows, so the nearest following value is the last in it."""
-    return Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
-def schmitt(df: DataFrame, col: str, close: Column | float, open_: Column | float, by: list[str], order: str, out: str = "closed") -> DataFrame:
+def schmitt(df: DataFrame, col: str, close: Column | float, open_: Column | float, by: list[str], order: str, out: str = "closed", stretch: int = STRETCH_ROWS) -> DataFrame:
     """Closed below ``close``, open above ``open_``, else as before; a missing value holds; starts open. Needs close <= open."""
     says = F.when(F.col(col) < close, F.lit(True)).when(F.col(col) > open_, F.lit(False))
-    return df.withColumn(out, F.coalesce(F.last(says, ignorenulls=True).over(_so_far(by, order)), F.lit(False)))
+    scan = Scan(df, by, order, stretch).last(_closed=says)
+    closed = F.coalesce("_closed", F.lit(False))
+    return scan.add(**{out: closed}).done(*[out] * (out not in df.columns))
 
 
-def absorb_short_runs(df: DataFrame, col: str, least: int, by: list[str], order: str) -> DataFrame:
+def absorb_short_runs(df: DataFrame, col: str, least: int, by: list[str], order: str, stretch: int = STRETCH_ROWS) -> DataFrame:
     """Runs of under ``least`` rows take the value of the last run that stays; the first and last run stay."""
     if least <= 1:
         return df
-    w = _w(by, order)
-    starts = F.coalesce((F.col(col) != F.lag(col).over(w)).cast("int"), F.lit(0))
-    runs = df.withColumn("_run", F.sum(starts).over(_so_far(by, order)))
-    length = F.count("*").over(Window.partitionBy(*by, "_run"))
-    last = F.max("_run").over(Window.partitionBy(*by))
-    stays = (F.col("_run") == 0) | (F.col("_run") == last) | (length >= least)
-    value = F.last(F.when(F.col("_stays"), F.col(col)), ignorenulls=True).over(_so_far(by, order))
-    return runs.withColumn("_stays", stays).withColumn(col, value).drop("_run", "_stays")
+    # A run's length is the way from its first row to its last one, so that no run's rows have to meet.
+    differs = lambda c: F.coalesce(F.col(col) != F.col(c), F.lit(False))
+    scan = Scan(df, by, order, stretch).total(_at=F.lit(1)).previous(_before=F.col(col), _had=F.lit(True)).following(_after=F.col(col), _has=F.lit(True))
+    scan.last(_first=F.when(F.col("_had").isNull() | differs("_before"), F.col("_at"))).next(_last=F.when(F.col("_has").isNull() | differs("_after"), F.struct("_at", F.col("_has").isNull().alias("end"))))
+    stays = (F.col("_first") == 1) | F.col("_last.end") | (F.col("_last._at") - F.col("_first") + 1 >= least)
+    return scan.last(_value=F.when(stays, F.col(col))).add(**{col: F.col("_value")}).done()
 
 
 def adaptive_thresholds(df: DataFrame, col: str, by: list[str], close: float, open_: float, least_range: float, least_rows: int = 10) -> DataFrame:
@@ -57,69 +49,82 @@ def adaptive_thresholds(df: DataFrame, col: str, by: list[str], close: float, op
     )
 
 
-def fill_gaps(df: DataFrame, col: str, by: list[str], order: str) -> DataFrame:
+def fill_gaps(df: DataFrame, col: str, by: list[str], order: str, stretch: int = STRETCH_ROWS) -> DataFrame:
     """Missing values by linear interpolation in ``order`` between their neighbours; edges hold."""
-    before, after = _so_far(by, order), _from_here(by, order)
-    at = F.when(F.col(col).isNotNull(), F.col(order))
-    df = df.withColumns({"_v0": F.last(col, True).over(before), "_v1": F.last(col, True).over(after), "_t0": F.last(at, True).over(before), "_t1": F.last(at, True).over(after)})
-    u = F.when(F.col("_t1") > F.col("_t0"), (F.col(order) - F.col("_t0")) / (F.col("_t1") - F.col("_t0"))).otherwise(F.lit(0.0))
-    value = F.when(F.col("_v0").isNull(), F.col("_v1")).when(F.col("_v1").isNull(), F.col("_v0")).otherwise(F.col("_v0") + (F.col("_v1") - F.col("_v0")) * u)
-    return df.withColumn(col, value).drop("_v0", "_v1", "_t0", "_t1")
+    own = F.when(F.col(col).isNotNull(), F.struct(F.col(col).alias("v"), F.col(order).alias("t")))
+    scan = Scan(df, by, order, stretch).last(_a=own).next(_b=own)
+    v0, v1, t0, t1 = F.col("_a.v"), F.col("_b.v"), F.col("_a.t"), F.col("_b.t")
+    u = F.when(t1 > t0, (F.col(order) - t0) / (t1 - t0)).otherwise(F.lit(0.0))
+    value = F.when(v0.isNull(), v1).when(v1.isNull(), v0).otherwise(v0 + (v1 - v0) * u)
+    return scan.add(**{col: value}).done()
 
 
-def fill_pose_gaps(df: DataFrame, by: list[str], order: str, valid: str = "valid") -> DataFrame:
+def fill_pose_gaps(df: DataFrame, by: list[str], order: str, valid: str = "valid", stretch: int = STRETCH_ROWS) -> DataFrame:
     """Poses of invalid rows between their valid neighbours: slerp and lerp; edges hold the nearest; none valid gives NULL."""
-    before, after = _so_far(by, order), _from_here(by, order)
     own = F.when(F.col(valid), F.struct(*[F.col(p).alias(p) for p in POSE], F.col(order).alias("at")))
-    df = df.withColumn("_a", F.last(own, True).over(before)).withColumn("_b", F.last(own, True).over(after))
-    df = df.withColumn("_a", F.coalesce("_a", "_b")).withColumn("_b", F.coalesce("_b", "_a"))
+    scan = Scan(df, by, order, stretch).last(_a=own).next(_b=own)
+    scan.add(_a=F.coalesce("_a", "_b"), _b=F.coalesce("_b", "_a"))
     a, b = ([F.col(f"{s}.{p}") for p in POSE] for s in ("_a", "_b"))
     span = F.col("_b.at") - F.col("_a.at")
     # Each step a column of its own, so that no expression holds the steps before it several times.
-    df = df.withColumn("_u", F.when(span > 0, (F.col(order) - F.col("_a.at")) / span).otherwise(F.lit(0.0))).withColumn("_d", dot(a[3:], b[3:]))
-    df = df.withColumns(dict(zip(("_wa", "_wb"), slerp_weights(F.col("_d"), F.col("_u")), strict=True)))
-    df = df.withColumns({f"_{p}": x * F.col("_wa") + y * F.col("_wb") for p, x, y in zip(POSE[3:], a[3:], b[3:], strict=True)})
+    scan.add(_u=F.when(span > 0, (F.col(order) - F.col("_a.at")) / span).otherwise(F.lit(0.0)), _d=dot(a[3:], b[3:]))
+    scan.add(**dict(zip(("_wa", "_wb"), slerp_weights(F.col("_d"), F.col("_u")), strict=True)))
+    scan.add(**{f"_{p}": x * F.col("_wa") + y * F.col("_wb") for p, x, y in zip(POSE[3:], a[3:], b[3:], strict=True)})
     q = unit(tuple(F.col(f"_{p}") for p in POSE[3:]), least=0.0)
     inside = F.col(valid) | (span <= 0)
     values = [F.when(inside, x).otherwise(y) for x, y in zip(a, [*lerp(a[:3], b[:3], F.col("_u")), *q], strict=True)]
-    return df.withColumns(dict(zip(POSE, values, strict=True))).drop("_a", "_b", "_u", "_d", "_wa", "_wb", *[f"_{p}" for p in POSE[3:]])
+    return scan.add(**dict(zip(POSE, values, strict=True))).done()
+
 
+def smooth_poses(df: DataFrame, window: int, by: list[str], order: str, stretch: int = STRETCH_ROWS) -> DataFrame:
+    """Centred mean of positions and of sign-aligned quaternions, renormalised; the window is made odd after it is cut to the length.
 
-def smooth_poses(df: DataFrame, window: int, by: list[str], order: str) -> DataFrame:
-    """Centred mean of positions and of sign-aligned quaternions, renormalised; the window is made odd after it is cut to the length."""
+    Means are differences of running sums, so a row costs the same at any width. Missing values, NaN too, don't count.
+    """
     if window <= 1:
         return df
-    w, whole = _w(by, order), Window.partitionBy(*by)
     q = ("qw", "qx", "qy", "qz")
-    df = df.withColumns({f"_l{c}": F.lag(c).over(w) for c in q})
-    flips = (dot(cols(*q), cols(*[f"_l{c}" for c in q])) < 0).cast("int")
-    df = df.withColumn("_flip", F.coalesce(flips, F.lit(0))).withColumn("_n", F.count("*").over(whole)).withColumn("_k", F.row_number().over(w))
-    sign = F.when(F.sum("_flip").over(_so_far(by, order)) % 2 == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
-    df = df.withColumn("_s", sign).withColumns({f"_a{c}": F.col(c) * F.col("_s") for c in q})
-
-    def mean(c: str) -> Column:
-        # The half width is the same for all sequences at least as long as the window.
-        return F.avg(c).over(w.rowsBetween(-(window // 2), window // 2))
-
-    half = [h for h in range(1, window // 2)]
+    own = Scan(df, by, order, stretch).previous(**{f"_l{c}": F.col(c) for c in q}).total(_k=F.lit(1))
+    flips = F.coalesce((dot(cols(*q), cols(*[f"_l{c}" for c in q])) < 0).cast("int"), F.lit(0))
+    own.total(_flips=flips).add(_s=F.when(F.col("_flips") % 2 == 1, F.lit(-1.0)).otherwise(F.lit(1.0)))
+    values = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) * (F.col("_s") if c in q else 1.0) for c in ("tx", "ty", "tz", *q)}
+    own.add(**{f"_x{c}": v for c, v in values.items()}).total(**{f"_t{c}": F.col(f"_x{c}") for c in values}, **{f"_c{c}": F.col(f"_x{c}").isNotNull().cast("bigint") for c in values})
+    n = own.df.groupBy(*by).agg(F.count("*").alias("_n")) if own.cut else None
+    rows = own._with(own.df, n) if own.cut and len(n.limit(20_001).take(20_001)) <= 20_000 else own.df.join(n, by) if own.cut else own.df.withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
     sizes = F.least(F.lit(window), F.col("_n"))
-    width = F.when(sizes % 2 == 0, sizes - 1).otherwise(sizes)
-    width = F.when((sizes % 2 == 0) & (F.col("_n") >= window), F.lit(window + 1 - window % 2)).otherwise(width)
-
-    def smoothed(c: str) -> Column:
-        value = mean(c)
-        for h in half:
-            value = F.when(width == 2 * h + 1, F.avg(c).over(w.rowsBetween(-h, h))).otherwise(value)
-        return value
-
-    names = ["tx", "ty", "tz", *[f"_a{c}" for c in q]]
-    df = df.withColumns({f"_m{c}": smoothed(c) for c in names})
-    length = norm(cols(*[f"_m_a{c}" for c in q]))
+    width = F.when(sizes % 2 == 1, sizes).when(F.col("_n") >= window, F.lit(window + 1 - window % 2)).otherwise(sizes - 1)
+    half = (width - 1) / 2
+    # Sums up to the last row of the window and up to the one before its first, found at their own positions.
+    sums = F.struct(*[F.col(f"_{x}{c}").alias(f"{x}{c}") for c in values for x in "tc"])
+    # Widths differ between short sequences, so positions are spread to make each window's half as wide as ``reach``.
+    most = max(1, window // 2)
+    reach = (most + 1) ** 2
+    spread = F.col("_k") * F.when(half > 0, F.floor(F.lit(reach) / half)).otherwise(F.lit(reach + 1))
+    rows = rows.withColumn("_sums", sums).withColumn("_y", spread.cast("bigint"))
+    names = [*df.columns, "_s", "_n", "_y", "_sums"]
+    if own.cut:
+        rows = _with_reach(rows, reach, stretch * (reach // most), names)
+    w = Window.partitionBy(*by, *["_part"] * own.cut).orderBy("_y")
+    rows = rows.withColumns({"_hi": F.last("_sums").over(w.rangeBetween(Window.unboundedPreceding, reach)), "_lo": F.last("_sums").over(w.rangeBetween(Window.unboundedPreceding, -reach - 1))})
+    if own.cut:
+        rows = rows.where("_own")
+    zero = F.lit(0.0)
+    mean = {c: (F.col(f"_hi.t{c}") - F.coalesce(F.col(f"_lo.t{c}"), zero)) / F.nullif(F.col(f"_hi.c{c}") - F.coalesce(F.col(f"_lo.c{c}"), F.lit(0)), F.lit(0)) for c in values}
+    rows = rows.withColumns({f"_m{c}": m for c, m in mean.items()})
+    length = norm(cols(*[f"_m{c}" for c in q]))
     keep = F.col("_n") < 3
     out = {c: F.when(keep, F.col(c)).otherwise(F.col(f"_m{c}")) for c in ("tx", "ty", "tz")}
-    out |= {c: F.when(keep | (length <= 1e-9), F.col(c)).otherwise(F.col(f"_m_a{c}") / length) for c in q}
-    extra = [c for c in df.columns if c.startswith("_")]
-    return df.withColumns(out).drop(*extra)
+    out |= {c: F.when(keep, F.col(c)).when(length <= 1e-9, F.col(c) * F.col("_s")).otherwise(F.col(f"_m{c}") / length) for c in q}
+    return rows.withColumns(out).select(*df.columns)
+
+
+def _with_reach(rows: DataFrame, reach: int, size: int, names: list[str]) -> DataFrame:
+    """``rows`` dealt to parts of ``size`` places, each with the rows beyond its ends that its own look up."""
+    part = F.floor(F.col("_y") / size)
+    # A window's first row, and the one before it, lie at most two reaches below.
+    first, last = F.greatest(F.lit(0), F.floor((F.col("_y") - reach - 1) / size)), F.floor((F.col("_y") + 2 * (reach + 1)) / size)
+    dealt = rows.select(*names, F.explode(F.sequence(first, last)).alias("_part"))
+    return dealt.withColumn("_own", F.col("_part") == part)
 
 
 def resample(df: DataFrame, fps: float, hz: float, by: list[str], order: str, width: str = "width", flag: str = "flag") -> DataFrame:
