@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -192,61 +194,108 @@ def resolve_companions(clips: DataFrame, files: DataFrame, explicit: DataFrame,
     return out.withColumn(path, F.coalesce(*found)).drop("_e", *[f"_{x}{i}" for i in range(len(names)) for x in "nf"])
 
 
-def view_pixels(cameras: DataFrame, cloud: DataFrame, fx: float, width: int, height: int, near: float = 0.05, far: float = 10.0, splat: int = 0, fill_ring: int = 1, block: float = 0.5) -> DataFrame:
-    """clip, frame, px, py, depth, point_id: pixels that points cover in each camera, each widened to a square.
+def view_pixels(cameras: DataFrame, cloud: DataFrame, fx: float, width: int, height: int, near: float = 0.05, far: float = 10.0, splat: int = 0, fill_ring: int = 1, block: float = 0.5, by: list[str] | None = None) -> DataFrame:
+    """by, clip, frame, px, py, depth, point_id: pixels that points cover in each camera, each widened to a square.
 
-    Cameras (clip, frame, pose) meet blocks of the cloud in the cells around them first, as a sphere in their view cone; only
-    then the points of those blocks. ``fill_ring`` widens by as many pixels more, for points whose own square
-    touches the image.
+    Cameras (by, clip, frame, pose) see the points (by, point_id, x, y, z) of their own session ``by``. They walk an octree of the cloud, four cells a side and
+    level: from the few cells around them that are as wide as they see, down to blocks of side ``block``, keeping at each level the
+    cells whose sphere meets their view cone. Only points of the blocks that are left are projected. ``fill_ring``
+    widens by as many pixels more, for points whose own square touches the image.
     """
     from trajlake.functions.pose import POSE, cols, conj, rotate, sub
 
-    half = block * 3**0.5 / 2
-    key = [F.floor(F.col(c) / block).cast("bigint").alias(f"b{c}") for c in "xyz"]
-    points = cloud.select("*", *key)
+    by = by or []
     slope = ((width / 2 + 1 + splat) / fx, (height / 2 + 1 + splat) / fx)
-    # No camera sees farther than ``reach``, so what it sees lies in its own cell of that size or one beside it.
-    reach = (far + half) * (1 + slope[0] ** 2 + slope[1] ** 2) ** 0.5 + 2 * half
-    centre = tuple((F.col(f"b{c}") + 0.5) * block for c in "xyz")
-    blocks = points.select("bx", "by", "bz").distinct().withColumns({f"_c{c}": F.floor(m / reach) for c, m in zip("xyz", centre, strict=True)})
-    seeing = cameras.select("clip", "frame", *POSE)
-    for c, at in zip("xyz", POSE[:3], strict=True):
-        own = F.floor(F.col(at) / reach)
-        seeing = seeing.withColumn(f"_c{c}", F.explode(F.array(own - 1, own, own + 1)))
-    met = seeing.join(small(blocks), ["_cx", "_cy", "_cz"]).drop("_cx", "_cy", "_cz")
-    view = rotate(conj(cols(*POSE[3:])), sub(centre, cols(*POSE[:3])))
-    seen = (view[2] > near - half) & (view[2] < far + half)
-    for c, s in zip(view[:2], slope, strict=True):
-        seen = seen & (F.abs(c) <= s * F.greatest(view[2], F.lit(0.0)) + half * (1 + s))
-    rows = met.where(seen).join(points, ["bx", "by", "bz"])
+    # No camera sees farther than this, so what it sees lies in its own cell of the top level or in one beside it.
+    reach = far * (1 + slope[0] ** 2 + slope[1] ** 2) ** 0.5
+    top = 0
+    while block * 4**top < reach:
+        top += 1
+    cell = [f"b{c}" for c in "xyz"]
+    points = cloud.select("*", *[F.floor(F.col(c) / block).cast("bigint").alias(b) for b, c in zip(cell, "xyz", strict=True)])
+    blocks = points.select(*by, *cell).distinct()
+    few = len(blocks.limit(BROADCAST_ROWS + 1).select(F.lit(1)).collect()) <= BROADCAST_ROWS
+
+    def nodes(level: int) -> DataFrame:
+        """Cells of a level, with the one above each. No level has more cells than there are blocks."""
+        at = [F.floor(F.col(b) / 4**k).cast("bigint").alias(f"{n}{b}") for n, k in (("n", level), ("u", level + 1)) for b in cell]
+        out = blocks.select(*by, *at).distinct()
+        return F.broadcast(out) if few else out
+
+    def seen(level: int) -> Column:
+        size = block * 4**level
+        half = size * 3**0.5 / 2
+        view = rotate(conj(cols(*POSE[3:])), sub(tuple((F.col(f"n{b}") + 0.5) * size for b in cell), cols(*POSE[:3])))
+        ok = (view[2] > near - half) & (view[2] < far + half)
+        for c, k in zip(view[:2], slope, strict=True):
+            ok = ok & (F.abs(c) <= k * F.greatest(view[2], F.lit(0.0)) + half * (1 + k))
+        return ok
+
+    met = cameras.select(*by, "clip", "frame", *POSE)
+    for b, at in zip(cell, POSE[:3], strict=True):
+        own = F.floor(F.col(at) / (block * 4**top)).cast("bigint")
+        met = met.withColumn(f"n{b}", F.explode(F.array(own - 1, own, own + 1)))
+    met = met.join(nodes(top).drop(*[f"u{b}" for b in cell]), [*by, *[f"n{b}" for b in cell]]).where(seen(top))
+    for level in reversed(range(top)):
+        met = met.withColumnsRenamed({f"n{b}": f"u{b}" for b in cell}).join(nodes(level), [*by, *[f"u{b}" for b in cell]]).where(seen(level)).drop(*[f"u{b}" for b in cell])
+    rows = met.withColumnsRenamed({f"n{b}": b for b in cell}).join(small(points.select(*by, *cell, "point_id", "x", "y", "z")), [*by, *cell])
     p = rotate(conj(cols(*POSE[3:])), sub(cols("x", "y", "z"), cols(*POSE[:3])))
-    rows = rows.select("clip", "frame", "point_id", *[c.alias(n) for c, n in zip(p, ("cx", "cy", "cz"), strict=True)]).where((F.col("cz") > near) & (F.col("cz") < far))
-    u = F.floor(F.col("cx") / F.col("cz") * fx + width / 2 + 0.5).cast("int")
-    v = F.floor(F.col("cy") / F.col("cz") * fx + height / 2 + 0.5).cast("int")
-    rows = rows.select("clip", "frame", "point_id", F.col("cz").alias("depth"), u.alias("u"), v.alias("v"))
+    own = [*by, "clip", "frame", "point_id"]
+    rows = rows.select(*own, *[c.alias(n) for c, n in zip(p, ("cx", "cy", "cz"), strict=True)]).where((F.col("cz") > near) & (F.col("cz") < far))
+    u = F.floor(F.try_divide("cx", "cz") * fx + width / 2 + 0.5).cast("int")
+    v = F.floor(F.try_divide("cy", "cz") * fx + height / 2 + 0.5).cast("int")
+    rows = rows.select(*own, F.col("cz").alias("depth"), u.alias("u"), v.alias("v"))
     rows = rows.where(F.col("u").between(-splat, width - 1 + splat) & F.col("v").between(-splat, height - 1 + splat))
     wide = splat + fill_ring
-    side = F.sequence(F.lit(-wide), F.lit(wide))
-    rows = rows.select("clip", "frame", "point_id", "depth", "v", F.explode(F.transform(side, lambda d: F.col("u") + d)).alias("px"))
-    rows = rows.select("clip", "frame", "point_id", "depth", "px", F.explode(F.transform(side, lambda d: F.col("v") + d)).alias("py"))
-    return rows.where(F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1)).select("clip", "frame", "px", "py", "depth", "point_id")
+    # The squares end at the image's edge, so no pixel outside of it is made.
+    rows = rows.select(*own, "depth", "v", F.explode(F.sequence(F.greatest(F.col("u") - wide, F.lit(0)), F.least(F.col("u") + wide, F.lit(width - 1)))).alias("px"))
+    rows = rows.select(*own, "depth", "px", F.explode(F.sequence(F.greatest(F.col("v") - wide, F.lit(0)), F.least(F.col("v") + wide, F.lit(height - 1)))).alias("py"))
+    return rows.select(*by, "clip", "frame", "px", "py", "depth", "point_id")
 
 
-def near_hashes(df: DataFrame, key: str, phash: str, most: int) -> DataFrame:
-    """a, b, distance of all pairs of 64-bit hashes up to ``most`` bits apart.
+def hash_links(kinds: DataFrame, most: int) -> DataFrame:
+    """ha, hb, distance with ha < hb: pairs of distinct 64-bit hashes (column ha) up to ``most`` bits apart, each once.
 
-    Hashes are cut into ``most`` + 1 bands: two that close agree in one of them at least. Distinct
-    hashes meet there; their rows are added to the pairs found.
+    Two exact ways, of which the cheaper is taken, as measured. Bands: bits that vary are dealt to ``most`` + 1 bands by
+    falling entropy, and hashes so close agree in one band at least; its cost is the pairs that meet. Meeting half way: each
+    hash sends out itself and all hashes within half of ``most`` bits of it; two meet at some hash between them, where no more
+    than those around it come together. Its cost is the hashes sent out; it is what dense hashes need.
     """
-    bands = most + 1
-    edges = [64 * i // bands for i in range(bands + 1)]
     h = F.col("ha")
-    cut = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft(h, 64 - hi), 64 - hi + lo).alias("bits")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
-    hashes = df.where(F.col(phash).isNotNull()).select(F.col(phash).alias("ha"), F.col(key).alias("a"))
-    kinds = hashes.select("ha").distinct()
-    rows = kinds.select("ha", F.explode(F.array(*cut)).alias("c")).select("ha", "c.*")
-    distance = F.bit_count(h.bitwiseXOR(F.col("hb"))).alias("distance")
-    near = rows.join(rows.select("band", "bits", h.alias("hb")), ["band", "bits"]).where("ha < hb").select("ha", "hb", distance).where(F.col("distance") <= most).distinct()
-    near = near.unionAll(near.select(F.col("hb").alias("ha"), h.alias("hb"), "distance")).unionAll(kinds.select("ha", h.alias("hb"), F.lit(0).alias("distance")))
-    other = hashes.select(h.alias("hb"), F.col("a").alias("b"))
-    return hashes.join(near, "ha").join(other, "hb").where("a < b").select("a", "b", "distance").distinct()
+    bit = lambda i: F.shiftrightunsigned(h, i).bitwiseAND(1)
+    ones = kinds.agg(F.count("*").alias("n"), *[F.sum(bit(i)).alias(f"b{i}") for i in range(64)]).first()
+    n = ones["n"]
+    share = {i: ones[f"b{i}"] / n for i in range(64) if n and 0 < ones[f"b{i}"] < n}
+    # Most even first.
+    bits = sorted(share, key=lambda i: abs(share[i] - 0.5))
+    word = lambda of: sum(1 << i for i in of) - (1 << 64 if 63 in of else 0)
+    bands = [word(bits[k :: most + 1]) for k in range(most + 1)]
+    banded = kinds.select("ha", F.posexplode(F.array(*[h.bitwiseAND(F.lit(m)) for m in bands])).alias("band", "code"))
+    pairs = banded.groupBy("band", "code").agg(F.count("*").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0
+    far, close = (most + 1) // 2, most // 2
+    sent = n * sum(math.comb(len(bits), k) for k in range(far + 1))
+    distance = F.bit_count(h.bitwiseXOR(F.col("hb"))).cast("int").alias("distance")
+    if pairs <= sent:
+        met = banded.join(banded.select("band", "code", h.alias("hb")), ["band", "code"]).where("ha < hb")
+    else:
+        def around(reach: int) -> Column:
+            return F.array(*[h.bitwiseXOR(F.lit(word(c))) for k in range(reach + 1) for c in combinations(bits, k)])
+
+        a, b = kinds.select("ha", F.explode(around(far)).alias("at")), kinds.select(h.alias("hb"), F.explode(around(close)).alias("at"))
+        met = a.join(b, "at").select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb")).where("ha < hb")
+    return met.select("ha", "hb", distance).where(F.col("distance") <= most).distinct()
+
+
+def near_hashes(df: DataFrame, key: str, phash: str, most: int) -> DataFrame:
+    """key, class_id, n_same, n_near of each row with a 64-bit hash.
+
+    Rows of one hash are a class, named by its smallest key, of n_same rows; n_near counts the rows of other classes up to ``most`` bits
+    away. Classes are linked, not rows, so a hash that very many rows share costs what one row does.
+    """
+    rows = df.where(F.col(phash).isNotNull()).select(F.col(key).alias("key"), F.col(phash).alias("ha"))
+    kinds = rows.groupBy("ha").agg(F.count("*").alias("n_same"), F.min("key").alias("class_id"))
+    links = hash_links(kinds.select("ha"), most)
+    both = links.select("ha", "hb").unionAll(links.select(F.col("hb").alias("ha"), F.col("ha").alias("hb")))
+    near = both.join(kinds.select(F.col("ha").alias("hb"), F.col("n_same").alias("n")), "hb").groupBy("ha").agg(F.sum("n").alias("n_near"))
+    of = kinds.join(near, "ha", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+    return rows.join(of, "ha").select(F.col("key").alias(key), "class_id", "n_same", "n_near")

@@ -37,14 +37,28 @@ def stride_sample(df: DataFrame, most: int, by: list[str], order: str, first: in
 def seeded_cap(df: DataFrame, n: int, seed: int, by: list[str], key: str) -> DataFrame:
     """``n`` rows of each group at most, drawn by md5 of ``key`` and ``seed``, which any engine repeats.
 
-    The threshold comes from the group's count, so that no group is sorted whole; what is
-    left, a little more than ``n`` rows, is ranked.
+    Rows that share a key share a draw and come together, as far as ``n`` goes. A group of m rows is counted by m / n ranges of the
+    draw; only rows up to the range that fills ``n`` are ranked, so that no group is sorted whole.
     """
     counts = df.groupBy(*by).agg(F.count("*").alias("_m"))
-    drawn = df.withColumn("_h", F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), 1, 10), 16, 10).cast("bigint"))
-    share = (F.lit(float(n)) + 6 * F.sqrt(F.lit(float(n))) + 20) / F.col("_m")
-    near = drawn.join(counts, by).where(F.col("_h") < share * float(1 << 40))
-    return near.withColumn("_k", _rank(by, "_h", key)).where(F.col("_k") <= n).drop("_h", "_m", "_k")
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), 1, 10), 16, 10).cast("bigint")
+    # 2^40 draws; the ranges of a group are as wide as hold n rows, if keys are distinct.
+    width = F.expr(f"greatest(1, {1 << 40} div greatest(1, _m div {max(n, 1)}))")
+    drawn = _meet(df.withColumn("_h", draw), counts, by).withColumn("_range", F.floor(F.col("_h") / width))
+    sizes = drawn.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    enough = sizes.withColumn("_before", before).where(F.col("_before") < n).groupBy(*by).agg(F.max("_range").alias("_last"))
+    near = _meet(drawn, enough, by).where(F.col("_range") <= F.col("_last"))
+    return near.withColumn("_k", _rank(by, "_h", key)).where(F.col("_k") <= n).select(*df.columns)
+
+
+def _meet(df: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with its group's columns; null names a group as any value does."""
+    named = groups.withColumnsRenamed({c: f"_g_{c}" for c in by})
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    return df.join(named, on).drop(*[f"_g_{c}" for c in by])
 
 
 def head(df: DataFrame, n: int, by: list[str], order: str) -> DataFrame:

@@ -89,7 +89,7 @@ def a4_read_truth(spark, sf):
     return rounded(got.select("clip_id", "frame_idx", "fps", F.col("camera.tx").alias("tx"), "held", "width_m"), ["tx", "width_m"])
 
 
-@query(f"WITH {TRAJ} SELECT round(tx, 5) + 0.0 AS x, round(ty, 5) + 0.0 AS y, round(tz, 5) + 0.0 AS z, round(least(255, greatest(0, round(abs(ox) * 255))) / 255, 5) AS r FROM traj")
+@query(f"WITH {TRAJ} SELECT round(tx, 5) + 0.0 AS x, round(ty, 5) + 0.0 AS y, round(tz, 5) + 0.0 AS z, round(least(255, greatest(0, floor(abs(ox) * 255))) / 255, 5) AS r FROM traj")
 def a5_ply_round_trip(spark, sf):
     path = folder(spark, "ply")
     color = [F.abs(F.col(c)).alias(n) for c, n in zip(("ox", "oy", "oz"), "rgb", strict=True)]

@@ -141,11 +141,13 @@ def d12_resolve_companions(spark, sf):
 
 
 def _views(spark, sf):
-    cameras = traj(spark, sf)
-    return cameras, joins.view_pixels(cameras, cloud(spark, sf).select("point_id", "x", "y", "z"), 20.0, 32, 24, splat=0, fill_ring=1)
+    # Four sessions, of some clips each.
+    session = (F.col("clip") % 4).alias("session")
+    cameras = traj(spark, sf).select("*", session)
+    return cameras, joins.view_pixels(cameras, cloud(spark, sf).select(session, "point_id", "x", "y", "z"), 20.0, 32, 24, splat=0, fill_ring=1, block=0.05, by=["session"]).drop("session")
 
 
-_ROT = """cam AS (SELECT * FROM traj), d AS (SELECT c.clip, c.frame, c.qw AS w, -c.qx AS a, -c.qy AS b, -c.qz AS e, p.vec_id AS point_id, p.tx - c.tx AS x, p.ty - c.ty AS y, p.tz - c.tz AS z FROM cam c, traj p),
+_ROT = """cam AS (SELECT * FROM traj), d AS (SELECT c.clip, c.frame, c.qw AS w, -c.qx AS a, -c.qy AS b, -c.qz AS e, p.vec_id AS point_id, p.tx - c.tx AS x, p.ty - c.ty AS y, p.tz - c.tz AS z FROM cam c JOIN traj p ON p.clip % 4 = c.clip % 4),
     c1 AS (SELECT *, 2 * (b * z - e * y) AS t1, 2 * (e * x - a * z) AS t2, 2 * (a * y - b * x) AS t3 FROM d),
     v AS (SELECT clip, frame, point_id, x + w * t1 + (b * t3 - e * t2) AS cx, y + w * t2 + (e * t1 - a * t3) AS cy, z + w * t3 + (a * t2 - b * t1) AS cz FROM c1),
     uv AS (SELECT *, floor(cx / cz * 20 + 16.5)::int AS u, floor(cy / cz * 20 + 12.5)::int AS vv FROM v WHERE cz > 0.05 AND cz < 10),
@@ -194,10 +196,11 @@ def e3_viewpoint_overlap(spark, sf):
 _BANDS = ("h % 256", "(h // 256) % 128", "(h // 32768) % 128")
 
 
-@query("WITH e AS (SELECT event_id, (event_id * 2654435761) % 4194304 AS h FROM events), p AS (" + " UNION ".join(f"SELECT a.event_id AS a, b.event_id AS b, bit_count(xor(a.h, b.h))::int AS distance FROM (SELECT *, {x} AS k FROM e) a JOIN (SELECT *, {x} AS k FROM e) b USING (k) WHERE a.event_id < b.event_id AND bit_count(xor(a.h, b.h)) <= 2" for x in _BANDS) + ") SELECT a, b, distance FROM p")
+@query("""WITH e AS (SELECT event_id, ('0x' || substr(md5(event_id::varchar), 1, 6))::bigint % 4194304 AS h FROM events), k AS (SELECT h, count(*) AS n, min(event_id) AS rep FROM e GROUP BY 1), p AS (""" + " UNION ".join(f"SELECT a.h AS a, b.h AS b FROM (SELECT *, {x} AS k FROM k) a JOIN (SELECT *, {x} AS k FROM k) b USING (k) WHERE a.h <> b.h AND bit_count(xor(a.h, b.h)) <= 2" for x in _BANDS) + """),
+    s AS (SELECT a AS h, sum(n)::bigint AS n_near FROM p JOIN k ON k.h = p.b GROUP BY 1) SELECT event_id, rep AS class_id, n AS n_same, coalesce(n_near, 0) AS n_near FROM e JOIN k USING (h) LEFT JOIN s USING (h)""")
 def p5_batch_hash_duplicates(spark, sf):
     e = table(spark, sf, "events")
-    # Twenty-two bits spread over the word, so that every band differs between events.
-    bits = (F.col("event_id") * 2654435761) % 4194304
+    bits = F.conv(F.substring(F.md5(F.col("event_id").cast("string").cast("binary")), 1, 6), 16, 10).cast("bigint") % 4194304
+    # Twenty-two bits spread over the word; all other bits are the same in every hash.
     spread = F.aggregate(F.sequence(F.lit(0), F.lit(21)), F.lit(0).cast("bigint"), lambda acc, i: acc.bitwiseOR(F.call_function("shiftleft", F.call_function("shiftright", bits, i).bitwiseAND(1), ((i * 3) % 64).cast("int"))))
     return joins.near_hashes(e.select("event_id", spread.alias("h")), "event_id", "h", 2)

@@ -81,8 +81,8 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_ply(cloud: DataFrame, path: str, decimals: int = 6) -> None:
-    """One ASCII cloud a part file, each with a header of its own count."""
-    rows = cloud.select(F.spark_partition_id().alias("part"), *[F.format_string(f"%.{decimals}f", F.col(c).cast("double")).alias(c) for c in "xyz"], *[F.greatest(F.lit(0), F.least(F.lit(255), F.round(F.col(c) * 255).cast("int"))).cast("string").alias(c) for c in "rgb"])
+    """One ASCII cloud a part file, each with a header of its own count. Colours are cut to whole 255ths, not rounded."""
+    rows = cloud.select(F.spark_partition_id().alias("part"), *[F.format_string(f"%.{decimals}f", F.col(c).cast("double")).alias(c) for c in "xyz"], *[F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.col(c) * 255).cast("int"))).cast("string").alias(c) for c in "rgb"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # The header needs the count, so a part is held as text: one partition of vertices.
