@@ -89,3 +89,43 @@ def test_cap_of_repeated_keys(spark, keys):
         out = sample.seeded_cap(df, 100, seed, ["g"], "k").collect()
         assert Counter(r.g for r in out) == {"a": 100, None: 100} and len({r.id for r in out}) == 200
     assert sample.seeded_cap(df.limit(30), 100, 0, ["g"], "k").count() == 30
+
+
+def vectors(spark, n, clustered, seed=2):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(20, 16)) * (8 if clustered else 0)
+    x = centres[rng.integers(0, 20, n)] + rng.normal(size=(n, 16))
+    return x, spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)] + [(n, None)], "ref bigint, rvec array<double>").repartition(6)
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+@pytest.mark.parametrize(("k", "size"), [(1, None), (5, None), (5, 4000)])
+def test_retrieval_is_exact(spark, monkeypatch, clustered, k, size):
+    x, refs = vectors(spark, 900, clustered)
+    if size:
+        monkeypatch.setattr(joins, "QUERY_BYTES", size)
+    queries = refs.where("ref % 50 = 0 or ref = 900").withColumnsRenamed({"ref": "query", "rvec": "qvec"})
+    out = joins.retrieve_topk(queries, refs.unionByName(refs.where("ref < 40").withColumn("ref", F.col("ref") + 5000)), k)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["ref"]))
+    both = np.concatenate([x, x[:40]])
+    names = np.concatenate([np.arange(900), np.arange(5000, 5040)])
+    assert sorted(got) == list(range(0, 900, 50))
+    for q, ranked in got.items():
+        s = x[q] @ both.T
+        assert [r for _, r in sorted(ranked)] == list(names[np.lexsort((names, -np.round(s, 9)))][:k])
+
+
+def test_tasks_hand_on_their_best_only(spark):
+    _, refs = vectors(spark, 3000, True)
+    queries = refs.where("ref < 10").withColumnsRenamed({"ref": "query", "rvec": "qvec"})
+    dealt = joins._clustered(refs.where("rvec is not null"), 16)
+    rows = joins._block_best(queries, dealt, 3)
+    assert rows.count() <= 10 * 3 * max(dealt.rdd.getNumPartitions(), 1)
+
+
+@pytest.mark.parametrize(("queries", "refs"), [(0, 5), (5, 0)])
+def test_retrieval_of_nothing(spark, queries, refs):
+    _, df = vectors(spark, 5, False)
+    assert joins.retrieve_topk(df.where("rvec is not null").limit(queries).withColumnsRenamed({"ref": "query", "rvec": "qvec"}), df.limit(refs), 3).count() == 0

@@ -16,6 +16,8 @@ from trajlake.operators.scan import STRETCH_ROWS, Scan
 
 #: As many rows as a side may have to be broadcast: vectors or cameras take a few KB each.
 BROADCAST_ROWS = 20_000
+#: Bytes of query vectors that travel to the tasks at once, and references that a task scores at once.
+QUERY_BYTES, BLOCK_ROWS = 1 << 25, 512
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -67,44 +69,79 @@ def dot_product(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def retrieve_topk(queries: DataFrame, refs: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
+def retrieve_topk(queries: DataFrame, refs: DataFrame, k: int, by: list[str] | None = None, clusters: int = 64) -> DataFrame:
     """query, ref, score, rank: the ``k`` references (ref, rvec) of the largest dot product for each query (query, qvec).
 
-    With ``by``, within groups of it (a run). Without, a query set of at most BROADCAST_ROWS goes
-    to every block of references, which keeps its own best ``k`` for each query; a larger set is taken in
-    parts of that size. Ties go to the lower reference. Ids are integers.
+    With ``by``, within groups of it (a run). Without, references are dealt to ``clusters`` and pass the tasks cluster by
+    cluster. A task holds the queries and the best ``k`` it has met for each; of a block of references it scores only the queries that the block's
+    centre and radius leave a chance, so no result is lost. At most tasks x queries x ``k`` rows leave the tasks. Queries
+    travel in parts of QUERY_BYTES; for each part the references are read once. Ties go to the lower
+    reference. Ids are integers; a null vector is nowhere.
     """
     by = by or []
     if by:
         best = queries.join(refs, by).select(*by, "query", "ref", dot_product("qvec", "rvec").alias("score"))
     else:
-        parts = max(1, -(-queries.count() // BROADCAST_ROWS))
+        queries, refs = queries.where("qvec is not null"), refs.where("rvec is not null")
+        n, width = queries.agg(F.count("*"), F.max(F.size("qvec"))).first()
+        parts = max(1, -(-n * (width or 0) * 8 // QUERY_BYTES))
+        dealt = _clustered(refs, clusters)
         best = None
         for part in range(parts):
             own = queries.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == part) if parts > 1 else queries
-            found = _block_best(own, refs, k)
+            found = _block_best(own, dealt, k)
             best = found if best is None else best.unionByName(found)
     w = Window.partitionBy(*by, "query").orderBy(F.desc("score"), "ref")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _clustered(refs: DataFrame, clusters: int) -> DataFrame:
+    """ref, rvec, like vectors side by side: sorted by the nearest of ``clusters`` references that a hash draws."""
+    pivots = refs.select("rvec").orderBy(F.xxhash64("ref"), "ref").limit(clusters).toPandas()["rvec"]
+    if len(pivots) < clusters:
+        return refs.select("ref", "rvec")
+    centres = refs.sparkSession.sparkContext.broadcast(np.stack(pivots.to_numpy()).astype(np.float64))
+
+    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = centres.value
+        for f in frames:
+            if len(f):
+                x = np.stack(f["rvec"].to_numpy()).astype(np.float64)
+                yield f.assign(cluster=((c * c).sum(1)[None] - 2 * x @ c.T).argmin(1).astype(np.int32))
+
+    kind = refs.schema["rvec"].dataType.simpleString()
+    rows = refs.select("ref", "rvec").mapInPandas(nearest, f"ref bigint, rvec {kind}, cluster int")
+    # A large cluster lies over several ranges.
+    return rows.repartitionByRange("cluster", "ref").sortWithinPartitions("cluster", "ref").drop("cluster")
+
+
 def _block_best(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
-    rows = queries.select("query", "qvec").collect()
-    ids = np.array([r["query"] for r in rows], np.int64)
-    matrix = np.array([r["qvec"] for r in rows], np.float64)
-    shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
+    rows = queries.select("query", "qvec").toPandas()
+    matrix = np.stack(rows["qvec"].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, 0))
+    shared = queries.sparkSession.sparkContext.broadcast((rows["query"].to_numpy(np.int64), matrix))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = shared.value
+        length = np.sqrt((matrix * matrix).sum(1)) if len(ids) else None
+        score, ref = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
         for f in frames:
-            f = f.sort_values("ref")
-            if not len(f) or not len(ids):
-                continue
-            scores = matrix @ np.stack(f["rvec"].to_numpy()).astype(np.float64).T
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({"query": np.repeat(ids, top.shape[1]), "ref": f["ref"].to_numpy()[top.ravel()], "score": np.take_along_axis(scores, top, 1).ravel()})
-
-    return refs.select("ref", "rvec").mapInPandas(run, "query bigint, ref bigint, score double")
+            for at in range(0, len(f) if len(ids) else 0, BLOCK_ROWS):
+                own = f.iloc[at : at + BLOCK_ROWS]
+                x, names = np.stack(own["rvec"].to_numpy()).astype(np.float64), own["ref"].to_numpy(np.int64)
+                centre = x.mean(0)
+                radius = np.sqrt(((x - centre) ** 2).sum(1).max())
+                # A little slack, so that rounding never drops a reference.
+                bound = (matrix @ centre + length * radius) * (1 + 1e-12) + 1e-9 * length * (np.abs(centre).sum() + radius)
+                todo = np.flatnonzero(bound >= score[:, -1])
+                for part in np.array_split(todo, -(-len(todo) // BLOCK_ROWS)) if len(todo) else []:
+                    s = np.concatenate([score[part], matrix[part] @ x.T], axis=1)
+                    r = np.concatenate([ref[part], np.broadcast_to(names, (len(part), len(names)))], axis=1)
+                    best = np.lexsort((r, -s), axis=1)[:, :k]
+                    score[part], ref[part] = np.take_along_axis(s, best, 1), np.take_along_axis(r, best, 1)
+        kept = np.isfinite(score)
+        yield pd.DataFrame({"query": np.repeat(ids, kept.sum(1)), "ref": ref[kept], "score": score[kept]})
+
+    return refs.mapInPandas(run, "query bigint, ref bigint, score double")
 
 
 def candidate_pairs(frames: DataFrame, by: list[str], order: str, mode: str = "auto", window: int = 5, k: int = 3, limit: int = 120, retrieval: DataFrame | None = None) -> DataFrame:
