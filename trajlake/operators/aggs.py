@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from trajlake.functions.pose import add, angle_deg, cols, conj, norm, qmul, rotate, sub
 from trajlake.operators.joins import rate_map
+from trajlake.operators.scan import STRETCH_ROWS
+from trajlake.operators.select import meet, percentiles, with_percentiles
 
 
 def pct(col: Column | str, p: float, approx: bool = False) -> Column:
@@ -104,7 +106,7 @@ def fit_inverse_depth(samples: DataFrame, by: list[str], least: int, relative: s
         ok = ok & ~F.col(excluded)
     w = Window.partitionBy(*by)
     rows = samples.where(ok).select(*by, F.col(relative).cast("double").alias("x"), (1.0 / F.col(metric)).alias("y"))
-    rows = rows.withColumn("_lo", F.percentile("y", F.lit(0.05)).over(w)).withColumn("_hi", F.percentile("y", F.lit(0.95)).over(w))
+    rows = with_percentiles(rows, by, {"_lo": (F.col("y"), 0.05), "_hi": (F.col("y"), 0.95)})
     rows = rows.withColumn("_in", F.col("y").between(F.col("_lo"), F.col("_hi")))
     if keep_untrimmed:
         rows = rows.withColumn("_in", F.col("_in") | (F.count_if("_in").over(w) < least))
@@ -129,11 +131,13 @@ def voxel_downsample(cloud: DataFrame, voxel: float, by: list[str], index: str,
     return best.select(*[F.col(f"_p.{c}").alias(c) for c in names])
 
 
-def error_summary(errors: DataFrame, by: list[str], error: str, source: str = "estimated") -> DataFrame:
+def error_summary(errors: DataFrame, by: list[str], error: str, source: str = "estimated", stretch: int = STRETCH_ROWS) -> DataFrame:
     """median, p90, worst, n of the finite errors of each group; NULL for a group without any."""
     e = F.col(error).cast("double")
     finite = F.when(~F.isnan(e) & (F.abs(e) < float("inf")), e)
-    return errors.groupBy(*by).agg(pct(finite, 0.5).alias("median"), pct(finite, 0.9).alias("p90"), F.max(finite).alias("worst"), F.count(finite).alias("n")).withColumn("source", F.lit(source))
+    shares = percentiles(errors, by, {"median": (finite, 0.5), "p90": (finite, 0.9)}, stretch)
+    rest = errors.groupBy(*by).agg(F.max(finite).alias("worst"), F.count(finite).alias("n"))
+    return meet(shares, rest, by, "inner", broadcast=False).withColumn("source", F.lit(source))
 
 
 def pool_metrics(metrics: DataFrame, by: list[str]) -> DataFrame:

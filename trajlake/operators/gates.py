@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trajlake.operators.scan import STRETCH_ROWS
+from trajlake.operators.select import with_percentiles
+
 _ALL = (1 << 64) - 1
 
-def blur_gate(frames: DataFrame, rel: float, least: float, cap: float, by: list[str], order: str, sharpness: str = "sharpness") -> DataFrame:
+def blur_gate(frames: DataFrame, rel: float, least: float, cap: float, by: list[str], order: str, sharpness: str = "sharpness", stretch: int = STRETCH_ROWS) -> DataFrame:
     """``frames`` with threshold and keep.
 
     The threshold is max(rel * median, least). If more than ``cap`` of a group would go
@@ -20,7 +23,8 @@ def blur_gate(frames: DataFrame, rel: float, least: float, cap: float, by: list[
     """
     w = Window.partitionBy(*by)
     s = F.col(sharpness)
-    df = frames.withColumn("threshold", F.greatest(F.coalesce(F.percentile(s, F.lit(0.5)).over(w) * rel, F.lit(least)), F.lit(least)))
+    df = with_percentiles(frames, by, {"_median": (s, 0.5)}, stretch)
+    df = df.withColumn("threshold", F.greatest(F.coalesce(F.col("_median") * rel, F.lit(least)), F.lit(least))).drop("_median")
     df = df.withColumn("_ok", F.coalesce(s >= F.col("threshold"), F.lit(False))).withColumn("_n", F.count("*").over(w)).withColumn("_kept", F.count_if(F.col("_ok")).over(w))
     df = df.withColumn("_rank", F.row_number().over(w.orderBy(s.desc_nulls_last(), order)))
     capped = (F.col("_n") - F.col("_kept")) / F.col("_n") > cap

@@ -146,8 +146,9 @@ def apply_sim3(df: DataFrame, s: Column, q, t, poses: bool = True, xyz=POSE[:3])
 
 def clamp_and_hold(df: DataFrame, least: Column | float, most: Column | float, by: list[str], width: str = "width", closed: str = "closed") -> DataFrame:
     """Widths within the gripper's limits; while closed, the sequence's median width of closed frames."""
-    held = F.percentile(F.when(F.col(closed), F.col(width)), F.lit(0.5)).over(Window.partitionBy(*by))
-    df = df.withColumn("_h", held)
+    from trajlake.operators.select import with_percentiles
+
+    df = with_percentiles(df, by, {"_h": (F.when(F.col(closed), F.col(width)), 0.5)})
     chosen = F.when(F.col(closed), F.col("_h")).otherwise(F.col(width))
     clamped = F.when(chosen.isNotNull(), F.least(F.lit(most), F.greatest(F.lit(least), chosen)))
     return df.withColumn(width, clamped).drop("_h")

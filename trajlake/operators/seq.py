@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from trajlake.functions.pose import POSE, cols, dot, lerp, named, norm, scale, slerp, slerp_weights, sub, unit
 from trajlake.operators.scan import STRETCH_ROWS, Scan
+from trajlake.operators.select import with_percentiles
 
 
 def _w(by: list[str], order: str):
@@ -34,11 +35,9 @@ def absorb_short_runs(df: DataFrame, col: str, least: int, by: list[str], order:
     return scan.last(_value=F.when(stays, F.col(col))).add(**{col: F.col("_value")}).done()
 
 
-def adaptive_thresholds(df: DataFrame, col: str, by: list[str], close: float, open_: float, least_range: float, least_rows: int = 10) -> DataFrame:
+def adaptive_thresholds(df: DataFrame, col: str, by: list[str], close: float, open_: float, least_range: float, least_rows: int = 10, stretch: int = STRETCH_ROWS) -> DataFrame:
     """``df`` with close_at, open_at, threshold_source: at 35 and 65 % between the 15th and 85th percentile if they are far enough apart."""
-    w = Window.partitionBy(*by)
-    low, high = (F.percentile(F.col(col), F.lit(p)).over(w) for p in (0.15, 0.85))
-    df = df.withColumn("_lo", low).withColumn("_hi", high).withColumn("_n", F.count(col).over(w))
+    df = with_percentiles(df, by, {"_lo": (F.col(col), 0.15), "_hi": (F.col(col), 0.85)}, stretch).withColumn("_n", F.count(col).over(Window.partitionBy(*by)))
     adapts = (F.col("_n") >= least_rows) & (F.col("_hi") - F.col("_lo") > least_range)
     span = F.col("_hi") - F.col("_lo")
     return df.select(
