@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import struct
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajlake.functions.pose import POSE, from_axes, upright
+from trajlake.sources import ranges
+from trajlake.sources.ranges import RANGE_BYTES
 
 CLIP = "struct<kind:string,video:struct<width:int,height:int,fps:double,duration_s:double,rotation_deg:int,codec:string,focal_35mm:double>,requested_fps:double,effective_fps:double,extracted_count:int,frame_names:array<string>,frame_times_s:array<double>>"
 MANIFEST = f"run_id string, clips map<string,{CLIP}>"
@@ -96,83 +97,109 @@ def write_ply(cloud: DataFrame, path: str, decimals: int = 6) -> None:
     rows.mapInPandas(run, "value string").write.mode("overwrite").text(path)
 
 
-def read_episode_arrays(spark: SparkSession, path: str, glob: str = "*.npz", position: str = "positions", width: str = "widths", closed: str = "closed", times: str = "timestamps") -> DataFrame:
-    """source_file, k, t_s, tx, ty, tz, width_m, closed: one array bundle is one task's row; NaN becomes NULL."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+def read_episode_arrays(spark: SparkSession, path: str, glob: str = "*.npz", position: str = "positions", width: str = "widths", closed: str = "closed", times: str = "timestamps", range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """source_file, k, t_s, tx, ty, tz, width_m, closed of array bundles; NaN becomes NULL.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in batches:
-            for name, content in zip(f["path"], f["content"], strict=True):
-                z = np.load(io.BytesIO(content), allow_pickle=False)
-                p = z[position].reshape(-1, z[position].shape[-1])[:, :3] if z[position].ndim == 2 else z[position][:, :3, 3]
-                out = pd.DataFrame({"source_file": name, "k": np.arange(len(p)), "t_s": z[times], "tx": p[:, 0], "ty": p[:, 1], "tz": p[:, 2], "width_m": z[width], "closed": z[closed].astype(bool)})
+    A bundle of stored arrays is read by several tasks, some rows each; one that is compressed is one task's.
+    """
+    names = [position, width, closed, times]
+
+    def index(file: str) -> Iterator[tuple[int, int]]:
+        with ranges.opened(file) as f:
+            bundle = ranges.Bundle(f)
+            n = bundle.at[position][0][0]
+            step = max(1, range_bytes // max(1, bundle.row_bytes(names))) if bundle.stored(names) else max(n, 1)
+        yield from ((k, min(k + step, n)) for k in range(0, n, step))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for name, first, last in f.itertuples(index=False):
+                with ranges.opened(name) as file:
+                    bundle = ranges.Bundle(file)
+                    p, w, c, t = (bundle.read(x, first, last) for x in names)
+                p = p[:, :3] if p.ndim == 2 else p[:, :3, 3]
+                out = pd.DataFrame({"source_file": name, "k": np.arange(first, last), "t_s": t, "tx": p[:, 0], "ty": p[:, 1], "tz": p[:, 2], "width_m": w, "closed": c.astype(bool)})
                 yield out.astype({"width_m": object}).where(out.notna(), None)
 
-    return files.mapInPandas(run, "source_file string, k bigint, t_s double, tx double, ty double, tz double, width_m double, closed boolean")
+    parts = ranges.in_ranges(ranges.listed(spark, path, glob), index, range_bytes)
+    return parts.mapInPandas(run, "source_file string, k bigint, t_s double, tx double, ty double, tz double, width_m double, closed boolean")
 
 
 #: Parameters of each camera model of the binary sparse-model format.
 _MODEL_PARAMS = {0: 3, 1: 4, 2: 4, 3: 5, 4: 8, 5: 8, 6: 12, 7: 5, 8: 4, 9: 5, 10: 12}
+#: A 3-D point of that format, up to its track; an image's 2-D point.
+_POINT3 = np.dtype([("point_id", "<u8"), ("x", "<f8"), ("y", "<f8"), ("z", "<f8"), ("r", "u1"), ("g", "u1"), ("b", "u1"), ("error", "<f8")])
+_POINT2 = np.dtype([("u", "<f8"), ("v", "<f8"), ("point_id", "<i8")])
+#: Rows of observations that go to Spark at once.
+_OBSERVATIONS = 200_000
+
 
+def read_sparse_model(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> dict[str, DataFrame]:
+    """cameras, images, observations (2-D points; a null point_id is none) and points of binary sparse models; tracks repeat observations and are skipped.
 
-def read_sparse_model(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """cameras, images, observations (2-D points; a null point_id is none) and points of binary sparse models; tracks repeat observations and are skipped. One file is one task."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "{cameras,images,points3D}.bin").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    A task for each file walks over its records' lengths; the records are then read in ranges of ``range_bytes``, by a task each.
+    """
 
-    def cameras(data: bytes) -> list[dict]:
+    def cameras(name: str, first: int, last: int) -> Iterator[pd.DataFrame]:
+        with ranges.opened(name) as f:
+            data = f.read()
         (n,), at, out = struct.unpack_from("<Q", data), 8, []
         for _ in range(n):
             camera, model, width, height = struct.unpack_from("<iiQQ", data, at)
             m = _MODEL_PARAMS[model]
             out.append({"camera_id": camera, "model": model, "width": width, "height": height, "params": list(struct.unpack_from(f"<{m}d", data, at + 24))})
             at += 24 + 8 * m
-        return out
+        yield pd.DataFrame(out, dtype=object)
 
-    def images(data: bytes) -> list[dict]:
-        (n,), at, out = struct.unpack_from("<Q", data), 8, []
-        for _ in range(n):
+    def images(name: str, first: int, last: int) -> Iterator[pd.DataFrame]:
+        data, starts = ranges.records(name, first, last, ranges.next_image)
+        out = []
+        for at in starts:
             image, *pose, camera = struct.unpack_from("<i7di", data, at)
-            end = data.index(b"\0", at + 64)
-            (points,) = struct.unpack_from("<Q", data, end + 1)
-            out.append({"image_id": image, **dict(zip(("qw", "qx", "qy", "qz", "tx", "ty", "tz"), pose, strict=True)), "camera_id": camera, "name": data[at + 64 : end].decode()})
-            at = end + 9 + 24 * points
-        return out
+            out.append({"image_id": image, **dict(zip(("qw", "qx", "qy", "qz", "tx", "ty", "tz"), pose, strict=True)), "camera_id": camera, "name": data[at + 64 : data.index(b"\0", at + 64)].decode()})
+        yield pd.DataFrame(out, dtype=object)
 
-    def observations(data: bytes) -> list[dict]:
-        (n,), at, out = struct.unpack_from("<Q", data), 8, []
-        for _ in range(n):
-            (image,) = struct.unpack_from("<i", data, at)
+    def observations(name: str, first: int, last: int) -> Iterator[pd.DataFrame]:
+        data, starts = ranges.records(name, first, last, ranges.next_image)
+        held: list[pd.DataFrame] = []
+        for at in starts:
             end = data.index(b"\0", at + 64)
-            (seen,) = struct.unpack_from("<Q", data, end + 1)
-            for kp, (u, v, point) in enumerate(struct.iter_unpack("<ddq", data[end + 9 : end + 9 + 24 * seen])):
-                out.append({"image_id": image, "kp": kp, "u": u, "v": v, "point_id": point if point >= 0 else None})
-            at = end + 9 + 24 * seen
-        return out
-
-    def points(data: bytes) -> list[dict]:
-        (n,), at, out = struct.unpack_from("<Q", data), 8, []
-        for _ in range(n):
-            point, x, y, z, r, g, b, error, track = struct.unpack_from("<Q3d3BdQ", data, at)
-            out.append({"point_id": point, "x": x, "y": y, "z": z, "r": r / 255, "g": g / 255, "b": b / 255, "error": error})
-            at += 51 + 8 * track
-        return out
-
-    def table(name: str, parse: Callable[[bytes], list[dict]], schema: str) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in batches:
-                for file, content in zip(f["path"], f["content"], strict=True):
-                    rows = parse(content)
-                    if rows:
-                        yield pd.DataFrame(rows, dtype=object).assign(source_file=file)
-
-        return files.where(F.col("path").endswith(f"/{name}.bin")).mapInPandas(run, f"{schema}, source_file string")
+            (n,) = struct.unpack_from("<Q", data, end + 1)
+            p = np.frombuffer(data, _POINT2, n, end + 9)
+            held.append(pd.DataFrame({"image_id": struct.unpack_from("<i", data, at)[0], "kp": np.arange(n, dtype=np.int32), "u": p["u"], "v": p["v"], "point_id": pd.Series(p["point_id"].astype(np.int64)).astype("Int64").mask(p["point_id"] < 0)}))
+            if sum(map(len, held)) >= _OBSERVATIONS:
+                yield pd.concat(held)
+                held.clear()
+        if held:
+            yield pd.concat(held)
+
+    def points(name: str, first: int, last: int) -> Iterator[pd.DataFrame]:
+        data, starts = ranges.records(name, first, last, ranges.next_point)
+        raw = np.frombuffer(data, np.uint8)[starts[:, None] + np.arange(_POINT3.itemsize)]
+        p = np.ascontiguousarray(raw).view(_POINT3)[:, 0]
+        out = {"point_id": p["point_id"].astype(np.int64)} | {c: p[c].astype(float) for c in "xyz"} | {c: p[c] / 255.0 for c in "rgb"}
+        yield pd.DataFrame(out | {"error": p["error"].astype(float)})
+
+    def table(name: str, parse: Callable[[str, int, int], Iterator[pd.DataFrame]], after: Callable | None, schema: str) -> DataFrame:
+        def index(file: str) -> Iterator[tuple[int, int]]:
+            return ranges.record_ranges(file, after, range_bytes) if after else iter([(0, 0)])
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                for file, first, last in f.itertuples(index=False):
+                    for rows in parse(file, first, last):
+                        if len(rows):
+                            yield rows.assign(source_file=file)
+
+        parts = ranges.in_ranges(ranges.listed(spark, path, f"{name}.bin"), index, range_bytes)
+        return parts.mapInPandas(run, f"{schema}, source_file string")
 
     pose = ", ".join(f"{c} double" for c in ("qw", "qx", "qy", "qz", "tx", "ty", "tz"))
     return {
-        "cameras": table("cameras", cameras, "camera_id int, model int, width bigint, height bigint, params array<double>"),
-        "images": table("images", images, f"image_id int, {pose}, camera_id int, name string"),
-        "observations": table("images", observations, "image_id int, kp int, u double, v double, point_id bigint"),
-        "points": table("points3D", points, "point_id bigint, x double, y double, z double, r double, g double, b double, error double"),
+        "cameras": table("cameras", cameras, None, "camera_id int, model int, width bigint, height bigint, params array<double>"),
+        "images": table("images", images, ranges.next_image, f"image_id int, {pose}, camera_id int, name string"),
+        "observations": table("images", observations, ranges.next_image, "image_id int, kp int, u double, v double, point_id bigint"),
+        "points": table("points3D", points, ranges.next_point, "point_id bigint, x double, y double, z double, r double, g double, b double, error double"),
     }
 
 
