@@ -315,11 +315,12 @@ def hash_links(kinds: DataFrame, most: int) -> DataFrame:
     if pairs <= sent:
         met = banded.join(banded.select("band", "code", h.alias("hb")), ["band", "code"]).where("ha < hb")
     else:
-        def around(reach: int) -> Column:
-            return F.array(*[h.bitwiseXOR(F.lit(word(c))) for k in range(reach + 1) for c in combinations(bits, k)])
+        def around(least: int, reach: int) -> Column:
+            return F.array(*[h.bitwiseXOR(F.lit(word(c))) for k in range(least, reach + 1) for c in combinations(bits, k)])
 
-        a, b = kinds.select("ha", F.explode(around(far)).alias("at")), kinds.select(h.alias("hb"), F.explode(around(close)).alias("at"))
-        met = a.join(b, "at").select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb")).where("ha < hb")
+        # Of two hashes d bits apart, the one goes half of d, up, and the other the rest: never none and none.
+        a, b = kinds.select("ha", F.explode(around(1, far)).alias("at")), kinds.select(h.alias("hb"), F.explode(around(0, close)).alias("at"))
+        met = a.join(b.hint("merge"), "at").where("ha <> hb").select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb"))
     return met.select("ha", "hb", distance).where(F.col("distance") <= most).distinct()
 
 
@@ -332,7 +333,7 @@ def near_hashes(df: DataFrame, key: str, phash: str, most: int) -> DataFrame:
     rows = df.where(F.col(phash).isNotNull()).select(F.col(key).alias("key"), F.col(phash).alias("ha"))
     kinds = rows.groupBy("ha").agg(F.count("*").alias("n_same"), F.min("key").alias("class_id"))
     links = hash_links(kinds.select("ha"), most)
-    both = links.select("ha", "hb").unionAll(links.select(F.col("hb").alias("ha"), F.col("ha").alias("hb")))
+    both = links.select(F.explode(F.array(F.struct("ha", "hb"), F.struct(F.col("hb").alias("ha"), F.col("ha").alias("hb")))).alias("p")).select("p.*")
     near = both.join(kinds.select(F.col("ha").alias("hb"), F.col("n_same").alias("n")), "hb").groupBy("ha").agg(F.sum("n").alias("n_near"))
     of = kinds.join(near, "ha", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
     return rows.join(of, "ha").select(F.col("key").alias(key), "class_id", "n_same", "n_near")

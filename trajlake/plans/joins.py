@@ -202,5 +202,7 @@ def p5_batch_hash_duplicates(spark, sf):
     e = table(spark, sf, "events")
     bits = F.conv(F.substring(F.md5(F.col("event_id").cast("string").cast("binary")), 1, 6), 16, 10).cast("bigint") % 4194304
     # Twenty-two bits spread over the word; all other bits are the same in every hash.
-    spread = F.aggregate(F.sequence(F.lit(0), F.lit(21)), F.lit(0).cast("bigint"), lambda acc, i: acc.bitwiseOR(F.call_function("shiftleft", F.call_function("shiftright", bits, i).bitwiseAND(1), ((i * 3) % 64).cast("int"))))
+    spread = F.lit(0).cast("bigint")
+    for i in range(22):
+        spread = spread.bitwiseOR(F.shiftleft(F.shiftright(bits, i).bitwiseAND(1), (i * 3) % 64))
     return joins.near_hashes(e.select("event_id", spread.alias("h")), "event_id", "h", 2)
