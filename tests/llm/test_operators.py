@@ -176,6 +176,31 @@ def test_html_keeps_whole_articles(source, want):
     assert Page(source.format(LONG)).text(None) == want.format(LONG)
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<body><form id='aspnetForm' action=/><div class='content'><h1>Hd</h1><p>{}</p></div></form>", "Hd\n\n{}"),
+        ("<body><form><table><tr><td><h1>Hd</h1><p>{}</p></td></tr></table></form>", "Hd\n\n{}"),
+        ("<article title='The hidden truth'><p>{}</p></article>", "{}"),
+        ("<div class=content data-t='a hidden gem'><p>{}</p></div>", "{}"),
+        ("<div role=form><article><p>{}</p></article></div>", "{}"),
+        ("<noscript><article><p>{}</p></article></noscript>", "{}"),
+        ("<body><aside class=main><p>{}</p></aside>", "{}"),
+        ("<article><p title='see hidden note'>one</p><p>{}</p></article>", "one\n\n{}"),
+        ("<article><p>{}</p><div title='id=menu'><p>two</p></div></article>", "{}\n\ntwo"),
+        ("<article><p>Lead text <select><option>x</option></select> tail</p><p>{}</p></article>", "Lead text tail\n\n{}"),
+        ("<article><p>Lead <audio><p>no sound</p></audio></p><p>{}</p></article>", "Lead\n\n{}"),
+        ("<article><p>Seen <span style='display: none'>SECRET</span> text</p><p>{}</p></article>", "Seen text\n\n{}"),
+        ("<article><p>Seen <span class='ad'>BUY</span> text</p><p>{}</p></article>", "Seen text\n\n{}"),
+        ("<article><p>{}</p><form><p>Subscribe here</p></form><aside><p>aside</p></aside></article>", "{}"),
+        ("<body><div role=navigation><p>go there</p></div><div class=content><p>{}</p></div><noscript>turn it on</noscript>", "{}"),
+        ("<article><p class=a class=hidden>x</p><p hidden>no</p><p>{}</p></article>", "x\n\n{}"),
+    ],
+)
+def test_html_neither_loses_nor_leaks(source, want):
+    assert Page(source.format(LONG)).text(None) == want.format(LONG)
+
+
 def test_html_stray_quotes_take_linear_time():
     import time
 

@@ -9,7 +9,8 @@ before them and neighbours with as much running text.
 A class or id names furniture if one of its names consists of words for furniture and
 of words that say nothing ("site-footer", but not "menu-closed" or "related-work"). Paragraphs and headings are
 never left out by name, nor is an element that holds most of the page's text and
-its article or first heading.
+its article or first heading; forms, asides and roles are judged alike. Text is marked as it is read, so what stands before an element that is
+left out, in one paragraph with it, stays.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ BROADCAST_HOSTS = 100_000
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title iframe".split())
 _FOREIGN = frozenset(["svg"])
-_DROPPED = frozenset("nav footer aside form button select option dialog menu audio video canvas head noscript template svg".split())
+_DROPPED = frozenset("nav footer button select option dialog menu audio video canvas head template svg".split())
+#: Left out too, unless they hold most of the page's text and its article, first heading or a name for it.
+_DOUBTFUL = frozenset("aside form noscript".split())
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr caption address".split())
 _CONTAINER = frozenset("html body div article main section header nav footer aside form ul ol dl table tbody thead tfoot center figure details summary fieldset hgroup dialog menu".split())
 _BLOCK = _LEAF | _CONTAINER | {"hr", "title", "option"}
@@ -45,7 +48,8 @@ _GOOD = frozenset("article post entry story content main text body".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 #: Longest attribute value whose brackets are read as text: a stray quote costs no more than this.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>", re.S)
-_ATTR = re.compile(r"(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: One attribute with its value, left to right, so that no value is read for attributes of its own.
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -64,48 +68,57 @@ class Page:
         self.path: list[str] = [""]
         self.bonus: list[float] = [0.1]
         self.blocks: list[tuple[str, int, float, str]] = []  # text, container, share of it in links, innermost block tag
-        self._named: list[list[float]] = []  # of each element left out by name: its text, whether it may be spared
-        self._held: list[tuple[str, int, float, str, tuple[int, ...]]] = []
+        self._named: list[list[float]] = []  # of each element left out by name, role or doubtful tag: its text, whether it may be spared
+        self._held: list[tuple[list[tuple[str, bool, tuple[int, ...]]], int, str]] = []  # pieces (text, linked, left out by), container, tag
         self._read(source)
-        total = sum(len(x[0]) * (1 - x[2]) for x in self._held)
-        for text, _, linked, _, named in self._held:
-            for i in named:
-                self._named[i][0] += len(text) * (1 - linked)
+        total = 0
+        for pieces, *_ in self._held:
+            for text, linked, named in pieces:
+                size = 0 if linked else len(text.strip())
+                total += size
+                for i in named:
+                    self._named[i][0] += size
         spared = {i for i, (held, main) in enumerate(self._named) if main and 2 * held > total}
-        self.blocks = [x[:4] for x in self._held if spared.issuperset(x[4])]
+        for pieces, box, tag in self._held:
+            kept = [(text, linked) for text, linked, named in pieces if spared.issuperset(named)]
+            whole = "".join(text for text, _ in kept)
+            flat = _SPACE.sub(" ", entities.unescape(whole)).strip()
+            if flat:
+                self.blocks.append((flat, box, min(1.0, sum(len(text.strip()) for text, linked in kept if linked) / max(1, len(whole.strip()))), tag))
 
     def _attributes(self, tag: str, raw: str, inside: bool) -> tuple[str, bool, bool, float]:
         """Step of the general path; whether it's left out; whether its name is one of furniture; what its name is worth."""
-        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)} if raw.strip("/ ") else {}
+        found: dict[str, str] = {}
+        for m in _ATTR.finditer(raw) if raw.strip("/ ") else ():
+            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
         names = found.get("class", "").split()
         step = ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in names})])
         names += found.get("id", "").split()
         words = {x.lower() for name in names for x in _PARTS.findall(name)}
         out = tag in _DROPPED or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        named = False
+        named = tag in _DOUBTFUL
         if tag not in ("html", "body") and tag not in _LEAF:
-            out = out or found.get("role", "").lower() in _ROLES or tag == "header" and not inside
-            named = tag not in ("article", "main") and any(_furniture(x, inside) for x in names) or tag == "article" and bool(words & _COMMENTS)
+            out = out or tag == "header" and not inside
+            named = named or found.get("role", "").lower() in _ROLES or tag not in ("article", "main") and any(_furniture(x, inside) for x in names) or tag == "article" and bool(words & _COMMENTS)
         return step, out, named, 3.0 if tag in ("article", "main") else 1.3 if words & _GOOD else 1.0
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int, bool, tuple[int, ...]]] = [("", 0, False, ())]  # tag, container, left out, left out by name
-        text: list[str] = []
-        linked = at = 0
-        links = inside = 0
+        text: list[tuple[str, bool, tuple[int, ...]]] = []
+        at = links = inside = 0
         parent, path, bonus = self.parent, self.path, self.bonus
 
+        def add(piece: str) -> None:
+            """What stands in an element that is left out is never read."""
+            if not stack[-1][2]:
+                text.append((piece, links > 0, stack[-1][3]))
+
         def flush() -> None:
-            nonlocal linked
-            if text:
-                if not stack[-1][2]:
-                    whole = "".join(text)
-                    flat = _SPACE.sub(" ", entities.unescape(whole)).strip()
-                    if flat:
-                        tag = next((t for t, *_ in reversed(stack) if t in _BLOCK), "")
-                        self._held.append((flat, stack[-1][1], min(1.0, linked / max(1, len(whole.strip()))), tag, stack[-1][3]))
+            # A block within an element that is left out ends nothing around that element.
+            if text and not stack[-1][2]:
+                tag = next((t for t, *_ in reversed(stack) if t in _BLOCK), "")
+                self._held.append((text.copy(), stack[-1][1], tag))
                 text.clear()
-            linked = 0
 
         def pop_to(i: int) -> None:
             nonlocal links, inside
@@ -119,8 +132,7 @@ class Page:
             m = _TOKEN.search(source, at)
             piece = source[at : m.start() if m else size]
             if piece:
-                text.append(piece)
-                linked += len(piece.strip()) if links else 0
+                add(piece)
             if not m:
                 break
             at = m.end()
@@ -143,13 +155,13 @@ class Page:
             if tag in _RAW and not (closed and tag == "iframe"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
                 at = end.end() if end else size
-                text.append(" ")
+                add(" ")
                 continue
             if tag in _VOID:
                 if tag == "hr":
                     flush()
                 elif tag in ("br", "wbr"):
-                    text.append(" " if tag == "br" else "")
+                    add(" " if tag == "br" else "")
                 continue
             if tag in _BLOCK:
                 # A drawing ends where text begins, closed or not.
@@ -163,15 +175,15 @@ class Page:
                     if open_ in _CLOSED_BY_BLOCK or open_ == tag == "li" or open_ in ("dt", "dd") and tag in ("dt", "dd"):
                         pop_to(i)
                         break
-                    if open_ in _CONTAINER:
+                    if open_ in _CONTAINER or open_ in _DROPPED or open_ in _DOUBTFUL:
                         break
             _, box, out, named = stack[-1]
-            if raw.strip("/ ") or tag in _DROPPED or tag == "header":
+            if raw.strip("/ ") or tag in _DROPPED or tag in _DOUBTFUL or tag == "header":
                 step, left_out, furniture, worth = self._attributes(tag, raw, bool(inside))
                 out = out or left_out
                 if furniture and not closed:
                     named = (*named, len(self._named))
-                    self._named.append([0.0, False])
+                    self._named.append([0.0, tag in _DOUBTFUL and worth > 1.0])
             else:
                 step, worth = tag, 3.0 if tag in ("article", "main") else 1.0
             if tag in _CONTAINER:
@@ -189,6 +201,7 @@ class Page:
             else:
                 links -= tag == "a"
                 inside -= tag in ("article", "main")
+        del stack[1:]
         flush()
 
     def best(self) -> tuple[int, float]:
