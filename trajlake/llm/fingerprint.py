@@ -3,8 +3,9 @@
 Of a text's shingles, every hash below a fixed fraction of the hash range is
 kept, and no other. So sketches merge by union, and what two of them share, over the
 smaller of them, estimates how much of the smaller document the larger
-contains, however unequal they are. Where the smaller sketch has under LEAST hashes, the
-text is short, and all shingles of both texts are compared.
+contains, however unequal they are. A text too short for that fraction is cut at twice the fraction, or at the whole range,
+and its fingerprint says so: two sketches are compared below the lower of their limits, and nothing but the
+two fingerprints is needed for it.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from pyspark.sql.window import Window
 from trajlake.llm.common import let
 
 SHINGLE_WORDS = 5
-#: One of so many hashes is kept.
-SCALE = 4
-#: Hashes of the smaller sketch from which on sketches alone are compared.
+#: One of so many hashes is kept: 2^SCALE_BITS of them.
+SCALE_BITS = 2
+#: Hashes that a sketch holds at least, by a wider limit, or all that the text has.
 LEAST = 8
 _BITS = 40
 #: Ranges of ids at most: their bounds are part of the plan.
@@ -41,35 +42,50 @@ def hashes(text: Column, words: int = SHINGLE_WORDS) -> Column:
     return let(F.transform(split, lambda x: F.xxhash64(x)), each)
 
 
-def sketch(text: Column, words: int = SHINGLE_WORDS, scale: int = SCALE) -> Column:
-    """Sorted distinct hashes of the text's word shingles below a ``scale``-th of the range."""
-    limit = F.lit((1 << _BITS) // scale)
-    return F.array_sort(F.array_distinct(F.filter(hashes(text, words), lambda x: x < limit)))
+def _limit(level: Column) -> Column:
+    return F.call_function("shiftright", F.lit(1 << _BITS), level)
 
 
-def merge(a: Column, b: Column) -> Column:
-    """The sketch of both texts' shingles together."""
-    return F.array_sort(F.array_union(a, b))
+def sketch(text: Column, words: int = SHINGLE_WORDS, scale_bits: int = SCALE_BITS) -> Column:
+    """level, kept: the sorted distinct hashes of the text's word shingles below a 2^level-th of the range.
 
+    The level is ``scale_bits``, or the highest one under it that keeps LEAST hashes, or 0, which keeps all.
+    """
 
-def fingerprint(kept: Column) -> Column:
-    """A sketch as text: ten hexadecimal digits a hash."""
-    return F.array_join(F.transform(kept, lambda x: F.lpad(F.lower(F.hex(x)), _BITS // 4, "0")), "")
+    def cut_at(every: Column) -> Column:
+        level = F.lit(0)
+        for k in range(1, scale_bits + 1):
+            under = F.lit((1 << _BITS) >> k)
+            level = F.when(F.get(every, F.lit(LEAST - 1)) < under, F.lit(k)).otherwise(level)
+        return let(level, lambda k: F.struct(k.alias("level"), F.filter(every, lambda x: x < _limit(k)).alias("kept")))
 
+    return let(F.array_sort(F.array_distinct(hashes(text, words))), cut_at)
 
-def _share(a: Column, b: Column) -> Column:
-    """Share of the smaller set that the other has; 1 for two empty ones, 0 if one is empty."""
-    small = F.least(F.size(a), F.size(b))
-    return F.when(small > 0, F.size(F.array_intersect(a, b)) / small).otherwise((F.size(a) == F.size(b)).cast("double"))
 
+def _below(a: Column, b: Column) -> Column:
+    """What ``a`` has below the lower limit of both."""
+    return F.filter(a["kept"], lambda x: x < _limit(F.greatest(a["level"], b["level"])))
 
-def containment(a: Column, b: Column, text_a: Column, text_b: Column, words: int = SHINGLE_WORDS) -> Column:
-    """Share of the smaller text's shingles that the other has, from sketches ``a`` and ``b`` of one scale.
 
-    Counted on all shingles where the smaller sketch has under LEAST hashes.
-    """
-    both = F.struct(F.array_distinct(hashes(text_a, words)).alias("a"), F.array_distinct(hashes(text_b, words)).alias("b"))
-    return F.when(F.least(F.size(a), F.size(b)) >= LEAST, _share(a, b)).otherwise(let(both, lambda w: _share(w["a"], w["b"])))
+def merge(a: Column, b: Column) -> Column:
+    """The sketch of both texts' shingles together, below the lower limit of both."""
+    return F.struct(F.greatest(a["level"], b["level"]).alias("level"), F.array_sort(F.array_union(_below(a, b), _below(b, a))).alias("kept"))
+
+
+def fingerprint(of: Column) -> Column:
+    """A sketch as text: its level, then ten hexadecimal digits a hash."""
+    return F.concat(of["level"].cast("string"), F.array_join(F.transform(of["kept"], lambda x: F.lpad(F.lower(F.hex(x)), _BITS // 4, "0")), ""))
+
+
+def containment(a: Column, b: Column) -> Column:
+    """Share of the smaller sketch that the other has, both below the lower limit; 1 for two equal sketches, 0 if only one is empty there."""
+    both = F.struct(_below(a, b).alias("a"), _below(b, a).alias("b"))
+
+    def share(w: Column) -> Column:
+        small = F.least(F.size(w["a"]), F.size(w["b"]))
+        return F.when(small > 0, F.size(F.array_intersect(w["a"], w["b"])) / small).otherwise(((a["level"] == b["level"]) & (F.size(a["kept"]) == F.size(b["kept"]))).cast("double"))
+
+    return let(both, share)
 
 
 def _buckets(ids: DataFrame, n: int) -> tuple[list, int]:
@@ -109,7 +125,7 @@ def with_next(docs: DataFrame, value_cols: list[str], id_col: str = "doc_id", de
     return derive(rows.unionByName(tails)).select("*", *nexts).where("_tail = 0").drop("_b", "_tail")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, scale: int = SCALE) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, scale_bits: int = SCALE_BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_kept.
 
     The edited text has the last quarter (rounded down) of the code points replaced by
@@ -118,18 +134,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeat an id follow each other, in order of their texts; other columns aren't read.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(base, ["text", "kept"], derive=lambda df: df.withColumn("kept", sketch(F.col("text"), words, scale)))
+    rows = with_next(base, ["text", "kept"], derive=lambda df: df.withColumn("kept", sketch(F.col("text"), words, scale_bits)))
     n = F.char_length("text")
     tail = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - tail), F.substring(F.col("next_text"), F.lit(1), tail))
-    rows = rows.withColumn("n_chars", n.cast("bigint")).withColumn("edited", edited).withColumn("edited_kept", sketch(F.col("edited"), words, scale))
+    rows = rows.withColumn("n_chars", n.cast("bigint")).withColumn("edited", edited).withColumn("edited_kept", sketch(F.col("edited"), words, scale_bits))
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("kept")).alias("fingerprint"),
         fingerprint(F.col("edited_kept")).alias("edited_fingerprint"),
-        containment(F.col("kept"), F.col("edited_kept"), F.col("text"), F.col("edited"), words).alias("near_edited"),
-        containment(F.col("kept"), F.col("next_kept"), F.col("text"), F.col("next_text"), words).alias("near_next"),
-        F.size("kept").alias("n_kept"),
+        containment(F.col("kept"), F.col("edited_kept")).alias("near_edited"),
+        containment(F.col("kept"), F.col("next_kept")).alias("near_next"),
+        F.size("kept.kept").alias("n_kept"),
     )
