@@ -17,7 +17,10 @@ from trajlake.sources import capture
 def folder(spark: SparkSession, tag: str) -> str:
     """A new folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
+    if not base and not spark.sparkContext.master.startswith("local["):
+        # Other machines don't see this one's temporary folders; they all see the warehouse.
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    elif not base:
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trajlake-"))

@@ -101,20 +101,17 @@ def d8_missing_frames(spark, sf):
     return joins.missing_frames(c, files, ["c_nationkey"], "c_custkey").select("c_nationkey", "n_missing", F.element_at("first_missing", 1).alias("first_one"), F.element_at("first_missing", -1).alias("last_one"))
 
 
-@query("""WITH r AS (SELECT DISTINCT least(a.r_name, b.r_name) AS a, greatest(a.r_name, b.r_name) AS b FROM region a, region b WHERE a.r_regionkey < b.r_regionkey),
-    h AS (SELECT DISTINCT least(x.r_name, y.r_name) AS a, greatest(x.r_name, y.r_name) AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation n ON n.n_nationkey = c_nationkey JOIN region x ON x.r_regionkey = n.n_regionkey
-        JOIN supplier ON s_suppkey = l_suppkey JOIN nation m ON m.n_nationkey = s_nationkey JOIN region y ON y.r_regionkey = m.n_regionkey WHERE l_quantity > 49 AND o_totalprice > 505000)
-    SELECT * FROM r ANTI JOIN h USING (a, b)""")
+@query("""WITH p AS (SELECT p_partkey AS k, lead(p_partkey) OVER (ORDER BY p_partkey) AS n FROM part), r AS (SELECT 'part-' || k AS x, 'part-' || n AS y FROM p WHERE n IS NOT NULL),
+    h AS (SELECT DISTINCT 'part-' || a.l_partkey AS x, 'part-' || b.l_partkey AS y FROM lineitem a JOIN lineitem b USING (l_orderkey))
+    SELECT least(x, y) AS a, greatest(x, y) AS b FROM r ANTI JOIN h USING (x, y)""")
 def d9_coverage(spark, sf):
-    r, n = table(spark, sf, "region"), table(spark, sf, "nation")
-    names = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name")
-    # Five regions: ten pairs.
-    need = r.select(F.col("r_name").alias("x"), F.col("r_regionkey").alias("i")).join(r.select(F.col("r_name").alias("y"), F.col("r_regionkey").alias("j")), F.col("i") < F.col("j"))
-    o, li = table(spark, sf, "orders").where("o_totalprice > 505000"), table(spark, sf, "lineitem").where("l_quantity > 49")
-    c = table(spark, sf, "customer").join(names, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("r_name").alias("y"))
-    s = table(spark, sf, "supplier").join(names, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("r_name").alias("x"))
-    have = o.join(li, o.o_orderkey == li.l_orderkey).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("x", "y")
-    return joins.coverage(need, have, "x", "y")
+    """Neighbouring parts that no order has together; either orientation and either way to write a name counts."""
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("k"))
+    # Keys count up from the least without a gap, or the pair isn't one of neighbours.
+    need = parts.join(parts.select((F.col("k") - 1).alias("k"), F.col("k").alias("n")), "k").select(*[F.concat(F.lit("part/"), F.col(c).cast("string")).alias(n) for c, n in (("n", "x"), ("k", "y"))])
+    lines = table(spark, sf, "lineitem")
+    one, other = (lines.select("l_orderkey", F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias(c)) for c in "xy")
+    return joins.coverage(need, one.join(other, "l_orderkey").select("x", "y"), "x", "y")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)")

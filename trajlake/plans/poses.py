@@ -203,15 +203,16 @@ def e29_score_episodes(spark, sf):
 
 
 def _projections(spark, sf):
-    """Each point of a clip seen by every pose of it, with exact pixels."""
+    """Each point of a clip seen by the poses of the frames around its own, with exact pixels."""
     t = traj(spark, sf)
     cams = t.select("clip", F.col("frame").alias("cam"), *POSE)
     back = scale(rotate(conj(cols(*_Q)), cols(*_T)), -1.0)
     axes = [rotate(conj(cols(*_Q)), lits(*v)) for v in ((1, 0, 0), (0, 1, 0), (0, 0, 1))]
     p = {f"p{i}{j}": axes[j][i] if j < 3 else back[i] for i in range(3) for j in range(4)}
     cams = cams.withColumns(p)
-    pts = t.select("clip", "vec_id", *[F.col(o).alias(c) for o, c in zip(_O, "xyz", strict=True)])
-    v = pts.join(cams, "clip")
+    around = F.explode(F.sequence(F.col("frame") - 12, F.col("frame") + 12)).alias("cam")
+    pts = t.select("clip", "vec_id", around, *[F.col(o).alias(c) for o, c in zip(_O, "xyz", strict=True)])
+    v = pts.join(cams, ["clip", "cam"])
     x = [F.col(f"p{i}0") * F.col("x") + F.col(f"p{i}1") * F.col("y") + F.col(f"p{i}2") * F.col("z") + F.col(f"p{i}3") for i in range(3)]
     return v.withColumns({"u": x[0] / x[2], "v": x[1] / x[2]}).where(F.abs(x[2]) > 0.05)
 
