@@ -1,5 +1,6 @@
 """Each operator on small tables: nulls, empty texts, ties, repeats, empty tables, clashing columns, brute force."""
 
+import gzip
 import hashlib
 import io
 import zipfile
@@ -231,7 +232,7 @@ def test_html_stray_quotes_take_linear_time():
     assert len(text) > 1000 and time.process_time() - began < 5
 
 
-def test_warc(spark, tmp_path):
+def test_warc(spark, tmp_path, monkeypatch):
     rows = [(3, "http://a", "same"), (1, "http://b", "same"), (2, None, "other ü"), (4, "http://c", None), (5, "http://d", ""), (6, "http://e\r\nx", "y" * 300_000), (6, "http://e", "y" * 300_000), (None, "http://n", "same")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("sha", F.lit(1))
     out = collect(warc.archive(pages, f"file://{tmp_path}/w", keep_payload=True))
@@ -239,11 +240,59 @@ def test_warc(spark, tmp_path):
     assert len(out) == 8 and by[1]["record_type"] == "response" and by[1]["payload"] == b"same" and (by[3]["record_type"], by[3]["refers_to"]) == ("revisit", 1)
     assert by[5]["refers_to"] == 4 and by[4]["payload_bytes"] == 0 and by[2]["payload"] == "other ü".encode() and by[6]["payload_bytes"] == 300_000
     assert all(r["payload_digest"] == warc.digest((t or "").encode()) for p, _, t in rows for r in out if r["page_id"] == p)
+    assert {r["url"] for r in out if r["page_id"] == 6} == {"http://e\r\nx", "http://e"}
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", 0)
     small = {r["page_id"]: r["record_type"] for r in collect(warc.archive(pages, least_bytes=5))}
     assert small[3] == small[1] == small[5] == "response"
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def foreign(kind, block, **head):
+    lines = {"WARC-Type": kind, "WARC-Date": "2020-01-01T00:00:00Z", "Content-Length": str(len(block))} | {k.replace("_", "-"): v for k, v in head.items()}
+    text = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines.items()) + "\r\n"
+    return gzip.compress(text.encode() + block + b"\r\n\r\n")
+
+
+@pytest.mark.parametrize("indexed", ["plain", "gzip", "none"])
+def test_packages_of_other_tools(spark, tmp_path, indexed):
+    http = b"HTTP/1.1 200 OK\r\ncontent-type: text/html\r\n\r\n"
+    records = [foreign("warcinfo", b"software: x\r\n", WARC_Record_ID="<urn:uuid:0>", Content_Type="application/warc-fields")]
+    records += [foreign("response", http + b"page %d" % i, WARC_Record_ID=f"<urn:uuid:{i}>", WARC_Target_URI=f"http://h/{i}", Content_Type="application/http;msgtype=response") for i in range(1, 900)]
+    records.append(foreign("revisit", http, WARC_Record_ID="<urn:uuid:900>", WARC_Refers_To="<urn:uuid:1>", WARC_Payload_Digest="sha1:" + warc.digest(b"page 1"), Content_Type="application/http"))
+    at, lines = 0, ["!meta {}"]
+    for i, r in enumerate(records):
+        if i % 300 or not i:  # an index may leave records out
+            lines.append(f'h)/{i} 20200101 {{"url": "http://h/{i}", "offset": "{at}", "length": "{len(r)}", "filename": "crawl-7.warc.gz", "mime": "text/html"}}')
+        at += len(r)
+    index = "\n".join(lines).encode()
+    with zipfile.ZipFile(tmp_path / "other.wacz", "w") as z:
+        with z.open(zipfile.ZipInfo("archive/crawl-7.warc.gz"), "w", force_zip64=True) as f:
+            f.write(b"".join(records))
+        if indexed != "none":
+            z.writestr(*(("indexes/all.cdx.gz", gzip.compress(index)) if indexed == "gzip" else ("indexes/all.cdxj", index)), zipfile.ZIP_DEFLATED)
+        z.writestr("datapackage.json", "{}")
+    paths = spark.createDataFrame([(f"file://{tmp_path}/other.wacz",)], "path string")
+    out = {r["record_id"]: r for r in collect(warc.read_packages(paths, range_records=100))}
+    assert len(out) == 901 and all(out[f"<urn:uuid:{i}>"]["payload"] == b"page %d" % i for i in range(1, 900))
+    assert out["<urn:uuid:0>"]["record_type"] == "warcinfo" and out["<urn:uuid:5>"]["payload_digest"] == warc.digest(b"page 5") and out["<urn:uuid:5>"]["page_id"] is None
+    assert (out["<urn:uuid:900>"]["record_type"], out["<urn:uuid:900>"]["payload"]) == ("revisit", None)
+
+
+def test_ranges_are_unpacked_in_linear_time():
+    import time
+
+    def took(n):
+        raw = b"".join(warc.record(i, "http://u", np.random.default_rng(i).bytes(30_000), None) for i in range(n))
+        began = time.process_time()
+        assert sum(1 for _ in warc.unpacked(raw)) == n
+        return time.process_time() - began
+
+    took(50)
+    assert took(1600) < 16 * max(took(200), 0.01)
+    with pytest.raises(ValueError, match="no end"):
+        list(warc.unpacked(gzip.compress(b"x")[:-3]))
+
+
 def test_zip_directories():
     for wide in (False, True):
         out = io.BytesIO()

@@ -18,9 +18,11 @@ BATCH_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; where none is set, the warehouse's, and a temporary one where all is one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
+    if not base and not spark.sparkContext.master.startswith("local["):
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    elif not base:
         base = tempfile.mkdtemp(prefix="trajlake-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()

@@ -4,7 +4,8 @@ A package holds, stored and not deflated, a WARC file whose records are gzip
 members, and an index with each record's place. The reader takes a package's last
 bytes, finds the central directory (ZIP64 or not), from it the members, from the
 index the records; record ranges are then dealt out and read, each from its place,
-without unpacking anything else.
+without unpacking anything else. Packages of other tools are read too: members are known by their endings, the index is CDXJ, and
+record ids may be any.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import base64
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zipfile
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import cut, scratch, short_batches
+from trajlake.llm.common import cut, join_uneven, scratch, short_batches
 
 #: A package is closed once its records take so many bytes.
 PACKAGE_BYTES = 16 << 20
@@ -32,7 +34,9 @@ RANGE_RECORDS = 512
 #: As many groups of equal payloads as may be broadcast: a row of them takes under 100 bytes.
 BROADCAST_GROUPS = 100_000
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
-_READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+_OWN_ID = re.compile(r"<urn:page:(-?\d+)>")
+_FEED = 1 << 16
+_READ = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
 
 def _fs(uri: str):
@@ -50,7 +54,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     name = "none" if page_id is None else page_id
     head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{name}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
     if url is not None:
-        head.append(("WARC-Target-URI", "".join(url.splitlines())))
+        plain = "".join(url.splitlines())
+        head.append(("WARC-Target-URI", plain))
+        if plain != url:
+            head.append(("X-Target-URI-JSON", json.dumps(url)))
     if refers_to is None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
     else:
@@ -62,29 +69,63 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return packer.compress(text.encode("utf-8", "replace") + block + b"\r\n\r\n") + packer.flush()
 
 
+def _own(name: str | None) -> int | None:
+    found = _OWN_ID.fullmatch(name or "")
+    return int(found[1]) if found else None
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    """Header lines by lower-case name; a line that begins with white space goes on with the one before."""
+    lines = re.sub(r"\r?\n[ \t]+", " ", head.decode("utf-8", "replace")).splitlines()[1:]
+    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines) if k.strip()}
+
+
 def parse(raw: bytes) -> dict:
-    """The row of a record whose gzip member has been unpacked."""
-    head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8").split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = int(next(x.split(b":")[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")))
-    page, other = fields["WARC-Record-ID"][10:-1], fields.get("WARC-Refers-To")
-    response = fields["WARC-Type"] == "response"
-    stored = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    if response and (len(payload) != size or digest(payload) != stored):
-        raise ValueError(f"payload of {page} doesn't match its digest")
+    """The row of a record whose gzip member has been unpacked.
+
+    ``page_id`` and ``refers_to`` are null where ids aren't those of ``record``. A record that is no HTTP message, such as one of metadata, has its
+    block as payload. A digest in base32 SHA-1 is checked if the payload is as long as its message says; one that is missing is computed.
+    """
+    head, _, rest = raw.lstrip(b"\r\n").partition(b"\r\n\r\n")
+    fields = _fields(head)
+    block = rest[: int(fields.get("content-length", len(rest)))]
+    kind, payload, size = fields.get("warc-type", ""), block, None
+    if fields.get("content-type", "").startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        told = _fields(http).get("content-length", "")
+        size = int(told) if told.isdigit() else None
+    whole = kind != "revisit"
+    stored = fields.get("warc-payload-digest", "").removeprefix("sha1:") or (digest(payload) if whole else None)
+    if whole and re.fullmatch("[A-Z2-7]{32}", stored) and size == len(payload) and digest(payload) != stored:
+        raise ValueError(f"payload of {fields.get('warc-record-id')} doesn't match its digest")
+    if whole and _own(fields.get("warc-record-id")) is not None and size != len(payload):
+        raise ValueError(f"payload of {fields['warc-record-id']} isn't whole")
+    url = json.loads(fields["x-target-uri-json"]) if "x-target-uri-json" in fields else fields.get("warc-target-uri")
     return {
-        "page_id": None if page == "none" else int(page), "url": fields.get("WARC-Target-URI"), "record_type": fields["WARC-Type"], "refers_to": int(other[10:-1]) if other else None,
-        "payload_bytes": size, "payload_digest": stored, "payload": payload if response else None,
+        "record_id": fields.get("warc-record-id"), "page_id": _own(fields.get("warc-record-id")), "url": url, "record_type": kind, "refers_to": _own(fields.get("warc-refers-to")),
+        "payload_bytes": len(payload) if whole else size, "payload_digest": stored, "payload": payload if whole else None,
     }
 
 
+def unpacked(raw: bytes) -> Iterator[bytes]:
+    """The gzip members of ``raw``, one after the other. They are fed in small pieces, so that none copies all that follows it."""
+    view, at = memoryview(raw), 0
+    while at < len(raw):
+        unpack, out = zlib.decompressobj(31), []
+        while not unpack.eof and at < len(raw):
+            piece = view[at : at + _FEED]
+            out.append(unpack.decompress(piece))
+            at += len(piece) - len(unpack.unused_data)
+        if not unpack.eof:
+            raise ValueError("a record's gzip member has no end")
+        yield b"".join(out)
+
+
 def package(records: list[tuple[int | None, bytes]]) -> bytes:
-    """A ZIP package of records, and their index, as stored members."""
+    """A ZIP package of records, and their CDXJ index, as stored members."""
     data, index, at = [], [], 0
     for page_id, raw in records:
-        index.append(json.dumps({"page": page_id, "offset": at, "length": len(raw)}))
+        index.append(f"page,{'none' if page_id is None else page_id})/ 19700101000000 " + json.dumps({"filename": WARC_MEMBER.rpartition("/")[2], "offset": str(at), "length": str(len(raw))}))
         data.append(raw)
         at += len(raw)
     out = io.BytesIO()
@@ -95,6 +136,41 @@ def package(records: list[tuple[int | None, bytes]]) -> bytes:
     return out.getvalue()
 
 
+def index_lines(text: str) -> Iterator[tuple[str, int, int]]:
+    """filename, offset, length of the records of a CDXJ index, in order of their places: what is before a line's braces is its key."""
+    found = set()
+    for line in text.splitlines():
+        at = line.find("{")
+        if at >= 0 and not line.startswith("!"):
+            entry = json.loads(line[at:])
+            if "offset" in entry and "length" in entry:
+                found.add((entry.get("filename", ""), int(entry["offset"]), int(entry["length"])))
+    yield from sorted(found)
+
+
+def record_ranges(read, size: int, range_records: int) -> Iterator[tuple[int, int]]:
+    """Place and length of runs of records of a package, of ``range_records`` at most; an archive member that no index names is one run."""
+    found = members(read, size)
+    archives = {n.rpartition("/")[2]: m for n, m in found.items() if n.endswith(".warc.gz")}
+    if any(m[2] for m in archives.values()):
+        raise ValueError("archive members aren't stored")
+    entries: dict[str, list[tuple[int, int]]] = {}
+    for name, (place, length, method) in found.items():
+        if re.search(r"\.cdxj?(\.gz)?$", name):
+            text = read(place, length)
+            text = zlib.decompress(text, -15) if method == 8 else text
+            text = b"".join(unpacked(text)) if name.endswith(".gz") else text
+            for file, offset, n in index_lines(text.decode("utf-8", "replace")):
+                own = file.rpartition("/")[2] or (next(iter(archives)) if len(archives) == 1 else "")
+                if own in archives:
+                    entries.setdefault(own, []).append((offset, n))
+    for name, (place, length, _) in sorted(archives.items()):
+        # Runs meet: records that the index leaves out, such as requests, are read with those before them.
+        places = sorted({at for at, _ in entries.get(name, [])})[range_records::range_records] if name in entries else []
+        edges = [0, *places, length]
+        yield from ((place + lo, hi - lo) for lo, hi in zip(edges, edges[1:], strict=False) if hi > lo)
+
+
 def members(read, size: int) -> dict[str, tuple[int, int, int]]:
     """name: (place of its bytes, length, method), from the central directory. ``read(offset, length)`` gives bytes."""
     tail_at = max(0, size - 66_000)
@@ -164,7 +240,7 @@ def write_packages(rows: DataFrame, folder: str, package_bytes: int = PACKAGE_BY
 
 
 def read_packages(paths: DataFrame, range_records: int = RANGE_RECORDS, keep_payload: bool = True) -> DataFrame:
-    """Records of the packages in ``paths`` (path): page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload."""
+    """Records of the packages in ``paths`` (path): record_id, page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload."""
     short_batches(paths.sparkSession)
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,15 +249,7 @@ def read_packages(paths: DataFrame, range_records: int = RANGE_RECORDS, keep_pay
             for path in batch.column(0).to_pylist():
                 fs, name = _fs(path)
                 with fs.open_input_file(name) as f:
-                    found = members(lambda at, n, f=f: f.read_at(n, at), f.size())
-                    place, length, method = found[INDEX_MEMBER]
-                    start, _, packed = found[WARC_MEMBER]
-                    if method or packed:
-                        raise ValueError(f"{path}: members aren't stored")
-                    lines = [json.loads(x) for x in f.read_at(length, place).decode().split("\n") if x]
-                for i in range(0, len(lines), range_records):
-                    first, last = lines[i], lines[min(i + range_records, len(lines)) - 1]
-                    out.append({"path": path, "at": start + first["offset"], "length": last["offset"] + last["length"] - first["offset"]})
+                    out += [{"path": path, "at": at, "length": n} for at, n in record_ranges(lambda at, n, f=f: f.read_at(n, at), f.size(), range_records)]
             yield pa.RecordBatch.from_pylist(out, pa.schema([("path", pa.string()), ("at", pa.int64()), ("length", pa.int64())]))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,10 +259,8 @@ def read_packages(paths: DataFrame, range_records: int = RANGE_RECORDS, keep_pay
                 with fs.open_input_file(name) as f:
                     raw = f.read_at(length, at)
                 rows: list[dict] = []
-                while raw:
-                    unpack = zlib.decompressobj(31)
-                    rows.append(parse(unpack.decompress(raw) + unpack.flush()))
-                    raw = unpack.unused_data
+                for whole in unpacked(raw):
+                    rows.append(parse(whole))
                     if not keep_payload:
                         rows[-1]["payload"] = None
                     if len(rows) == 64:
@@ -205,7 +271,7 @@ def read_packages(paths: DataFrame, range_records: int = RANGE_RECORDS, keep_pay
 
     ranges = paths.select("path").mapInArrow(locate, "path string, at bigint, length bigint")
     n = max(1, int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return ranges.repartition(n).mapInArrow(load, "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary")
+    return ranges.repartition(n).mapInArrow(load, "record_id string, page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary")
 
 
 def archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, keep_payload: bool = False) -> DataFrame:
@@ -221,10 +287,8 @@ def archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id"
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     size = F.octet_length("html")
     key = rows.withColumn("sha", F.sha1(F.col("html").cast("binary"))).withColumn("size", size)
-    groups = key.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = key.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     groups = cut(groups, "payloads")
-    if groups.count() <= BROADCAST_GROUPS:
-        groups = F.broadcast(groups)
     refers = F.when(F.col("page_id") != F.col("first"), F.col("first"))
-    written = key.join(groups, ["sha", "size"], "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    written = join_uneven(key, groups, ["sha", "size"], "n", F.xxhash64("page_id", "url"), BROADCAST_GROUPS).select("page_id", "url", "html", refers.alias("refers_to"))
     return read_packages(write_packages(written, folder or scratch(spark, "warc")), keep_payload=keep_payload)
