@@ -73,13 +73,16 @@ def test_near_hashes_match_all_pairs(spark, most, kind):
     first = {}
     for i, h in enumerate(hashes):
         first.setdefault(h, i)
-    out = {r.id: r for r in joins.near_hashes(df, "id", "h", most).collect()}
+    out = {r.id: r for r in joins.hash_classes(df, "id", "h", most).collect()}
     assert len(out) == len(hashes)
     assert all((out[i].class_id, out[i].n_same, out[i].n_near) == (first[h], n[h], want[h]) for i, h in enumerate(hashes))
+    pairs = {(r.a, r.b, r.distance) for r in joins.near_hashes(df, "id", "h", most).collect()}
+    apart = lambda g, h: bin((g ^ h) & (1 << 64) - 1).count("1")
+    assert pairs == {(first[g], first[h], apart(g, h)) for g in n for h in n if first[g] < first[h] and apart(g, h) <= most}
 
 
 def test_near_hashes_of_nothing(spark):
-    assert joins.near_hashes(spark.createDataFrame([(1, None)], "id bigint, h bigint"), "id", "h", 2).count() == 0
+    assert joins.hash_classes(spark.createDataFrame([(1, None)], "id bigint, h bigint"), "id", "h", 2).count() == 0
 
 
 @pytest.mark.parametrize("keys", [5, 20_000, 1])

@@ -324,14 +324,30 @@ def hash_links(kinds: DataFrame, most: int) -> DataFrame:
     return met.select("ha", "hb", distance).where(F.col("distance") <= most).distinct()
 
 
+def _kinds(df: DataFrame, key: str, phash: str) -> tuple[DataFrame, DataFrame]:
+    """key, ha of the rows with a hash; ha, n_same, class_id of the distinct hashes."""
+    rows = df.where(F.col(phash).isNotNull()).select(F.col(key).alias("key"), F.col(phash).alias("ha"))
+    return rows, rows.groupBy("ha").agg(F.count("*").alias("n_same"), F.min("key").alias("class_id"))
+
+
 def near_hashes(df: DataFrame, key: str, phash: str, most: int) -> DataFrame:
+    """a, b, distance with a < b: pairs of 64-bit hashes up to ``most`` bits apart, each named by the smallest key of its rows.
+
+    Rows that share a hash are one class (``hash_classes``), so no pairs are formed among them.
+    """
+    _, kinds = _kinds(df, key, phash)
+    names = kinds.select("ha", "class_id")
+    links = hash_links(kinds.select("ha"), most).join(names.withColumnRenamed("class_id", "x"), "ha").join(names.withColumnsRenamed({"ha": "hb", "class_id": "y"}), "hb")
+    return links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+
+
+def hash_classes(df: DataFrame, key: str, phash: str, most: int) -> DataFrame:
     """key, class_id, n_same, n_near of each row with a 64-bit hash.
 
     Rows of one hash are a class, named by its smallest key, of n_same rows; n_near counts the rows of other classes up to ``most`` bits
     away. Classes are linked, not rows, so a hash that very many rows share costs what one row does.
     """
-    rows = df.where(F.col(phash).isNotNull()).select(F.col(key).alias("key"), F.col(phash).alias("ha"))
-    kinds = rows.groupBy("ha").agg(F.count("*").alias("n_same"), F.min("key").alias("class_id"))
+    rows, kinds = _kinds(df, key, phash)
     links = hash_links(kinds.select("ha"), most)
     both = links.select(F.explode(F.array(F.struct("ha", "hb"), F.struct(F.col("hb").alias("ha"), F.col("ha").alias("hb")))).alias("p")).select("p.*")
     near = both.join(kinds.select(F.col("ha").alias("hb"), F.col("n_same").alias("n")), "hb").groupBy("ha").agg(F.sum("n").alias("n_near"))

@@ -202,4 +202,4 @@ def p5_batch_hash_duplicates(spark, sf):
     spread = F.lit(0).cast("bigint")
     for i in range(22):
         spread = spread.bitwiseOR(F.shiftleft(F.shiftright(bits, i).bitwiseAND(1), (i * 3) % 64))
-    return joins.near_hashes(e.select("event_id", spread.alias("h")), "event_id", "h", 2)
+    return joins.hash_classes(e.select("event_id", spread.alias("h")), "event_id", "h", 2)
