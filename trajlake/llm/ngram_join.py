@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trajlake.llm.common import cut, discard, short_batches
+from trajlake.llm.common import cut, discard, join_uneven, short_batches
 from trajlake.llm.components import merged
 
 #: Members of a group, or of a chunk, that one task compares.
@@ -258,6 +258,11 @@ def _sets(texts: DataFrame, words: int, percent: int, common: np.ndarray) -> Dat
     return texts.mapInArrow(run, "rid bigint, doc_id bigint, key binary, n bigint, bits binary, prefix array<bigint>")
 
 
+def _by(rows: DataFrame, side: DataFrame, keys: list[str], times: str) -> DataFrame:
+    """``rows`` with what ``side`` (distinct ``keys``) has for them; others go. ``times`` says how many rows have a key: those of a crowded one are spread by ``rep``."""
+    return join_uneven(rows, cut(side, "side"), keys, times, F.xxhash64("rep")).where(F.col(times).isNotNull())
+
+
 def _of(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """``rows`` whose ``key`` is in ``ids``, a written table of distinct ids."""
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
@@ -288,13 +293,14 @@ def _members(firsts: DataFrame, texts: DataFrame, heads: DataFrame, words: int,
     crowded = cut(firsts.groupBy("e").agg(F.count("*").alias("k")).where(F.col("k") > group), "crowded")
     if crowded.isEmpty():
         return firsts
-    within = cut(firsts.join(crowded, "e").select("rep").distinct(), "within")
+    within = cut(join_uneven(firsts, crowded, ["e"], "k", F.xxhash64("rep")).where("k is not null").select("rep").distinct(), "within")
     each = _whole(texts, within, heads, words, common).select(F.explode("elements").alias("e"))
     late = crowded.unionAll(each.groupBy("e").agg(F.count("*").alias("k")).where(F.col("k") > group)).groupBy("e").agg(F.max("k").alias("late"))
     late = cut(late, "late")
-    moved = cut(firsts.join(late, "e", "left_semi").select("rep").distinct(), "moved")
+    moved = cut(join_uneven(firsts, late, ["e"], "late", F.xxhash64("rep")).where("late is not null").select("rep").distinct(), "moved")
     again = _whole(texts, moved, heads, words, common).select("rep", F.size("elements").alias("n"), F.explode(F.arrays_zip("elements", "often")).alias("x"))
-    again = again.select("rep", "n", F.col("x.elements").alias("e"), F.col("x.often").alias("often")).join(late, "e", "left")
+    again = again.select("rep", "n", F.col("x.elements").alias("e"), F.col("x.often").alias("often"))
+    again = join_uneven(again, late, ["e"], "late", F.xxhash64("rep"))
     order = Window.partitionBy("rep").orderBy("often", F.coalesce("late", F.lit(0)), "e")
     again = again.withColumn("n", F.col("n").cast("bigint")).withColumn("at", (F.row_number().over(order) - 1).cast("bigint"))
     again = again.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).select("e", "rep", "n", _early(percent))
@@ -309,8 +315,8 @@ def _early(percent: int) -> Column:
 def _shared(firsts: DataFrame) -> DataFrame:
     """Rows (e, rep, n, early) of elements that several sets hold, one of them early."""
     both = F.sum(F.col("early") * (1 << 32) + 1)
-    kept = firsts.groupBy("e").agg(both.alias("k")).where((F.col("k") > 1 << 32) & (F.col("k") % (1 << 32) > 1)).select("e")
-    return firsts.join(kept, "e", "left_semi")
+    kept = firsts.groupBy("e").agg(both.alias("k")).where((F.col("k") > 1 << 32) & (F.col("k") % (1 << 32) > 1)).select("e", (F.col("k") % (1 << 32)).alias("k"))
+    return _by(firsts, kept, ["e"], "k").drop("k")
 
 
 def _live(rows: DataFrame, percent: int) -> DataFrame:
@@ -387,14 +393,14 @@ def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
         return members.withColumn("comp", F.col("rep"))
     labelled = members.join(labels.select(F.col("v").alias("rep"), F.col("label").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     labelled = cut(labelled.select("e", "k", "rep", "n", "comp"), "labelled")
-    mixed = labelled.groupBy("e").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("e")
-    return labelled.join(mixed, "e")
+    mixed = labelled.groupBy("e").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("times")).where("c0 < c1").select("e", "times")
+    return _by(labelled, mixed, ["e"], "times").drop("times")
 
 
 def _round(open_: DataFrame, whole: DataFrame, percent: int, group: int, seed: int) -> DataFrame:
     """a, b: links found by comparing each set of ``open_`` within one of its groups, drawn by ``seed``."""
     drawn = open_.groupBy("rep", "comp").agg(F.min(F.struct(F.xxhash64("e", F.lit(seed)).alias("by"), "e")).alias("m")).select("rep", "comp", "m.e")
-    placed = _chunked(drawn.join(drawn.groupBy("e").agg(F.count("*").alias("k")).where("k > 1"), "e"), F.col("e"), F.col("rep"), F.col("k"), group)
+    placed = _chunked(_by(drawn, drawn.groupBy("e").agg(F.count("*").alias("k")).where("k > 1"), ["e"], "k"), F.col("e"), F.col("rep"), F.col("k"), group)
     picked = placed.where(F.pmod(F.xxhash64("rep", "e", F.lit(5)), F.greatest(F.floor(F.col("k") / PIVOTS), F.lit(1))) == 0).where(F.col("k") > group)
     spread = picked.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("k") / group) - 1)))
     tasks = cut(placed.unionByName(spread).select(F.struct("e", "chunk").alias("task"), "rep", "comp").distinct(), "tasks")
@@ -427,10 +433,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = cut(_members(cut(_shared(firsts), "shared"), texts, heads, words, percent, group, common), "firsts")
     sums = firsts.groupBy("e").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.min("rep").alias("least")).where("k > 1")
     groups = sums.groupBy("k", "x", "y", "least").agg(F.min("e").alias("e")).select("e", "k")
-    met = cut(firsts.join(groups, "e"), "met")
+    met = cut(_by(firsts, groups, ["e"], "k"), "met")
     small = _live(met.where(F.col("k") <= group).join(classes.select("rep", "bits"), "rep"), percent)
     live = cut(small.unionByName(met.where(F.col("k") > group).select("e", "rep", "n")), "live")
-    members = cut(live.join(live.groupBy("e").agg(F.count("*").alias("k")), "e"), "members")
+    members = cut(_by(live, live.groupBy("e").agg(F.count("*").alias("k")), ["e"], "k"), "members")
     reps = cut(live.select("rep").distinct(), "reps")
     whole = cut(_whole(texts, reps, heads, words, common).drop("often"), "whole")
 
@@ -447,7 +453,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     large = F.col("own") > group / 2
     shares = shares.withColumn("pool", F.when(F.col("k") <= group, F.lit(0)).when(large, F.xxhash64("comp")).otherwise(F.lit(0)))
     within = F.when(F.col("pool") == 0, F.col("k")).otherwise(F.col("own"))
-    dealt = open_.drop("k").join(shares, ["e", "comp"])
+    dealt = _by(open_.drop("k"), shares, ["e", "comp"], "own")
     dealt = cut(_chunked(dealt, F.col("e"), F.when(F.col("pool") == 0, F.col("comp")).otherwise(F.col("rep")), within, group).withColumn("chunk", F.struct("pool", "chunk")), "dealt")
     heads_ = dealt.groupBy("e", "chunk").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("low"), F.max("n").alias("high"))
     other = heads_.select("e", *[F.col(c).alias(f"{c}_") for c in ("chunk", "c0", "c1", "low", "high")])
