@@ -16,20 +16,38 @@ from trajlake.llm.packing import pack
 from trajlake.llm.queries import tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Files whose numbers are broadcast, at most: 16 bytes each.
+BROADCAST_FILES = 1_000_000
+#: Buckets in which file names are ranked; tasks, at most, that the rows of one file are dealt to where they are shuffled.
+FILE_BUCKETS, FILE_PLACES = 4096, 64
+
+
+def _numbered(files: DataFrame, tag: str) -> DataFrame:
+    """_file, _h (its hash), _k (a number of its own) of ``files`` (_file). Names are ranked within buckets of a hash, so no task holds them all."""
+    named = files.withColumn("_h", F.xxhash64("_file")).withColumn("_bucket", F.pmod("_h", F.lit(FILE_BUCKETS)))
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_file")) - 1
+    return cut(named.select("_file", "_h", (rank.cast("bigint") * FILE_BUCKETS + F.col("_bucket")).alias("_k")), tag)
 
 
 def _keyed(docs: DataFrame, tag: str) -> DataFrame:
     """``docs`` with ``_row``: a key of each row's own, as ids may repeat or be null.
 
     Rows of written files have their place in them, which no reading changes; others are written first.
+    File numbers are broadcast by the hash of the name, so texts aren't shuffled; beyond
+    BROADCAST_FILES, or where two names have one hash, rows are dealt by name and place.
     """
     try:
         placed = docs.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.row_index")})
     except AnalysisException:
         return cut(docs.withColumn("_row", F.monotonically_increasing_id()), tag)
-    names = docs.select(F.col("_metadata.file_path").alias("_file")).distinct()
-    files = cut(names.select("_file", (F.row_number().over(Window.orderBy("_file")) - 1).cast("bigint").alias("_k")), tag)
-    return placed.join(files, "_file").withColumn("_row", F.col("_k") * (1 << 36) + F.col("_at")).select(*COLUMNS, "_row")
+    files = _numbered(docs.select(F.col("_metadata.file_path").alias("_file")).distinct(), tag)
+    n, hashes = files.agg(F.count("*"), F.count_distinct("_h")).first()
+    if n == hashes and n <= BROADCAST_FILES:
+        met = placed.withColumn("_h", F.xxhash64("_file")).join(F.broadcast(files.select("_h", "_k")), "_h")
+    else:
+        places = files.select("_file", "_k", F.explode(F.sequence(F.lit(0), F.lit(FILE_PLACES - 1))).cast("bigint").alias("_place"))
+        met = placed.withColumn("_place", F.col("_at") % FILE_PLACES).join(places, ["_file", "_place"])
+    return met.withColumn("_row", F.col("_k") * (1 << 36) + F.col("_at")).select(*COLUMNS, "_row")
 
 
 def _with_id(keyed: DataFrame) -> DataFrame:
