@@ -45,7 +45,7 @@ def _keyed(docs: DataFrame, tag: str) -> DataFrame:
     if n == hashes and n <= BROADCAST_FILES:
         met = placed.withColumn("_h", F.xxhash64("_file")).join(F.broadcast(files.select("_h", "_k")), "_h")
     else:
-        places = files.select("_file", "_k", F.explode(F.sequence(F.lit(0), F.lit(FILE_PLACES - 1))).cast("bigint").alias("_place"))
+        places = files.select("_file", "_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(FILE_PLACES - 1).cast("bigint"))).alias("_place"))
         met = placed.withColumn("_place", F.col("_at") % FILE_PLACES).join(places, ["_file", "_place"])
     return met.withColumn("_row", F.col("_k") * (1 << 36) + F.col("_at")).select(*COLUMNS, "_row")
 
