@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trajlake.functions.pose import POSE
 from trajlake.operators import solve
+from trajlake.plans import catalog
 
 
 @pytest.mark.parametrize("kind", ["box", "sheet", "line", "one place", "far queries"])
@@ -67,3 +68,25 @@ def test_frames_without_a_fit_break_no_chain(spark, scene):
     out = {r.frame: r for r in solve.register_frames(model, clouds, ["clip"], "frame", chain=True).collect()}
     assert sorted(out) == [f for f in range(12) if f != 5] and angle(out[11]) == pytest.approx(55.0, abs=1e-3)
     assert solve.register_frames(model, clouds.limit(0), ["clip"], "frame", chain=True).count() == 0
+
+
+@pytest.mark.parametrize("chain", [False, True])
+def test_clouds_beyond_the_cap_are_fitted_whole(spark, chain):
+    model, clouds = frames_of(spark, np.random.default_rng(4).normal(size=(4500, 3)), 5.0, 2)
+    out = {r.frame: r for r in solve.register_frames(model, clouds, ["clip"], "frame", most=None, chain=chain).collect()}
+    assert sorted(out) == [0, 1] and all(r.n == 3600 and r.rmse == pytest.approx(0, abs=1e-9) and angle(r) == pytest.approx(5.0 * f, abs=1e-6) for f, r in out.items())
+
+
+@pytest.mark.parametrize("query", ["i2_register_frames", "i2_register_chained"])
+def test_queries_register_every_point(spark, tmp_path, query):
+    rng = np.random.default_rng(5)
+    rows = [(i, 3, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(4100, 10)) * 0.125)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r.n for r in catalog.queries()[query](spark, str(tmp_path)).collect()} == {3280.0}
+
+
+def test_a_crowded_grid_narrows_its_cells():
+    points = np.concatenate([np.random.default_rng(6).normal(size=(3000, 3)) * 0.01, [[10.0, 10.0, 10.0]]])
+    grid = solve.VoxelGrid(points)
+    sizes = np.unique(grid._grid(0)[0], return_counts=True)[1].astype(float)
+    assert (sizes**2).sum() <= 4 * len(points)

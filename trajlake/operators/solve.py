@@ -118,6 +118,10 @@ def triangulate(views: DataFrame, by: list[str], matrix: list[str], u: str = "u"
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in "xyz"})
 
 
+#: Points in the cell of a point, on average, at most; queries that are looked up at once.
+_CELL_POINTS, _AT_ONCE = 4, 1 << 15
+
+
 class VoxelGrid:
     """Exact nearest neighbours among points, by cells of a pyramid of grids.
 
@@ -128,9 +132,15 @@ class VoxelGrid:
     def __init__(self, points: np.ndarray):
         self.points, self.low = points, points.min(0)
         self.span = float(np.ptp(points, axis=0).max())
-        # About two points a cell, were they spread evenly over the box.
+        # About two points a cell, were they spread evenly over the box; narrower while points crowd their cells all the same.
         self.width = max(self.span * (2.0 / len(points)) ** (1 / 3), 1e-12)
         self.grids: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        while self.width > max(self.span / (1 << 18), 1e-12):
+            sizes = np.unique(self._grid(0)[0], return_counts=True)[1].astype(float)
+            if (sizes * sizes).sum() <= _CELL_POINTS * len(points):
+                break
+            self.width /= 2
+            self.grids.clear()
 
     def _cells(self, at: np.ndarray, level: int) -> np.ndarray:
         return np.floor((at - self.low) / (self.width * 2.0**level)).astype(np.int64)
@@ -150,6 +160,10 @@ class VoxelGrid:
 
     def nearest(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the nearest point, the first of equally near ones, and its squared distance, for each row of ``at``."""
+        found = [self._nearest(at[i : i + _AT_ONCE]) for i in range(0, max(len(at), 1), _AT_ONCE)]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _nearest(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         best, gap = np.zeros(len(at), np.int64), np.full(len(at), np.inf)
         around = np.stack(np.meshgrid(*[np.arange(-1, 2)] * 3, indexing="ij"), -1).reshape(-1, 3)
         todo, level = np.arange(len(at)), 0
@@ -169,10 +183,11 @@ class VoxelGrid:
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             found = order[np.repeat(first.ravel(), n) + place]
             d = ((at[todo][own] - self.points[found]) ** 2).sum(1)
-            rank = np.lexsort((found, d, own))
-            own, found, d = own[rank], found[rank], d[rank]
-            top = np.flatnonzero(np.diff(own, prepend=-1))
-            best[todo[own[top]]], gap[todo[own[top]]] = found[top], d[top]
+            if len(own):
+                top = np.flatnonzero(np.diff(own, prepend=-1))
+                low = np.minimum.reduceat(d, top)
+                first_of = np.minimum.reduceat(np.where(d == np.repeat(low, np.diff(top, append=len(d))), found, len(self.points)), top)
+                best[todo[own[top]]], gap[todo[own[top]]] = first_of, low
             todo = todo[gap[todo] > width * width]
             level += 1
         return best, gap
@@ -181,13 +196,14 @@ class VoxelGrid:
 def trimmed_icp(source: np.ndarray, target: np.ndarray, start: np.ndarray, trim: float, rounds: int) -> tuple[np.ndarray, np.ndarray, float, int]:
     """Rotation, translation, rmse and pairs of the rigid fit of ``source`` to ``target``, from rotation ``start`` at the target's centre.
 
-    The worst ``trim`` of the pairs of each round don't count; ``rmse`` is of the kept pairs before the last update.
+    The worst ``trim`` of the pairs of each round don't count; ``rmse`` is of the kept pairs before the last update. A round
+    that keeps the pairs of the round before would move nothing any more, and neither would those after it.
     """
     source, target = (a[np.lexsort(a.T)] for a in (source, target))
     grid = VoxelGrid(target)
     rot, t = start, target.mean(0) - start @ source.mean(0)
     keep = max(4, int(len(source) * (1 - trim)))
-    rmse, n = float("nan"), 0
+    rmse, n, last = float("nan"), 0, None
     for _ in range(rounds):
         moved = source @ rot.T + t
         near, gap = grid.nearest(moved)
@@ -196,13 +212,18 @@ def trimmed_icp(source: np.ndarray, target: np.ndarray, start: np.ndarray, trim:
         a, b = moved[kept], target[near[kept]]
         step = nearest_rotation((b - b.mean(0)).T @ (a - a.mean(0)))
         rot, t = nearest_rotation(step @ rot), step @ (t - a.mean(0)) + b.mean(0)
+        pairs = np.full(len(source), -1)
+        pairs[kept] = near[kept]
+        if last is not None and (pairs == last).all():
+            break
+        last = pairs
     return rot, t, rmse, n
 
 
-def register_frames(model: DataFrame, clouds: DataFrame, by: list[str], frame: str, trim: float = 0.2, rounds: int = 20, most: int = 4000, chain: bool = False) -> DataFrame:
+def register_frames(model: DataFrame, clouds: DataFrame, by: list[str], frame: str, trim: float = 0.2, rounds: int = 20, most: int | None = 4000, chain: bool = False) -> DataFrame:
     """by, frame, pose, rmse, n: the canonical model moved onto each frame's cloud, from the cloud's centre, by trimmed ICP.
 
-    Both have by, point_id, x, y, z, and ``clouds`` the frame. A side keeps ``most`` points at most, drawn by a hash of their id; a
+    Both have by, point_id, x, y, z, and ``clouds`` the frame. A side keeps ``most`` points at most, drawn by a hash of their id (None: all); a
     frame or a model of under four points has no row. Each frame starts upright and for itself, so frames run in parallel. With
     ``chain`` it starts from the rotation of the frame before it that had a fit, as a turning object needs: a
     group's points then pass one task in frame order, which holds the model and one frame at a time, and groups run in parallel.
@@ -210,21 +231,23 @@ def register_frames(model: DataFrame, clouds: DataFrame, by: list[str], frame: s
     from trajlake.operators.sample import seeded_cap
 
     points = [*by, "point_id", "x", "y", "z"]
-    m = seeded_cap(model.select(*points), most, 1, by, "point_id")
-    c = seeded_cap(clouds.select(*points, frame), most, 2, [*by, frame], "point_id")
+    m, c = model.select(*points), clouds.select(*points, frame)
+    if most is not None:
+        m, c = seeded_cap(m, most, 1, by, "point_id"), seeded_cap(c, most, 2, [*by, frame], "point_id")
     kinds = {k: c.schema[k].dataType.simpleString() for k in (*by, frame)}
     schema = ", ".join(f"`{k}` {t}" for k, t in kinds.items()) + ", " + ", ".join(f"{k} double" for k in POSE) + ", rmse double, n double"
     names = [*by, frame, *POSE, "rmse", "n"]
     if chain:
         return _chained(m, c, by, frame, trim, rounds, names, schema)
-    sides = [d.groupBy(*keys).agg(F.collect_list(F.array("x", "y", "z")).alias(out)) for d, keys, out in ((c, [*by, frame], "_c"), (m, by, "_m"))]
-    rows = sides[0].join(sides[1], by)
+    sides = [d.groupBy(*keys).agg(F.flatten(F.collect_list(F.array("x", "y", "z"))).alias(out)) for d, keys, out in ((c, [*by, frame], "_c"), (m, by, "_m"))]
+    # A number of partitions that is asked for stays: fits take long for their few bytes, by which Spark would put them all into one task.
+    rows = sides[0].join(sides[1], by).repartition(_tasks(model), *by, frame)
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for keys, a, b in zip(f[[*by, frame]].itertuples(index=False), f["_m"], f["_c"], strict=True):
-                x, y = (np.array([list(p) for p in v], float).reshape(-1, 3) for v in (a, b))
+                x, y = (np.asarray(v, float).reshape(-1, 3) for v in (a, b))
                 if min(len(x), len(y)) >= 4:
                     rot, t, rmse, n = trimmed_icp(x, y, np.eye(3), trim, rounds)
                     out.append([*keys, *t, *_quaternion(rot), rmse, n])
@@ -233,10 +256,14 @@ def register_frames(model: DataFrame, clouds: DataFrame, by: list[str], frame: s
     return rows.mapInPandas(solve, schema)
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _chained(model: DataFrame, clouds: DataFrame, by: list[str], frame: str, trim: float, rounds: int, names: list[str], schema: str) -> DataFrame:
     both = model.withColumn(frame, F.lit(None).cast(clouds.schema[frame].dataType)).unionByName(clouds.where(F.col(frame).isNotNull()))
     # The model comes first, as its frame is null.
-    stream = both.select(*by, frame, "x", "y", "z").repartition(*by).sortWithinPartitions(*by, F.asc_nulls_first(frame))
+    stream = both.select(*by, frame, "x", "y", "z").repartition(_tasks(model), *by).sortWithinPartitions(*by, F.asc_nulls_first(frame))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, at, source, rot = None, None, np.zeros((0, 3)), np.eye(3)

@@ -236,7 +236,7 @@ def i2_register_frames(spark, sf):
     frames = model.withColumn("frame", F.explode(F.array(F.lit(0), F.lit(1))))
     moved = add(rotate(q, cols("x", "y", "z")), tuple(F.col("frame") * c for c in (0.1, 0.2, 0.3)))
     clouds = frames.withColumns(dict(zip("xyz", moved, strict=True)))
-    return rounded(solve.register_frames(model, clouds, ["clip"], "frame"), [*POSE, "rmse"], 3)
+    return rounded(solve.register_frames(model, clouds, ["clip"], "frame", most=None), [*POSE, "rmse"], 3)
 
 
 _TURN = 5
@@ -251,7 +251,7 @@ def i2_register_chained(spark, sf):
     half = F.radians(F.col("frame") * (_TURN / 2.0))
     moved = add(rotate((F.cos(half), F.lit(0.0), F.lit(0.0), F.sin(half)), cols("x", "y", "z")), (F.col("frame") * 0.01, F.col("frame") * -0.02, F.lit(0.0)))
     clouds = frames.withColumns(dict(zip("xyz", moved, strict=True)))
-    return rounded(solve.register_frames(model, clouds, ["clip"], "frame", chain=True), [*POSE, "rmse"], 3)
+    return rounded(solve.register_frames(model, clouds, ["clip"], "frame", most=None, chain=True), [*POSE, "rmse"], 3)
 
 
 @query(f"WITH {TRAJ} SELECT clip, frame, {r(_T, _T, 6)}, {rq(_Q)} FROM traj")
