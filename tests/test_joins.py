@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajlake.operators import joins, sample
+from trajlake.plans import catalog
 
 CAMERA = "session int, clip string, frame int, tx double, ty double, tz double, qw double, qx double, qy double, qz double"
 
@@ -132,3 +133,17 @@ def test_tasks_hand_on_their_best_only(spark):
 def test_retrieval_of_nothing(spark, queries, refs):
     _, df = vectors(spark, 5, False)
     assert joins.retrieve_topk(df.where("rvec is not null").limit(queries).withColumnsRenamed({"ref": "query", "rvec": "qvec"}), df.limit(refs), 3).count() == 0
+
+
+def test_view_queries_let_every_clip_see_every_point(spark):
+    """Also clips of which none is the other's, taken modulo four."""
+    sf = "/root/testdata/sf0.001"
+    label = {r.vec_id: r.label for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label").collect()}
+    own = catalog.queries()
+    for query in ("d13_view_pixels", "e28_nearest_depth"):
+        met = {(r.clip % 4, label[r.point_id] % 4) for r in own[query](spark, sf).select("clip", "point_id").distinct().collect()}
+        assert len(met) == 16
+    pixels = own["d13_view_pixels"](spark, sf).select("clip", "frame", "px", "py").distinct().groupBy("clip").count()
+    frames = spark.read.parquet(f"{sf}/embeddings.parquet").groupBy(F.col("label").alias("clip")).agg(F.count("*").alias("n"))
+    want = {r.clip: r["count"] / 768 / r.n for r in pixels.join(frames, "clip").collect()}
+    assert {r.clip: r.mean_coverage for r in own["e20_view_coverage"](spark, sf).collect()} == pytest.approx(want, abs=2e-6)
