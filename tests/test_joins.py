@@ -147,3 +147,19 @@ def test_view_queries_let_every_clip_see_every_point(spark):
     frames = spark.read.parquet(f"{sf}/embeddings.parquet").groupBy(F.col("label").alias("clip")).agg(F.count("*").alias("n"))
     want = {r.clip: r["count"] / 768 / r.n for r in pixels.join(frames, "clip").collect()}
     assert {r.clip: r.mean_coverage for r in own["e20_view_coverage"](spark, sf).collect()} == pytest.approx(want, abs=2e-6)
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_dense_hashes_are_counted_without_links(spark, most, monkeypatch):
+    def no_links(*_):
+        raise AssertionError("pairs were formed")
+
+    monkeypatch.setattr(joins, "_met", no_links)
+    monkeypatch.setattr(joins, "hash_links", no_links)
+    rng = np.random.default_rng(most)
+    # Bit 63 is one of those that vary.
+    hashes = [int(np.uint64(int(x) << 54).astype(np.int64)) for x in rng.choice(1 << 10, 800, replace=False)]
+    hashes += hashes[:50]
+    out = {r.id: r for r in joins.hash_classes(spark.createDataFrame(list(enumerate(hashes)), "id bigint, h bigint"), "id", "h", most).collect()}
+    for i, h in enumerate(hashes):
+        assert out[i].n_near == sum(h != x and ((h ^ x) & (1 << 64) - 1).bit_count() <= most for x in hashes)

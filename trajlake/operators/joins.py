@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -290,6 +290,37 @@ def view_pixels(cameras: DataFrame, cloud: DataFrame, fx: float, width: int, hei
     return rows.select(*by, "clip", "frame", "px", "py", "depth", "point_id")
 
 
+def _word(of: Iterable[int]) -> int:
+    """The signed 64-bit number of some bits."""
+    of = list(of)
+    return sum(1 << i for i in of) - (1 << 64 if 63 in of else 0)
+
+
+def _varying(kinds: DataFrame) -> tuple[list[int], int]:
+    """Bits that aren't the same in all hashes ``ha``, most even first, and the number of hashes."""
+    ones = kinds.agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("ha", i).bitwiseAND(1)).alias(f"b{i}") for i in range(64)]).first()
+    n = ones["n"]
+    share = {i: ones[f"b{i}"] / n for i in range(64) if n and 0 < ones[f"b{i}"] < n}
+    return sorted(share, key=lambda i: abs(share[i] - 0.5)), n
+
+
+def _banded(kinds: DataFrame, bits: list[int], most: int) -> tuple[DataFrame, float]:
+    """ha, band, code, with the bits dealt to ``most`` + 1 bands, and the number of pairs that meet in them."""
+    bands = [_word(bits[k :: most + 1]) for k in range(most + 1)]
+    banded = kinds.select("ha", F.posexplode(F.array(*[F.col("ha").bitwiseAND(F.lit(m)) for m in bands])).alias("band", "code"))
+    pairs = banded.groupBy("band", "code").agg(F.count("*").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0
+    return banded, pairs
+
+
+def _near(met: DataFrame, most: int) -> DataFrame:
+    distance = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))).cast("int").alias("distance")
+    return met.select("ha", "hb", distance).where(F.col("distance") <= most).distinct()
+
+
+def _met(banded: DataFrame, most: int) -> DataFrame:
+    return _near(banded.join(banded.select("band", "code", F.col("ha").alias("hb")), ["band", "code"]).where("ha < hb"), most)
+
+
 def hash_links(kinds: DataFrame, most: int) -> DataFrame:
     """ha, hb, distance with ha < hb: pairs of distinct 64-bit hashes (column ha) up to ``most`` bits apart, each once.
 
@@ -299,29 +330,20 @@ def hash_links(kinds: DataFrame, most: int) -> DataFrame:
     than those around it come together. Its cost is the hashes sent out; it is what dense hashes need.
     """
     h = F.col("ha")
-    bit = lambda i: F.shiftrightunsigned(h, i).bitwiseAND(1)
-    ones = kinds.agg(F.count("*").alias("n"), *[F.sum(bit(i)).alias(f"b{i}") for i in range(64)]).first()
-    n = ones["n"]
-    share = {i: ones[f"b{i}"] / n for i in range(64) if n and 0 < ones[f"b{i}"] < n}
-    # Most even first.
-    bits = sorted(share, key=lambda i: abs(share[i] - 0.5))
-    word = lambda of: sum(1 << i for i in of) - (1 << 64 if 63 in of else 0)
-    bands = [word(bits[k :: most + 1]) for k in range(most + 1)]
-    banded = kinds.select("ha", F.posexplode(F.array(*[h.bitwiseAND(F.lit(m)) for m in bands])).alias("band", "code"))
-    pairs = banded.groupBy("band", "code").agg(F.count("*").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0
+    bits, n = _varying(kinds)
+    banded, pairs = _banded(kinds, bits, most)
     far, close = (most + 1) // 2, most // 2
     sent = n * sum(math.comb(len(bits), k) for k in range(far + 1))
-    distance = F.bit_count(h.bitwiseXOR(F.col("hb"))).cast("int").alias("distance")
     if pairs <= sent:
-        met = banded.join(banded.select("band", "code", h.alias("hb")), ["band", "code"]).where("ha < hb")
-    else:
-        def around(least: int, reach: int) -> Column:
-            return F.array(*[h.bitwiseXOR(F.lit(word(c))) for k in range(least, reach + 1) for c in combinations(bits, k)])
+        return _met(banded, most)
 
-        # Of two hashes d bits apart, the one goes half of d, up, and the other the rest: never none and none.
-        a, b = kinds.select("ha", F.explode(around(1, far)).alias("at")), kinds.select(h.alias("hb"), F.explode(around(0, close)).alias("at"))
-        met = a.join(b.hint("merge"), "at").where("ha <> hb").select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb"))
-    return met.select("ha", "hb", distance).where(F.col("distance") <= most).distinct()
+    def around(least: int, reach: int) -> Column:
+        return F.array(*[h.bitwiseXOR(F.lit(_word(c))) for k in range(least, reach + 1) for c in combinations(bits, k)])
+
+    # Of two hashes d bits apart, the one goes half of d, up, and the other the rest: never none and none.
+    a, b = kinds.select("ha", F.explode(around(1, far)).alias("at")), kinds.select(h.alias("hb"), F.explode(around(0, close)).alias("at"))
+    met = a.join(b.hint("merge"), "at").where("ha <> hb").select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb"))
+    return _near(met, most)
 
 
 def _kinds(df: DataFrame, key: str, phash: str) -> tuple[DataFrame, DataFrame]:
@@ -341,6 +363,39 @@ def near_hashes(df: DataFrame, key: str, phash: str, most: int) -> DataFrame:
     return links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 
 
+def _near_counts(kinds: DataFrame, most: int) -> DataFrame:
+    """ha, n_same, n_near of the distinct hashes: n_near sums n_same over the others up to ``most`` bits away.
+
+    No pair is formed. Of m bits that vary, let A(d) be the sum over the hashes just d bits away. Each value hands its A(d) to those
+    one bit away; what arrives there is (d + 1) A(d + 1) + (m - d + 1) A(d - 1), as of d + 1 bits any may be the last one turned. So each
+    bit of distance is one shuffle of m + 1 rows a value, and of values there are 2^m at most. Where bands form fewer pairs, those are linked.
+    """
+    h = F.col("ha")
+    bits, n = _varying(kinds)
+    m = len(bits)
+    banded, pairs = _banded(kinds, bits, most)
+    spread = n
+    sent = 0
+    for _ in range(most):
+        sent += spread * (m + 1)
+        spread = min(spread * (m + 1), 1 << m)
+    if pairs <= sent:
+        links = _met(banded, most)
+        both = links.select(F.explode(F.array(F.struct("ha", "hb"), F.struct(F.col("hb").alias("ha"), h.alias("hb")))).alias("p")).select("p.*")
+        near = both.join(kinds.select(h.alias("hb"), F.col("n_same").alias("n")), "hb").groupBy("ha").agg(F.sum("n").alias("n_near"))
+        return kinds.select("ha", "n_same").join(near, "ha", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+    zero = F.lit(0).cast("bigint")
+    # before: A(d - 1); at: A(d); near: A(1) + ... + A(d).
+    state = kinds.select("ha", "n_same", zero.alias("before"), F.col("n_same").alias("at"), zero.alias("near"))
+    for d in range(most):
+        own = F.struct(h.alias("ha"), "n_same", (F.col("before") * -(m - d + 1)).alias("x"), F.col("at").alias("before"), "near")
+        others = [F.struct(h.bitwiseXOR(F.lit(_word([b]))).alias("ha"), zero.alias("n_same"), F.col("at").alias("x"), zero.alias("before"), zero.alias("near")) for b in bits]
+        sums = state.select(F.inline(F.array(own, *others))).groupBy("ha").agg(*[F.sum(c).alias(c) for c in ("n_same", "x", "before", "near")])
+        at = F.expr(f"x div {d + 1}")
+        state = sums.select("ha", "n_same", "before", at.alias("at"), (F.col("near") + at).alias("near"))
+    return state.where("n_same > 0").select("ha", "n_same", F.col("near").alias("n_near"))
+
+
 def hash_classes(df: DataFrame, key: str, phash: str, most: int) -> DataFrame:
     """key, class_id, n_same, n_near of each row with a 64-bit hash.
 
@@ -348,8 +403,5 @@ def hash_classes(df: DataFrame, key: str, phash: str, most: int) -> DataFrame:
     away. Classes are linked, not rows, so a hash that very many rows share costs what one row does.
     """
     rows, kinds = _kinds(df, key, phash)
-    links = hash_links(kinds.select("ha"), most)
-    both = links.select(F.explode(F.array(F.struct("ha", "hb"), F.struct(F.col("hb").alias("ha"), F.col("ha").alias("hb")))).alias("p")).select("p.*")
-    near = both.join(kinds.select(F.col("ha").alias("hb"), F.col("n_same").alias("n")), "hb").groupBy("ha").agg(F.sum("n").alias("n_near"))
-    of = kinds.join(near, "ha", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+    of = _near_counts(kinds, most).join(kinds.select("ha", "class_id"), "ha")
     return rows.join(of, "ha").select(F.col("key").alias(key), "class_id", "n_same", "n_near")
