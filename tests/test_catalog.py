@@ -44,3 +44,14 @@ def test_query(spark, duck, name):
     assert len(got) == len(want)
     for a, b in zip(_rows(got), _rows(want), strict=True):
         assert a == b or all(x == y or isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-6, abs_tol=2e-5) for x, y in zip(a, b, strict=True)), (a, b)
+
+
+def test_a_manifest_holds_many_clips(spark, monkeypatch):
+    from trajlake.plans import files
+
+    read, paths = files.capture.read_manifest, []
+    monkeypatch.setattr(files.capture, "read_manifest", lambda session, path: paths.append(path) or read(session, path))
+    monkeypatch.setattr(files, "MANIFEST_FRAMES", 400)
+    out = catalog.queries()["a1_read_manifest"](spark, SF)
+    assert out.count() == 1000 and out.select("clip_id").distinct().count() == 15
+    assert spark.read.text(paths[0], wholetext=True).count() <= 3

@@ -13,6 +13,9 @@ from trajlake.plans.registry import query
 from trajlake.plans.sequences import rounded
 from trajlake.sources import capture
 
+#: Frames of a manifest, about.
+MANIFEST_FRAMES = 20_000
+
 
 def folder(spark: SparkSession, tag: str) -> str:
     """A new folder that driver and executors share."""
@@ -52,8 +55,11 @@ def a1_read_manifest(spark, sf):
     frames = sig(spark, sf).groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("frame", "t"))).alias("f"))
     video = F.struct(F.lit(640).alias("width"), F.lit(480).alias("height"), F.lit(30.0).alias("fps"))
     clip = F.struct(F.lit("demo").alias("kind"), video.alias("video"), F.transform("f.frame", lambda x: F.format_string("%05d", x)).alias("frame_names"), F.col("f.t").alias("frame_times_s"))
-    value = F.to_json(F.struct(F.lit("run").alias("run_id"), F.create_map(F.col("clip").cast("string"), clip).alias("clips")))
-    path = _json_files(frames.select("clip", value.alias("value")), spark, "manifest")
+    # A manifest holds the clips of a run: one file for each would be as many files as clips.
+    files = table(spark, sf, "events").count() // MANIFEST_FRAMES + 1
+    runs = frames.select(F.pmod(F.xxhash64("clip"), F.lit(files)).alias("run"), F.struct(F.col("clip").cast("string").alias("key"), clip.alias("value")).alias("clip"))
+    runs = runs.groupBy("run").agg(F.map_from_entries(F.collect_list("clip")).alias("clips"))
+    path = _json_files(runs.select(F.col("run").alias("clip"), F.to_json(F.struct(F.lit("run").alias("run_id"), "clips")).alias("value")), spark, "manifest")
     return rounded(capture.read_manifest(spark, path)[1].select("clip_id", "frame_idx", "name", "t_s"), ["t_s"])
 
 
