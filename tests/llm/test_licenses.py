@@ -85,3 +85,11 @@ def test_training_does_not_depend_on_ids_or_copies(spark, model):
     other = L.train(same)
     assert other[1] == model[1] and other[4] == pytest.approx(model[4], abs=1e-6)
     assert np.allclose(other[2], model[2], atol=1e-4) and np.allclose(other[3], model[3], atol=1e-4)
+
+
+def test_training_reads_every_different_text_once(spark, monkeypatch):
+    seen, cut = [], L.cut
+    monkeypatch.setattr(L, "cut", lambda df, tag: seen.append(cut(df, tag)) or seen[-1])
+    rows = [(f"plain paragraph number {i}\nanother line of words {i}\nanother line of words {i}",) for i in range(2400)]
+    L.train(spark.createDataFrame([*rows, *rows[:300], (None,), ("",)], "text string"))
+    assert seen[0].agg({"weight": "sum"}).first()[0] == 4800

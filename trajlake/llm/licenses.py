@@ -3,7 +3,7 @@
 Features are word pairs and triples of licence statements; every other pair or
 triple has weight zero, so a paragraph is scored where it is read, from the few of its n-grams that
 have a weight. A multinomial logistic regression is fitted on variants of the statements and a
-bounded sample of the corpus's own paragraphs. It decides which families a paragraph
+paragraphs of all of the corpus's own texts. It decides which families a paragraph
 may be of: those whose odds against no licence reach a threshold, calibrated on
 paragraphs of both kinds that it hasn't seen. A statement of such a family then has to be
 found in the paragraph to a sufficient part; where that holds for none of them, the paragraph is "unknown".
@@ -35,8 +35,6 @@ STATEMENTS = {
     "All-rights-reserved": ["All rights reserved.", "Copyright, all rights reserved.", "No part of this publication may be reproduced without the prior written permission of the publisher."],
 }
 NONE, UNKNOWN = "none", "unknown"
-#: Different texts of the corpus, about, whose paragraphs serve as examples of no licence.
-SAMPLE_DOCS = 1500
 #: Share of a statement's n-grams that confirms it.
 CONFIRM = 0.6
 #: Share of the calibration paragraphs that may be taken for a licence.
@@ -152,10 +150,10 @@ def known(paragraph: Column, vocabulary: list[str]) -> Column:
     return F.filter(grams(paragraph), lambda g: g.isin(vocabulary))
 
 
-def train(texts: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], list[str], list[list[float]], list[float], float]:
+def train(texts: DataFrame) -> tuple[list[str], list[str], list[list[float]], list[float], float]:
     """Classes, vocabulary, weights by class, intercepts and the calibrated threshold of P(licence).
 
-    Different texts are drawn by a hash of the text, so ids that repeat or are null don't matter.
+    All different texts count, each once, whatever ids they have.
     """
     spark = texts.sparkSession
     classes = [NONE, *STATEMENTS]
@@ -167,13 +165,15 @@ def train(texts: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str],
             # Not trained on: other words left out, and other words around.
             unseen += [{"grams": _grams(w)} for w in [*cuts[1::2], ["note", *words, "see", "below"]]]
     vocabulary = sorted({g for row in positives for g in row["grams"]})
-    n = texts.agg(F.approx_count_distinct(F.xxhash64("text"))).first()[0]
-    drawn = texts.where(F.col("text").isNotNull() & (uniform(F.col("text"), F.lit(23)) < min(1.0, sample_docs / max(n, 1)))).select("text").distinct()
+    whole = texts.where(F.col("text").isNotNull()).select("text", F.sha2("text", 256).alias("t"))
     held = uniform(F.col("text"), F.lit(29)) < 0.25
-    plain = drawn.select(held.alias("held"), F.explode(F.array_distinct(paragraphs(F.col("text")))).alias("p"))
-    plain = plain.where(F.size(grams(F.col("p"))) > 0).select("held", F.array_sort(known(F.col("p"), vocabulary)).alias("grams"))
+    each = whole.select("t", held.alias("held"), F.explode(F.array_distinct(paragraphs(F.col("text")))).alias("p"))
+    each = each.where(F.size(grams(F.col("p"))) > 0).select("t", "held", F.array_sort(known(F.col("p"), vocabulary)).alias("grams"))
+    # Equal texts count once: what they hold is divided by their number, so no text is shuffled.
+    each = each.groupBy("t", "held", "grams").agg(F.count("*").alias("n")).join(whole.groupBy("t").agg(F.count("*").alias("copies")), "t")
+    plain = each.select("held", "grams", F.expr("n div copies").alias("n"))
     # Paragraphs of the same n-grams are one example of their number; most have none.
-    plain = cut(plain.groupBy("held", "grams").agg(F.count("*").cast("double").alias("weight")).where(_containment(F.col("grams"))["share"] < CONFIRM / 2), "paragraphs")
+    plain = cut(plain.groupBy("held", "grams").agg(F.sum("n").cast("double").alias("weight")).where(_containment(F.col("grams"))["share"] < CONFIRM / 2), "paragraphs")
     n_seen, n_held = (x or 0.0 for x in plain.agg(F.sum(F.when(~F.col("held"), F.col("weight"))), F.sum(F.when(F.col("held"), F.col("weight")))).first())
     examples = plain.where("not held").select(F.lit(0.0).alias("label"), "grams", "weight")
     own = _table(spark, positives, "label:double,grams:array<string>").withColumn("weight", F.lit(max(1.0, n_seen / len(positives))))
@@ -223,7 +223,7 @@ def _likely(texts: DataFrame, model: tuple) -> DataFrame:
     return met.select(*texts.columns, F.col("j.p_licence").alias("p_licence"), F.get(names, F.col("j.best")).alias("predicted"), told.alias("families"), grams(F.col("p")).alias("grams"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per paragraph taken for a licence and family: doc_id, paragraph, family, predicted, probability, confirmed_share, n_chars.
 
     Paragraphs are lines, numbered from 0, and windows of 2 * STEP lines from every STEP-th on, numbered by their first
@@ -233,7 +233,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     empty result; rows that repeat an id and a text give each row once; other columns aren't read.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model = train(texts, sample_docs)
+    model = train(texts)
     lines = _likely(texts.select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("paragraph", "p")), model)
     none = F.transform(F.array(_containment(F.col("grams"))), lambda x: F.struct(x["share"].alias("share"), F.lit(UNKNOWN).alias("family")))
     lines = lines.withColumn("found", let(_confirmed(F.col("grams"), F.col("families")), lambda c: F.when(F.size(c) > 0, c).otherwise(none)))
