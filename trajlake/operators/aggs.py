@@ -176,9 +176,13 @@ def motion_diagnostics(poses: DataFrame, fps: float, by: list[str], order: str,
 
 def view_coverage(pixels: DataFrame, frames: DataFrame, width: int, height: int, by: list[str], frame: str) -> DataFrame:
     """by, mean_coverage, min_coverage over all of ``frames``: distinct covered pixels over the image's."""
-    per = pixels.select(*by, frame, "px", "py").distinct().groupBy(*by, frame).agg(F.count("*").alias("_n"))
-    share = F.coalesce(F.col("_n"), F.lit(0)) / F.lit(width * height)
-    return frames.select(*by, frame).distinct().join(per, [*by, frame], "left").groupBy(*by).agg(F.avg(share).alias("mean_coverage"), F.min(share).alias("min_coverage"))
+    return covered_share(pixels.select(*by, frame, "px", "py").distinct().groupBy(*by, frame).agg(F.count("*").alias("n_pixels")), frames, width, height, by, frame)
+
+
+def covered_share(counts: DataFrame, frames: DataFrame, width: int, height: int, by: list[str], frame: str) -> DataFrame:
+    """by, mean_coverage, min_coverage over all of ``frames``: n_pixels of ``counts`` over the image's."""
+    share = F.coalesce(F.col("n_pixels"), F.lit(0)) / F.lit(width * height)
+    return frames.select(*by, frame).distinct().join(counts, [*by, frame], "left").groupBy(*by).agg(F.avg(share).alias("mean_coverage"), F.min(share).alias("min_coverage"))
 
 
 def detection_summary(frames: DataFrame, by: list[str], hand: str, obj: str, residual: str, area: str) -> DataFrame:
