@@ -38,6 +38,8 @@ def test_nearest_and_covered_pixels_are_those_of_all_pairs(spark, monkeypatch, s
     assert once == (most > 3000)
     got = [tuple(r) for r in (pixels if once else aggs.nearest_depth(pixels, KEYS, "depth", "point_id")).collect()]
     assert len(got) == len(want) > 1000 and set(got) == want
+    every = views.widened(views.visible_points(cams, cloud, 20.0, 32, 24, far=4.0, splat=splat), 32, 24, splat + ring)
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, pairs.collect()))
     counts = {(r.clip, r.frame): r["count"] for r in pairs.select(KEYS).distinct().groupBy("clip", "frame").count().collect()}
     assert {(r.clip, r.frame): r.n_pixels for r in views.covered_pixels(cams, cloud, **given).collect()} == counts
 
@@ -45,13 +47,13 @@ def test_nearest_and_covered_pixels_are_those_of_all_pairs(spark, monkeypatch, s
 def test_no_points_and_no_cameras(spark):
     cams, cloud = scene(spark, 5, 5, 50, 0.1)
     for a, b in ((cams.limit(0), cloud), (cams, cloud.limit(0))):
-        assert views.nearest_pixels(a, b, 20.0, 32, 24)[0].count() == views.covered_pixels(a, b, 20.0, 32, 24).count() == 0
+        assert views.nearest_pixels(a, b, 20.0, 32, 24)[0].count() == views.covered_pixels(a, b, 20.0, 32, 24).count() == views.visible_points(a, b, 20.0, 32, 24).count() == 0
 
 
-@pytest.mark.parametrize("name", ["e20_view_coverage", "e28_nearest_depth"])
-def test_queries_form_no_pairs(spark, monkeypatch, name):
-    def no_pairs(*_, **__):
-        raise AssertionError("pairs were formed")
+@pytest.mark.parametrize("name", ["d13_view_pixels", "e20_view_coverage", "e28_nearest_depth"])
+def test_queries_join_no_blocks(spark, monkeypatch, name):
+    def no_blocks(*_, **__):
+        raise AssertionError("cameras were joined with blocks")
 
-    monkeypatch.setattr(joins, "view_pixels", no_pairs)
+    monkeypatch.setattr(joins, "view_pixels", no_blocks)
     assert catalog.queries()[name](spark, "/root/testdata/sf0.001").where(F.col("clip") < 3).count() > 0
