@@ -93,3 +93,19 @@ def test_training_reads_every_different_text_once(spark, monkeypatch):
     rows = [(f"plain paragraph number {i}\nanother line of words {i}\nanother line of words {i}",) for i in range(2400)]
     L.train(spark.createDataFrame([*rows, *rows[:300], (None,), ("",)], "text string"))
     assert seen[0].agg({"weight": "sum"}).first()[0] == 4800
+
+
+def test_known_grams_are_found_without_forming_others(spark, model):
+    """Lower-cased letters of other alphabets, words within words, any white space and overlaps."""
+    vocabulary = model[1]
+    assert {" ".join(g.split()[k : k + 2]) for g in vocabulary if g.count(" ") == 2 for k in (0, 1)} <= set(vocabulary)
+    rng = np.random.default_rng(7)
+    words_ = [w for g in vocabulary[::3] for w in g.split()] + ["xof", "thex", "é", "_", "of", "the"]
+    texts = [*lines(rng), "", " ", "a", "\u212aof the\u212a MIT\u2003lic\u0130ense", "of the of the of, the", "\U0001f600of\U0001f600the\n\nterms"]
+    texts += ["".join(str(w) + str(rng.choice([" ", "  ", "-", ", ", "\n", ""], p=[0.6, 0.1, 0.1, 0.1, 0.05, 0.05])) for w in rng.choice(words_, 40)) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "p string")
+    own = L.known(F.col("p"), vocabulary)
+    assert "concat_ws" not in df.select(own)._jdf.queryExecution().toString()
+    rows = df.select("p", own.alias("own"), F.filter(L.grams(F.coalesce("p", F.lit(""))), lambda g: g.isin(vocabulary)).alias("plain")).collect()
+    assert sum(len(r.plain) for r in rows) > 1000
+    assert all(r.own == r.plain for r in rows)

@@ -45,6 +45,8 @@ MISSED_RATE = 0.05
 LEAST_RATIO = 0.001
 #: Words too common to tell a licence by.
 COMMON = frozenset("a all and any are as at be been by can for from has in is it may no not of or that the this to under use with without you".split())
+#: What stands between words, read once and not given back.
+GAP = "[^a-z0-9]++"
 #: Lines from one window of joined lines to the next; a window has twice as many, so that each run of STEP + 1 lines is in one.
 STEP = 8
 
@@ -145,9 +147,38 @@ def _may_hold(text: Column) -> Column:
     return reduce(Column.__or__, tests)
 
 
+def _pattern(grams_: list[str]) -> str:
+    """A regular expression that finds, at the first letter of each of ``grams_`` in lower-case text, all of it as group 1; a tree of letters, so a word is read once."""
+    tree: dict = {}
+    for gram in grams_:
+        at = tree
+        for letter in gram:
+            at = at.setdefault(letter, {})
+        at[""] = {}
+
+    def written(at: dict) -> str:
+        ways = [GAP + written(own) if letter == " " else letter + written(own) if letter else "(?![a-z0-9])" for letter, own in sorted(at.items())]
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+    return f"(?<![a-z0-9])(?=({written(tree)}))"
+
+
 def known(paragraph: Column, vocabulary: list[str]) -> Column:
-    """Distinct word pairs and triples of a paragraph that are in ``vocabulary``."""
-    return F.filter(grams(paragraph), lambda g: g.isin(vocabulary))
+    """Distinct word pairs and triples of a paragraph that are in ``vocabulary``, which holds the pairs of its triples.
+
+    They are found as they stand in the text, so no other pair or triple is formed.
+    """
+    lower, none = F.lower(paragraph), F.array().cast("array<string>")
+    pairs, triples = ([g for g in vocabulary if g.count(" ") == n] for n in (1, 2))
+
+    def found(own: list[str]) -> Column:
+        return F.regexp_extract_all(lower, F.lit(_pattern(own)), F.lit(1)) if own else none
+
+    def one(gram: Column) -> Column:
+        return F.regexp_replace(gram, GAP, " ")
+
+    met = F.when(lower.rlike(_pattern(pairs)), F.array_distinct(F.transform(F.concat(found(pairs), found(triples)), one))) if pairs else F.lit(None)
+    return F.coalesce(met, none)
 
 
 def train(texts: DataFrame) -> tuple[list[str], list[str], list[list[float]], list[float], float]:
@@ -168,7 +199,8 @@ def train(texts: DataFrame) -> tuple[list[str], list[str], list[list[float]], li
     whole = texts.where(F.col("text").isNotNull()).select("text", F.sha2("text", 256).alias("t"))
     held = uniform(F.col("text"), F.lit(29)) < 0.25
     each = whole.select("t", held.alias("held"), F.explode(F.array_distinct(paragraphs(F.col("text")))).alias("p"))
-    each = each.where(F.size(grams(F.col("p"))) > 0).select("t", "held", F.array_sort(known(F.col("p"), vocabulary)).alias("grams"))
+    # Two words make a pair.
+    each = each.where(F.lower("p").rlike(f"[a-z0-9]{GAP}[a-z0-9]")).select("t", "held", F.array_sort(known(F.col("p"), vocabulary)).alias("grams"))
     # Equal texts count once: what they hold is divided by their number, so no text is shuffled.
     each = each.groupBy("t", "held", "grams").agg(F.count("*").alias("n")).join(whole.groupBy("t").agg(F.count("*").alias("copies")), "t")
     plain = each.select("held", "grams", F.expr("n div copies").alias("n"))
