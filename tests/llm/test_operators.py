@@ -607,3 +607,14 @@ def test_lm_scores_do_not_depend_on_partitions(spark):
     sf = spark.createDataFrame(sf.collect(), sf.schema)
     a, b = ({r["doc_id"]: r["score"] for r in score(sf.repartition(n)).collect()} for n in (2, 7))
     assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-6
+
+
+def test_lm_scores_running_text(spark):
+    """What comes before a word counts, as often as it did: here three times of four."""
+    rng = np.random.default_rng(3)
+    pairs = np.array(["red fox", "red fox", "red fox", "red sky", "blue sky", "blue sky", "blue sky", "blue fox"])
+    train = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2][:12]
+    told, swapped = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    table = [(i, " ".join(rng.choice(pairs, 80))) for i in train] + [(told, "red fox blue sky " * 5), (swapped, "red sky blue fox " * 5)]
+    out = {r["doc_id"]: r["score"] for r in score(spark.createDataFrame(table, "doc_id bigint, text string")).collect()}
+    assert len(out) == 14 and out[told] > out[swapped] + 2

@@ -1,18 +1,20 @@
 """Language-model scoring by online logistic context mixing.
 
-A word is spelt in bytes, a byte in the bits of a Huffman code. Six predictors, one
-for each order of hashed byte context, give each bit a probability from
-the counts of the training vocabulary; a mixer adds their logits with weights chosen by a
-gate (how long a context is known, and how well) and learns them online, each bit
-predicted by counts that leave its own word out; an adaptive probability map
-refines the outcome. So every word, known or not, has a code length in bits.
-
-Training counts then take their share: a known word, seen c times, has (c - D) / N
-of the mass outright. Of the mass D * V / N that the discount frees, as much as the
-words seen once have goes to the event of an unknown word, and the rest to known
-words by their mixed code length. So known words and the unknown word together sum
-to 1 at most. ``score`` counts that event for each unknown word, as the base does;
-``bits_per_byte`` adds the code length of its spelling, and is the whole code.
+The running text is a stream of tokens, each text closed by an end. Frequent words and the end are
+leaves of a Huffman tree, all others share one leaf, and a token is the bits of its way down. Predictors
+by hashed context (none, the token before, the two before, the last but one) give each
+bit a probability from the bit counts of all training texts; a mixer adds their logits with weights chosen by a
+gate (how well the contexts are known) and learns them online along the texts, each bit
+predicted by counts that leave itself out; an adaptive probability map refines the outcome.
+
+What takes the shared leaf is told within it: a known word, seen c times, has (c - D) of its mass T
+outright. Of what the discount frees, as much as the words seen once have goes to the event of
+an unknown word, and the rest to known words by the length of their spelling. So all words and the
+unknown word together sum to 1 at most after any text. ``score`` counts that event for
+each unknown word, as the base does; ``bits_per_byte`` adds the code length of its spelling, and is the whole code.
+
+A word is spelt in bytes, a byte in the bits of a Huffman code, mixed in the same way from six orders of byte
+context. A new word resembles words, not tokens, so this model learns each training word once.
 """
 
 from __future__ import annotations
@@ -32,6 +34,16 @@ ORDERS = 6
 #: 2^TABLE_BITS slots hold all bit counts, whatever the corpus: 16 MB.
 TABLE_BITS = 21
 DISCOUNT = 0.75
+#: Words with a leaf of their own, at most; one has LEAF_COUNT training tokens at least.
+LEAF_WORDS, LEAF_COUNT = 1 << 14, 2
+#: Leaves of all other words, and of the end of a text.
+OTHER, END_LEAF = 0, 1
+#: Contexts of running text, and the slots of all of their bit counts, after a slot for each node of the tree.
+CONTEXTS = 4
+RUN_BITS = 19
+_NODES = LEAF_WORDS + 2
+_RUN_GATES = 16
+_RUN_TOKENS, _RUN_STEP = 1 << 16, 1 << 12
 #: Parts of the vocabulary that each learn weights of their own, of which the mean counts.
 LEARN_BUCKETS = 48
 #: Words of the highest counts that every task holds; all others are joined.
@@ -78,32 +90,37 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
+def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each symbol: the length of its code and where it begins in the list of all; of each bit there: its node, its value."""
+    leaves = len(counts)
+    heap = [(float(n) + 1, s, s) for s, n in enumerate(counts)]
+    heapq.heapify(heap)
+    children: dict[int, tuple[int, int]] = {}
+    node = leaves
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        children[node] = (a[2], b[2])
+        heapq.heappush(heap, (a[0] + b[0], node, node))
+        node += 1
+    codes: dict[int, list[tuple[int, int]]] = {}
+    stack: list[tuple[int, list[tuple[int, int]]]] = [(heap[0][2], [])]
+    while stack:
+        at, way = stack.pop()
+        if at < leaves:
+            codes[at] = way
+        else:
+            for bit in (0, 1):
+                stack.append((children[at][bit], [*way, (at - leaves, bit)]))
+    size = np.array([len(codes[s]) for s in range(leaves)])
+    flat = np.array([x for s in range(leaves) for x in codes[s]])
+    return size, np.cumsum(size) - size, flat[:, 0], flat[:, 1].astype(bool)
+
+
 class Coder:
     """Bits of words: for each bit its node in the code's tree, its value and its slots by order."""
 
     def __init__(self, byte_counts: np.ndarray):
-        heap = [(float(n) + 1, s, s) for s, n in enumerate(byte_counts)]
-        heapq.heapify(heap)
-        children: dict[int, tuple[int, int]] = {}
-        node = 256
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            children[node] = (a[2], b[2])
-            heapq.heappush(heap, (a[0] + b[0], node, node))
-            node += 1
-        codes: dict[int, list[tuple[int, int]]] = {}
-        stack: list[tuple[int, list[tuple[int, int]]]] = [(heap[0][2], [])]
-        while stack:
-            at, way = stack.pop()
-            if at < 256:
-                codes[at] = way
-            else:
-                for bit in (0, 1):
-                    stack.append((children[at][bit], [*way, (at - 256, bit)]))
-        self.size = np.array([len(codes[s]) for s in range(256)])
-        self.first = np.cumsum(self.size) - self.size
-        flat = np.array([x for s in range(256) for x in codes[s]])
-        self.node, self.bit = flat[:, 0], flat[:, 1].astype(bool)
+        self.size, self.first, self.node, self.bit = huffman(byte_counts)
 
     def bits(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each bit: its node, its value, its slots (a row for each order), the number of its word."""
@@ -223,6 +240,106 @@ class Mixer:
         return np.concatenate(out) if out else np.zeros(0)
 
 
+class Runs:
+    """The model of running text: the tree's codes, bit counts by context, gated weights and the probability map."""
+
+    def __init__(self, leaf_counts: np.ndarray):
+        self.size, self.first, self.node, self.bit = huffman(leaf_counts)
+        self.ones, self.total = (np.zeros(_NODES + (1 << RUN_BITS), np.float32) for _ in range(2))
+        self.weights = np.zeros((_RUN_GATES, CONTEXTS + 1))
+        self.weights[:, 0] = 1.0
+        self.map_ones = np.zeros(_RUN_GATES * CELLS)
+        self.map_total = np.zeros(_RUN_GATES * CELLS)
+
+    @classmethod
+    def of(cls, state: dict) -> Runs:
+        """From its ``vars``, with what learning changes copied."""
+        runs = cls.__new__(cls)
+        vars(runs).update(state | {k: state[k].copy() for k in ("weights", "map_ones", "map_total")})
+        return runs
+
+    def bits(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each bit of whole texts (leaves, each text closed by END_LEAF), in parts: node, value, slots (a row for each context), place of its token."""
+        one, two = np.full(len(ids), END_LEAF, np.int64), np.full(len(ids), END_LEAF, np.int64)
+        one[1:], two[2:] = ids[:-1], ids[:-2]
+        # Nothing is known across the end of a text.
+        two[one == END_LEAF] = END_LEAF
+        context = [(x + (k << 40)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for k, x in ((1, one), (2, one << 20 | two), (3, two))]
+        for start in range(0, len(ids), _RUN_TOKENS):
+            own = ids[start : start + _RUN_TOKENS]
+            n = self.size[own]
+            at = np.repeat(self.first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            where = np.repeat(np.arange(start, start + len(own)), n)
+            node = self.node[at]
+            spread = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+            slots = np.empty((CONTEXTS, len(where)), np.int64)
+            slots[0] = node
+            for k in range(1, CONTEXTS):
+                x = context[k - 1][where] ^ spread
+                x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+                slots[k] = _NODES + (x >> np.uint64(64 - RUN_BITS)).astype(np.int64)
+            yield node, self.bit[at], slots, where
+
+    def inputs(self, slots: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Logits by context and a constant, and the gate. ``own``: bits to leave out of the counts."""
+        x = np.ones((CONTEXTS + 1, slots.shape[1]), np.float32)
+        gate = np.zeros(slots.shape[1], np.int64)
+        for k in range(CONTEXTS):
+            n, one = self.total[slots[k]], self.ones[slots[k]]
+            if own is not None:
+                n, one = n - 1, one - own
+            x[k] = np.log((one + np.float32(0.2)) / (n - one + np.float32(0.2)))
+            if k in (1, 2):
+                gate = 4 * gate + (n > 0) + (n > 3) + (n > 30)
+        return x, gate
+
+    def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        logit = np.zeros(x.shape[1])
+        for k in range(CONTEXTS + 1):
+            logit += self.weights[gate, k] * x[k]
+        return np.clip(logit, -16, 16)
+
+    def cells(self, logit: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        return gate * CELLS + ((logit + 16) * ((CELLS - 1) / 32)).astype(np.int64)
+
+    def learn(self, ids: np.ndarray) -> int:
+        """Online steps along the bits of whole texts that have been counted; gives their number."""
+        done = 0
+        for _, bit, slots, _ in self.bits(ids):
+            value = bit.astype(np.float32)
+            x, gate = self.inputs(slots, value)
+            for at in range(0, len(bit), _RUN_STEP):
+                here = slice(at, at + _RUN_STEP)
+                logit = self.mix(x[:, here], gate[here])
+                miss = value[here] - 1 / (1 + np.exp(-logit))
+                n = np.bincount(gate[here], minlength=_RUN_GATES) + 50.0
+                rate = max(0.02, 0.2 / (1 + self.map_total.sum() / 1e5))
+                for k in range(CONTEXTS + 1):
+                    self.weights[:, k] += rate * np.bincount(gate[here], miss * x[k, here], _RUN_GATES) / n
+                cell = self.cells(logit, gate[here])
+                self.map_ones += np.bincount(cell, value[here], len(self.map_ones))
+                self.map_total += np.bincount(cell, minlength=len(self.map_total))
+            done += len(bit)
+        return done
+
+    def code(self, ids: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each token of whole texts after those before it."""
+        out = np.zeros(len(ids))
+        for _, bit, slots, where in self.bits(ids):
+            x, gate = self.inputs(slots)
+            logit = self.mix(x, gate)
+            cell = self.cells(logit, gate)
+            p = 1 / (1 + np.exp(-logit))
+            n = self.map_total[cell]
+            # Few are in a cell at first; then as much is taken from the map as from the mixer.
+            p = np.clip(p + (self.map_ones[cell] - n * p) / (2 * (n + 1000)), 1e-7, 1 - 1e-7)
+            lp = np.log10(np.where(bit, p, 1 - p))
+            start = where[0]
+            part = np.bincount(where - start, lp)
+            out[start : start + len(part)] += part
+        return out
+
+
 def _pairs(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(keys), 1 << 16):
         here = slice(at, at + (1 << 16))
@@ -302,8 +419,63 @@ def fit(vocabulary: DataFrame) -> Mixer:
     return mixer
 
 
-def score_words(words: DataFrame, mixer: Mixer, train_tokens: int, kinds: int, once: int) -> DataFrame:
-    """word, c, n of ``words`` with lp (log10 of the probability of the word, or of an unknown one) and bits (its whole code)."""
+def fit_runs(texts: DataFrame, leaves: dict[bytes, int], leaf_counts: np.ndarray) -> Runs:
+    """The model of running text of all training texts (text): each counts as often as it occurs."""
+    spark = texts.sparkSession
+    short_batches(spark)
+    named = spark.sparkContext.broadcast(leaves)
+
+    def id_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaf = named.value
+        for batch in batches:
+            ids = []
+            for text in batch.column(1):
+                own = tokens(text.as_py())
+                ids.append(np.fromiter((leaf.get(w, OTHER) for w in [*own, _END]), np.uint16, len(own) + 1).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["at", "ids"])
+
+    runs = cut(texts.select(F.xxhash64("text").alias("at"), "text").mapInArrow(id_run, "at bigint, ids binary"), "runs")
+    shared = spark.sparkContext.broadcast(vars(Runs(leaf_counts)))
+
+    def read(batch: pa.RecordBatch) -> np.ndarray:
+        return np.frombuffer(b"".join(batch.column("ids").to_pylist()), np.uint16).astype(np.int64)
+
+    def count_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Runs.of(shared.value)
+        both = np.zeros(2 * len(model.total), np.int64)
+        for batch in batches:
+            for _, bit, slots, _ in model.bits(read(batch)):
+                # The lowest bit is the coded bit.
+                both += np.bincount((slots << 1 | bit).ravel(), minlength=len(both))
+        ones, total = both[1::2], both[::2] + both[1::2]
+        used = np.flatnonzero(total)
+        yield from _pairs(used, ones[used], total[used])
+
+    key, a, b = _summed(runs.mapInArrow(count_run, _PAIRS))
+    model = Runs(leaf_counts)
+    model.ones[key], model.total[key] = a, b
+    counted = spark.sparkContext.broadcast(vars(model))
+
+    def learn_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, done = Runs.of(counted.value), 0
+        for batch in batches:
+            done += own.learn(read(batch))
+        flat = own.weights.ravel()
+        yield from _pairs(np.arange(len(flat)), flat * done, np.full(len(flat), float(done)))
+        yield from _pairs(1000 + np.arange(len(own.map_total)), own.map_ones, own.map_total)
+
+    # Steps run along fixed buckets in a fixed order, so weights are the same on any number of cores.
+    key, a, b = _summed(runs.repartition(LEARN_BUCKETS, "at").sortWithinPartitions("at").mapInArrow(learn_run, _PAIRS))
+    flat, seen = model.weights.ravel().copy(), (key < 1000) & (b > 0)
+    flat[key[seen]] = a[seen] / b[seen]
+    model.weights = flat.reshape(model.weights.shape)
+    cells = key >= 1000
+    model.map_ones[key[cells] - 1000], model.map_total[key[cells] - 1000] = a[cells], b[cells]
+    return model
+
+
+def score_words(words: DataFrame, mixer: Mixer, train_tokens: float, kinds: int, once: int) -> DataFrame:
+    """word, c, n of ``words`` with lp (log10 of the probability of the word, or of an unknown one, among words that hold ``train_tokens``) and bits (its whole code)."""
     shared = words.sparkSession.sparkContext.broadcast(mixer.state())
     new = max(once, 1.0) / max(train_tokens, 1)
     rest = max(DISCOUNT * kinds - once, 0.0)
@@ -339,7 +511,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     counted = cut(word_counts(base.select((~F.col("held_out")).alias("train"), "text")), "words")
     totals = counted.agg(F.sum("c"), F.sum(F.when(F.col("c") > 0, 1).otherwise(0)), F.sum(F.when(F.col("c") == 1, 1).otherwise(0))).first()
     n_train, kinds, once = (int(x or 0) for x in totals)
-    scored = cut(score_words(counted, fit(counted.where("c > 0")), n_train, kinds, once), "scored")
+    # Words seen once, and those beyond LEAF_WORDS, share a leaf: within it, each has its share of the mass.
+    tree = cut(counted.where((F.col("c") >= LEAF_COUNT) & (F.length("word") > 0)).orderBy(F.desc("c"), "word").limit(LEAF_WORDS).select("word", "c"), "tree")
+    got = tree.toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    ends = counted.where(F.length("word") == 0).agg(F.sum("c")).first()[0] or 0
+    own = got.column("c").to_numpy()
+    leaves = {_END: END_LEAF} | {w: at for at, w in enumerate(got.column("word").to_pylist(), END_LEAF + 1)}
+    rare, rare_kinds = n_train - ends - int(own.sum()), kinds - (ends > 0) - len(own)
+    runs = fit_runs(base.where("not held_out").select("text"), leaves, np.concatenate([[rare, ends], own]))
+    mass = rare - DISCOUNT * rare_kinds + max(DISCOUNT * rare_kinds - once, 0.0) + max(once, 1)
+    of_tree = F.broadcast(tree.select("word").unionByName(spark.range(1).select(F.lit(_END).alias("word"))))
+    others = score_words(counted.join(of_tree, "word", "left_anti"), fit(counted.where("c > 0")), mass, rare_kinds, once)
+    own_leaf = counted.join(of_tree, "word", "left_semi").select("word", "c", "n", F.lit(0.0).alias("lp"), F.lit(0.0).alias("bits"))
+    scored = cut(others.unionByName(own_leaf), "scored")
 
     # The counts from which on all words fit into every task: read off a histogram of at most 1000 rows.
     level = F.floor(F.log2("n") * 16)
@@ -354,18 +538,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     norm = float(n_train + kinds + 1)
     c = got.column("c").to_numpy()
     known = dict(zip(got.column("word").to_pylist(), zip((c > 0).tolist(), np.log10((c + 1) / norm).tolist(), got.column("lp").to_pylist(), got.column("bits").to_pylist(), strict=True), strict=True))
-    shared = spark.sparkContext.broadcast(known)
+    shared = spark.sparkContext.broadcast((known, leaves, vars(runs) if n_train else None))
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
+        hot, leaf, state = shared.value
+        model = Runs.of(state) if state else None
         for batch in batches:
             cols: tuple[list, ...] = ([], [], [], [], [], [], [], [], [])
             for i, text in enumerate(batch.column(3)):
-                seen = Counter(tokens(text.as_py()))
+                words = tokens(text.as_py())
+                seen = Counter(words)
                 total, size = sum(seen.values()) + 1, sum(len(w) * n for w, n in seen.items())
                 seen[_END] += 1
-                found, plain, mixed, code = 0, 0.0, 0.0, 0.0
+                found, plain, mixed = 0, 0.0, 0.0
+                if model:
+                    mixed = float(model.code(np.fromiter((leaf.get(w, OTHER) for w in [*words, _END]), np.int64, len(words) + 1)).sum())
+                code = -mixed / np.log10(2)
                 for w, n in seen.items():
                     own = hot.get(w)
                     if own is None:
