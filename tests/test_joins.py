@@ -163,3 +163,12 @@ def test_dense_hashes_are_counted_without_links(spark, most, monkeypatch):
     out = {r.id: r for r in joins.hash_classes(spark.createDataFrame(list(enumerate(hashes)), "id bigint, h bigint"), "id", "h", most).collect()}
     for i, h in enumerate(hashes):
         assert out[i].n_near == sum(h != x and ((h ^ x) & (1 << 64) - 1).bit_count() <= most for x in hashes)
+
+
+def test_coverage_drops_pairs_that_nothing_requires_before_it_holds_them(spark):
+    need = spark.createDataFrame([("a/1", "a-2"), ("a-2", "a/1"), ("a-3", "a-4"), ("a-5", "a-6"), ("a-7", None)], "x string, y string")
+    have = spark.createDataFrame([("a-2", "a/1"), ("a-1", "a-2"), ("a-9", "a-8"), ("a-4", "a/9"), ("a-7", None)], "x string, y string")
+    out = joins.coverage(need, have, "x", "y")
+    assert sorted((r.a, r.b) for r in out.collect() if r.a != "a-7") == [("a-3", "a-4"), ("a-5", "a-6")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.count("Aggregate") == 2

@@ -18,6 +18,8 @@ from trajlake.operators.scan import STRETCH_ROWS, Scan
 BROADCAST_ROWS = 20_000
 #: Bytes of query vectors that travel to the tasks at once, and references that a task scores at once.
 QUERY_BYTES, BLOCK_ROWS = 1 << 25, 512
+#: As many hashes of required pairs as are broadcast, of 8 bytes each.
+BROADCAST_PAIRS = 1 << 21
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -204,7 +206,12 @@ def coverage(required: DataFrame, have: DataFrame, a: str, b: str) -> DataFrame:
         x, y = (F.replace(F.col(c).cast("string"), F.lit("/"), F.lit("-")) for c in (a, b))
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    return required.select(*pair(required)).distinct().join(have.select(*pair(have)).distinct(), ["a", "b"], "left_anti")
+    need, met = required.select(*pair(required)).distinct(), have.select(*pair(have))
+    # Pairs that nothing requires go before any task holds or shuffles them.
+    hashes = need.select(F.xxhash64("a", "b").alias("_h")).distinct()
+    if hashes.count() <= BROADCAST_PAIRS:
+        met = met.withColumn("_h", F.xxhash64("a", "b")).join(F.broadcast(hashes), "_h", "left_semi").drop("_h")
+    return need.join(met, ["a", "b"], "left_anti")
 
 
 def accepted_only(df: DataFrame, status: DataFrame, keys: list[str]) -> DataFrame:
