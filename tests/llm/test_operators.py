@@ -609,6 +609,36 @@ def test_lm_scores_do_not_depend_on_partitions(spark):
     assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-6
 
 
+def test_lm_codes_texts_of_a_batch_together():
+    """Codes of texts in one array are those of each alone, and those of a plain reading of the model, bit by bit."""
+    from trajlake.llm import lm_score as M
+
+    rng = np.random.default_rng(4)
+    texts = [np.append(rng.choice([0, *range(2, 40)], int(n), p=np.array([2, *([1] * 38)]) / 40), M.END_LEAF) for n in rng.integers(0, 60, 50)]
+    ids = np.concatenate(texts)
+    model = M.Runs(np.bincount(ids, minlength=40))
+    for bit, slots, n in model.bits(ids):
+        assert n.sum() == len(bit) and slots.shape == (M.CONTEXTS, len(bit))
+        np.add.at(model.total, slots, 1)
+        np.add.at(model.ones, slots, bit)
+    assert model.learn(ids, model.tables(True)) == model.size[ids].sum()
+    tables = model.tables(False)
+    both = model.code(ids, tables)
+    assert np.abs(np.concatenate([model.code(x, tables) for x in texts]) - both).max() < 1e-6
+
+    bit, slots, n = next(model.bits(ids))
+    total, ones = model.total[slots].astype(float), model.ones[slots].astype(float)
+    level = (total > 0).astype(int) + (total > 3) + (total > 30)
+    gate = 4 * level[1] + level[2]
+    logit = (np.log((ones + 0.2) / (total - ones + 0.2)) * model.weights[gate, :-1].T).sum(0) + model.weights[gate, -1]
+    cell = model.cells(logit, gate)
+    p = 1 / (1 + np.exp(-logit))
+    p += (model.map_ones[cell] - model.map_total[cell] * p) / (2 * (model.map_total[cell] + 1000))
+    plain = np.add.reduceat(np.log10(np.where(bit, p, 1 - p)), np.cumsum(n) - n)
+    # A logit at a cell's border may fall to either side.
+    assert np.quantile(np.abs(plain - both[: len(n)]), 0.98) < 1e-4
+
+
 def test_lm_scores_running_text(spark):
     """What comes before a word counts, as often as it did: here three times of four."""
     rng = np.random.default_rng(3)

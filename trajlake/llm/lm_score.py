@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ CONTEXTS = 4
 RUN_BITS = 19
 _NODES = LEAF_WORDS + 2
 _RUN_GATES = 16
-_RUN_TOKENS, _RUN_STEP = 1 << 16, 1 << 12
+_RUN_TOKENS, _RUN_STEP = 1 << 13, 1 << 12
 #: Parts of the vocabulary that each learn weights of their own, of which the mean counts.
 LEARN_BUCKETS = 48
 #: Words of the highest counts that every task holds; all others are joined.
@@ -51,7 +52,9 @@ HOT_WORDS = 150_000
 CELLS = 24
 _GATES = 3 * ORDERS
 _TASK_WORDS = 1 << 20
-_CHUNK_BYTES = 1 << 16
+_CHUNK_BYTES = 1 << 14
+#: Words that Python takes at once: batches that are short for texts are tiny for words.
+_BATCH_WORDS = 1 << 13
 _STEP_BITS = 1 << 14
 _END = b""
 
@@ -61,6 +64,52 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
+def _wider(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in the same order, _BATCH_WORDS or more in a batch."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= _BATCH_WORDS:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _slots(context: np.ndarray, spread: np.ndarray, bits: int) -> np.ndarray:
+    """A slot of 2^``bits`` for each pair of 32-bit hashes."""
+    x = context ^ spread
+    x *= np.uint32(0x9E3779B1)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x85EBCA77)
+    x >>= np.uint32(32 - bits)
+    return x
+
+
+def _spread(node: np.ndarray) -> np.ndarray:
+    return ((node.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32)
+
+
+def _high(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
+def _logits(ones: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Logit of each slot's counts."""
+    return np.log((ones + np.float32(0.2)) / (np.maximum(total - ones, 0) + np.float32(0.2))).astype(np.float32)
+
+
+def _without(ones: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Logits at 2 * slot + bit: of each slot's counts without one such bit."""
+    return np.stack([_logits(ones, np.maximum(total - 1, ones)), _logits(np.maximum(ones - 1, 0), total - 1)], axis=1).ravel()
+
+
+def _levels(total: np.ndarray) -> np.ndarray:
+    """How well each slot is known, 0 to 3."""
+    return (total > 0).astype(np.uint8) + (total > 3) + (total > 30)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, c, n of (train, text): counts in training texts and in all; each text ends in an empty word."""
     short_batches(docs.sparkSession)
@@ -121,6 +170,7 @@ class Coder:
 
     def __init__(self, byte_counts: np.ndarray):
         self.size, self.first, self.node, self.bit = huffman(byte_counts)
+        self.spread = _spread(self.node)
 
     def bits(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each bit: its node, its value, its slots (a row for each order), the number of its word."""
@@ -139,14 +189,11 @@ class Coder:
         n = self.size[text[own]]
         at = np.repeat(self.first[text[own]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         where = np.repeat(own, n)
-        node = self.node[at]
-        spread = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        spread = self.spread[at]
         slots = np.empty((ORDERS, len(where)), np.int64)
         for k in range(ORDERS):
-            x = hashes[k][where] ^ spread
-            x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-            slots[k] = (x >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-        return node, self.bit[at], slots, word[where]
+            slots[k] = _slots(_high(hashes[k])[where], spread, TABLE_BITS)
+        return self.node[at], self.bit[at], slots, word[where]
 
 
 def chunks(words: list[bytes]) -> Iterator[list[bytes]]:
@@ -183,23 +230,28 @@ class Mixer:
         vars(mixer).update(state | {"coder": coder} | {k: state[k].copy() for k in ("weights", "map_ones", "map_total")})
         return mixer
 
-    def inputs(self, slots: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Logits by order and a constant, and the gate. ``own``: bits to leave out of the counts."""
+    def tables(self, learning: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Logits by slot, or by slot and own bit that is left out, and levels by slot."""
+        if learning:
+            return _without(self.ones, self.total), _levels(self.total - 1)
+        return _logits(self.ones, self.total), _levels(self.total)
+
+    def inputs(self, slots: np.ndarray, tables: tuple[np.ndarray, np.ndarray], own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Logits by order and a constant, and the gate. ``own``: bits to leave out of the counts, which ``tables`` do then."""
+        logits, levels = tables
         x = np.ones((ORDERS + 1, slots.shape[1]), np.float32)
         gate = np.zeros(slots.shape[1], np.int64)
         for k in range(ORDERS):
-            n, one = self.total[slots[k]], self.ones[slots[k]]
-            if own is not None:
-                n, one = n - 1, one - own
-            n, one = np.maximum(n, 0), np.maximum(one, 0)
-            x[k] = np.log((one + 0.2) / (np.maximum(n - one, 0) + 0.2))
-            gate = np.where(n > 0, 3 * k + (n > 3) + (n > 30), gate)
+            x[k] = logits[slots[k]] if own is None else logits[2 * slots[k] + own]
+            level = levels[slots[k]]
+            gate = np.where(level > 0, 3 * k - 1 + level.astype(np.int64), gate)
         return x, gate
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        logit = np.zeros(x.shape[1])
+        weights = self.weights.T.astype(np.float32)
+        logit = np.zeros(x.shape[1], np.float32)
         for k in range(ORDERS + 1):
-            logit += self.weights[gate, k] * x[k]
+            logit += weights[k][gate] * x[k]
         return np.clip(logit, -12, 12)
 
     def cells(self, logit: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -208,10 +260,11 @@ class Mixer:
     def learn(self, words: list[bytes]) -> int:
         """Online steps over the bits of ``words``; gives their number."""
         done = 0
+        tables = self.tables(True)
         for part in chunks(words):
             node, bit, slots, _ = self.coder.bits(part)
             value = bit.astype(np.float32)
-            x, gate = self.inputs(slots, value)
+            x, gate = self.inputs(slots, tables, bit)
             for at in range(0, len(bit), _STEP_BITS):
                 here = slice(at, at + _STEP_BITS)
                 logit = self.mix(x[:, here], gate[here])
@@ -229,9 +282,10 @@ class Mixer:
     def word_bits(self, words: list[bytes]) -> np.ndarray:
         """Code length of each word, its end included."""
         out = []
+        tables = self.tables(False)
         for part in chunks(words):
             node, bit, slots, word = self.coder.bits(part)
-            logit = self.mix(*self.inputs(slots))
+            logit = self.mix(*self.inputs(slots, tables)).astype(np.float64)
             cell = self.cells(logit, node)
             p = 1 / (1 + np.exp(-logit))
             n = self.map_total[cell]
@@ -245,6 +299,7 @@ class Runs:
 
     def __init__(self, leaf_counts: np.ndarray):
         self.size, self.first, self.node, self.bit = huffman(leaf_counts)
+        self.spread = _spread(self.node)
         self.ones, self.total = (np.zeros(_NODES + (1 << RUN_BITS), np.float32) for _ in range(2))
         self.weights = np.zeros((_RUN_GATES, CONTEXTS + 1))
         self.weights[:, 0] = 1.0
@@ -258,56 +313,57 @@ class Runs:
         vars(runs).update(state | {k: state[k].copy() for k in ("weights", "map_ones", "map_total")})
         return runs
 
-    def bits(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Of each bit of whole texts (leaves, each text closed by END_LEAF), in parts: node, value, slots (a row for each context), place of its token."""
+    def bits(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each bit of whole texts (leaves, each text closed by END_LEAF), in parts: value, slots (a row for each context); and how many bits each token has."""
         one, two = np.full(len(ids), END_LEAF, np.int64), np.full(len(ids), END_LEAF, np.int64)
         one[1:], two[2:] = ids[:-1], ids[:-2]
         # Nothing is known across the end of a text.
         two[one == END_LEAF] = END_LEAF
-        context = [(x + (k << 40)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for k, x in ((1, one), (2, one << 20 | two), (3, two))]
+        context = [_high((x + (k << 40)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k, x in ((1, one), (2, one << 20 | two), (3, two))]
         for start in range(0, len(ids), _RUN_TOKENS):
             own = ids[start : start + _RUN_TOKENS]
             n = self.size[own]
-            at = np.repeat(self.first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            where = np.repeat(np.arange(start, start + len(own)), n)
-            node = self.node[at]
-            spread = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+            where = np.repeat(np.arange(len(own)), n)
+            at = (self.first[own] - (np.cumsum(n) - n))[where]
+            at += np.arange(len(at))
+            spread = self.spread[at]
             slots = np.empty((CONTEXTS, len(where)), np.int64)
-            slots[0] = node
+            slots[0] = self.node[at]
             for k in range(1, CONTEXTS):
-                x = context[k - 1][where] ^ spread
-                x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-                slots[k] = _NODES + (x >> np.uint64(64 - RUN_BITS)).astype(np.int64)
-            yield node, self.bit[at], slots, where
-
-    def inputs(self, slots: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Logits by context and a constant, and the gate. ``own``: bits to leave out of the counts."""
+                slots[k] = _slots(context[k - 1][start : start + _RUN_TOKENS][where], spread, RUN_BITS)
+                slots[k] += _NODES
+            yield self.bit[at], slots, n
+
+    def tables(self, learning: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Logits by slot, or by slot and own bit that is left out, and levels by slot."""
+        if learning:
+            return _without(self.ones, self.total), _levels(self.total - 1)
+        return _logits(self.ones, self.total), _levels(self.total)
+
+    def inputs(self, slots: np.ndarray, tables: tuple[np.ndarray, np.ndarray], own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Logits by context and a constant, and the gate. ``own``: bits to leave out of the counts, which ``tables`` do then."""
+        logits, levels = tables
         x = np.ones((CONTEXTS + 1, slots.shape[1]), np.float32)
-        gate = np.zeros(slots.shape[1], np.int64)
         for k in range(CONTEXTS):
-            n, one = self.total[slots[k]], self.ones[slots[k]]
-            if own is not None:
-                n, one = n - 1, one - own
-            x[k] = np.log((one + np.float32(0.2)) / (n - one + np.float32(0.2)))
-            if k in (1, 2):
-                gate = 4 * gate + (n > 0) + (n > 3) + (n > 30)
-        return x, gate
+            x[k] = logits[slots[k]] if own is None else logits[2 * slots[k] + own]
+        return x, (4 * levels[slots[1]] + levels[slots[2]]).astype(np.int64)
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        logit = np.zeros(x.shape[1])
-        for k in range(CONTEXTS + 1):
-            logit += self.weights[gate, k] * x[k]
+        weights = self.weights.T.astype(np.float32)
+        logit = weights[-1][gate]
+        for k in range(CONTEXTS):
+            logit += weights[k][gate] * x[k]
         return np.clip(logit, -16, 16)
 
     def cells(self, logit: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return gate * CELLS + ((logit + 16) * ((CELLS - 1) / 32)).astype(np.int64)
 
-    def learn(self, ids: np.ndarray) -> int:
+    def learn(self, ids: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> int:
         """Online steps along the bits of whole texts that have been counted; gives their number."""
         done = 0
-        for _, bit, slots, _ in self.bits(ids):
+        for bit, slots, _ in self.bits(ids):
             value = bit.astype(np.float32)
-            x, gate = self.inputs(slots, value)
+            x, gate = self.inputs(slots, tables, bit)
             for at in range(0, len(bit), _RUN_STEP):
                 here = slice(at, at + _RUN_STEP)
                 logit = self.mix(x[:, here], gate[here])
@@ -322,22 +378,21 @@ class Runs:
             done += len(bit)
         return done
 
-    def code(self, ids: np.ndarray) -> np.ndarray:
+    def code(self, ids: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """log10 of the probability of each token of whole texts after those before it."""
-        out = np.zeros(len(ids))
-        for _, bit, slots, where in self.bits(ids):
-            x, gate = self.inputs(slots)
+        out = [np.zeros(0)]
+        # Few are in a cell at first; then as much is taken from the map as from the mixer.
+        own = 1 - self.map_total / (2 * (self.map_total + 1000))
+        of_map = np.stack([self.map_total - self.map_ones, self.map_ones], axis=1).ravel() / np.repeat(2 * (self.map_total + 1000), 2)
+        for bit, slots, n in self.bits(ids):
+            x, gate = self.inputs(slots, tables)
             logit = self.mix(x, gate)
             cell = self.cells(logit, gate)
-            p = 1 / (1 + np.exp(-logit))
-            n = self.map_total[cell]
-            # Few are in a cell at first; then as much is taken from the map as from the mixer.
-            p = np.clip(p + (self.map_ones[cell] - n * p) / (2 * (n + 1000)), 1e-7, 1 - 1e-7)
-            lp = np.log10(np.where(bit, p, 1 - p))
-            start = where[0]
-            part = np.bincount(where - start, lp)
-            out[start : start + len(part)] += part
-        return out
+            p = 1 / (1 + np.exp(np.where(bit, -logit, logit)))
+            p = np.clip(p * own[cell] + of_map[2 * cell + bit], 1e-7, 1 - 1e-7)
+            # A logarithm a token: even 42 bits of least probability stay above the bound.
+            out.append(np.log10(np.maximum(np.multiply.reduceat(p, np.cumsum(n) - n), 1e-300)))
+        return np.concatenate(out)
 
 
 def _pairs(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -361,7 +416,7 @@ def fit(vocabulary: DataFrame) -> Mixer:
 
     def byte_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(256)
-        for batch in batches:
+        for batch in _wider(batches):
             n += np.bincount(np.frombuffer(b" ".join([*batch.column(0).to_pylist(), b""]), np.uint8), minlength=256)
         yield from _pairs(np.arange(256), n, n)
 
@@ -382,7 +437,7 @@ def fit(vocabulary: DataFrame) -> Mixer:
             total[:] += (both[::2] + both[1::2]).astype(np.int32)
             held.clear()
 
-        for batch in batches:
+        for batch in _wider(batches):
             for part in chunks(batch.column(0).to_pylist()):
                 _, bit, slots, _ = coder.bits(part)
                 held.append((slots << 1 | bit).ravel().astype(np.int32))
@@ -402,7 +457,7 @@ def fit(vocabulary: DataFrame) -> Mixer:
 
     def learn_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, done = Mixer.of(shared.value), 0
-        for batch in batches:
+        for batch in _wider(batches):
             done += mixer.learn(batch.column(0).to_pylist())
         flat = mixer.weights.ravel()
         yield from _pairs(np.arange(len(flat)), flat * done, np.full(len(flat), float(done)))
@@ -431,7 +486,8 @@ def fit_runs(texts: DataFrame, leaves: dict[bytes, int], leaf_counts: np.ndarray
             ids = []
             for text in batch.column(1):
                 own = tokens(text.as_py())
-                ids.append(np.fromiter((leaf.get(w, OTHER) for w in [*own, _END]), np.uint16, len(own) + 1).tobytes())
+                own.append(_END)
+                ids.append(np.fromiter(map(leaf.get, own, repeat(OTHER)), np.uint16, len(own)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["at", "ids"])
 
     runs = cut(texts.select(F.xxhash64("text").alias("at"), "text").mapInArrow(id_run, "at bigint, ids binary"), "runs")
@@ -443,10 +499,22 @@ def fit_runs(texts: DataFrame, leaves: dict[bytes, int], leaf_counts: np.ndarray
     def count_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Runs.of(shared.value)
         both = np.zeros(2 * len(model.total), np.int64)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def add() -> None:
+            both[:] += np.bincount(np.concatenate([np.zeros(0, np.int64), *held]), minlength=len(both))
+            held.clear()
+
         for batch in batches:
-            for _, bit, slots, _ in model.bits(read(batch)):
+            for bit, slots, _ in model.bits(read(batch)):
                 # The lowest bit is the coded bit.
-                both += np.bincount((slots << 1 | bit).ravel(), minlength=len(both))
+                held.append((slots << 1 | bit).ravel())
+                size += held[-1].size
+                if size > 1 << 22:
+                    add()
+                    size = 0
+        add()
         ones, total = both[1::2], both[::2] + both[1::2]
         used = np.flatnonzero(total)
         yield from _pairs(used, ones[used], total[used])
@@ -458,8 +526,9 @@ def fit_runs(texts: DataFrame, leaves: dict[bytes, int], leaf_counts: np.ndarray
 
     def learn_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, done = Runs.of(counted.value), 0
+        tables = own.tables(True)
         for batch in batches:
-            done += own.learn(read(batch))
+            done += own.learn(read(batch), tables)
         flat = own.weights.ravel()
         yield from _pairs(np.arange(len(flat)), flat * done, np.full(len(flat), float(done)))
         yield from _pairs(1000 + np.arange(len(own.map_total)), own.map_ones, own.map_total)
@@ -482,7 +551,7 @@ def score_words(words: DataFrame, mixer: Mixer, train_tokens: float, kinds: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer = Mixer.of(shared.value)
-        for batch in batches:
+        for batch in _wider(batches):
             bits = mixer.word_bits(batch.column(0).to_pylist())
             c = batch.column(1).to_numpy()
             if train_tokens:
@@ -537,39 +606,47 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     got = hot.select("word", "c", "lp", "bits").toArrow()
     norm = float(n_train + kinds + 1)
     c = got.column("c").to_numpy()
-    known = dict(zip(got.column("word").to_pylist(), zip((c > 0).tolist(), np.log10((c + 1) / norm).tolist(), got.column("lp").to_pylist(), got.column("bits").to_pylist(), strict=True), strict=True))
-    shared = spark.sparkContext.broadcast((known, leaves, vars(runs) if n_train else None))
+    plain_lp = np.log10((c + 1) / norm)
+    known = {w: x for w, x in zip(got.column("word").to_pylist(), zip((c > 0).tolist(), plain_lp.tolist(), got.column("lp").to_pylist(), got.column("bits").to_pylist(), strict=True), strict=True) if w not in leaves}
+    # What has a leaf of its own is looked up by it: whether it is known, and what the base gives it.
+    of_leaf = np.zeros((2, len(leaves) + 1))
+    of_leaf[:, END_LEAF] = ends > 0, np.log10((ends + 1) / norm)
+    of_leaf[:, END_LEAF + 1 :] = np.ones(len(own)), np.log10((own + 1) / norm)
+    shared = spark.sparkContext.broadcast((known, leaves, of_leaf, vars(runs) if n_train else None))
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, leaf, state = shared.value
+        hot, leaf, of_leaf, state = shared.value
         model = Runs.of(state) if state else None
+        tables = model.tables(False) if model else None
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [], [], [], [], [])
-            for i, text in enumerate(batch.column(3)):
-                words = tokens(text.as_py())
-                seen = Counter(words)
-                total, size = sum(seen.values()) + 1, sum(len(w) * n for w, n in seen.items())
-                seen[_END] += 1
-                found, plain, mixed = 0, 0.0, 0.0
-                if model:
-                    mixed = float(model.code(np.fromiter((leaf.get(w, OTHER) for w in [*words, _END]), np.int64, len(words) + 1)).sum())
-                code = -mixed / np.log10(2)
-                for w, n in seen.items():
+            texts = [[*tokens(text.as_py()), _END] for text in batch.column(3)]
+            size = np.array([len(words) for words in texts], np.int64)
+            first = np.cumsum(size) - size
+            ids = np.fromiter(chain.from_iterable(map(leaf.get, words, repeat(OTHER)) for words in texts), np.int64, size.sum())
+            other = ids == OTHER
+            mixed = np.add.reduceat(model.code(ids, tables), first) if model else np.zeros(len(texts))
+            found, plain = (np.add.reduceat(x[ids], first) for x in of_leaf)
+            code = -mixed / np.log10(2)
+            # Words that share a leaf and aren't hot get rows of their own, to meet what is known of them.
+            at, rare, times = [], [], []
+            for i, words in enumerate(texts):
+                for w, n in Counter(compress(words, other[first[i] : first[i] + size[i]].tolist())).items():
                     own = hot.get(w)
                     if own is None:
-                        for col, x in zip(cols, (i, w, n, 0, 0, 0, 0.0, 0.0, 0.0), strict=True):
-                            col.append(x)
+                        at.append(i)
+                        rare.append(w)
+                        times.append(n)
                     else:
-                        found += n * own[0]
-                        plain += n * own[1]
-                        mixed += n * own[2]
-                        code += n * own[3]
-                for col, x in zip(cols, (i, None, 0, size + total, total, found, plain, mixed, code), strict=True):
-                    col.append(x)
-            row = pa.array(cols[0], pa.int64())
-            kinds_ = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in range(3)), *(pa.array(x, t) for x, t in zip(cols[1:], kinds_, strict=True))], names=["rid", "doc_id", "held_out", "word", "n", "n_bytes", "n_tokens", "n_known", "base_score", "score", "bits"])
+                        found[i] += n * own[0]
+                        plain[i] += n * own[1]
+                        mixed[i] += n * own[2]
+                        code[i] += n * own[3]
+            n_bytes = np.array([sum(map(len, words)) for words in texts], np.int64) + size
+            row, none = pa.array([*at, *range(len(texts))], pa.int64()), np.zeros(len(at))
+            cols = [pa.array(np.concatenate([none.astype(x.dtype), x])) for x in (n_bytes, size.astype(np.int64), found.astype(np.int64), plain, mixed, code)]
+            words_ = [pa.array([*rare, *[None] * len(texts)], pa.binary()), pa.array([*times, *[0] * len(texts)], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in range(3)), *words_, *cols], names=["rid", "doc_id", "held_out", "word", "n", "n_bytes", "n_tokens", "n_known", "base_score", "score", "bits"])
 
     numbered = base.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
     parts = numbered.mapInArrow(run, f"rid bigint, doc_id {kind}, held_out boolean, word binary, n bigint, n_bytes bigint, n_tokens bigint, n_known bigint, base_score double, score double, bits double")
