@@ -109,3 +109,15 @@ def test_known_grams_are_found_without_forming_others(spark, model):
     rows = df.select("p", own.alias("own"), F.filter(L.grams(F.coalesce("p", F.lit(""))), lambda g: g.isin(vocabulary)).alias("plain")).collect()
     assert sum(len(r.plain) for r in rows) > 1000
     assert all(r.own == r.plain for r in rows)
+
+
+def test_known_looks_words_up_without_patterns(spark, model):
+    """Known n-grams are those of the plain reading; no pattern is tried at each letter, and each line is split once."""
+    rng = np.random.default_rng(5)
+    vocabulary = model[1]
+    texts = [*lines(rng), "of of the the of", "Of--the  of\u00a0the\u0130public domain", "the public", " ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "p string")
+    got = df.select("p", L.known(F.col("p"), vocabulary).alias("k"))
+    assert all(sorted(r.k) == sorted(set(L._grams(L._words(r.p or ""))) & set(vocabulary)) for r in got.collect() if "\u0130" not in (r.p or ""))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "regexp_extract" not in plan and "RLIKE" not in plan

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
@@ -141,44 +140,40 @@ def _marks() -> list[str]:
 
 def _may_hold(text: Column) -> Column:
     """Whether a word of ``_marks`` is in the text: false only where no statement can be confirmed."""
-    lower, marks = F.lower(text), _marks()
-    tests = [F.contains(lower, F.lit(w)) for w in marks if len(w) > 4]
-    tests += [lower.rlike(f"{w}(?<![a-z0-9]{w})(?![a-z0-9])") for w in marks if len(w) <= 4]
-    return reduce(Column.__or__, tests)
+    return F.exists(F.split(F.lower(text), GAP), lambda w: w.isin(_marks()))
 
 
-def _pattern(grams_: list[str]) -> str:
-    """A regular expression that finds, at the first letter of each of ``grams_`` in lower-case text, all of it as group 1; a tree of letters, so a word is read once."""
-    tree: dict = {}
+def _following(grams_: list[str]) -> Column:
+    """A map from what stands before the last word of each of ``grams_`` to a map from that word to the whole."""
+    ways: dict[str, dict[str, str]] = {}
     for gram in grams_:
-        at = tree
-        for letter in gram:
-            at = at.setdefault(letter, {})
-        at[""] = {}
-
-    def written(at: dict) -> str:
-        ways = [GAP + written(own) if letter == " " else letter + written(own) if letter else "(?![a-z0-9])" for letter, own in sorted(at.items())]
-        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
-
-    return f"(?<![a-z0-9])(?=({written(tree)}))"
+        before, _, last = gram.rpartition(" ")
+        ways.setdefault(before, {})[last] = gram
+    return F.from_json(F.lit(json.dumps(ways)), "map<string,map<string,string>>")
 
 
 def known(paragraph: Column, vocabulary: list[str]) -> Column:
     """Distinct word pairs and triples of a paragraph that are in ``vocabulary``, which holds the pairs of its triples.
 
-    They are found as they stand in the text, so no other pair or triple is formed.
+    They are looked up word by word, so no other pair or triple is formed.
     """
-    lower, none = F.lower(paragraph), F.array().cast("array<string>")
     pairs, triples = ([g for g in vocabulary if g.count(" ") == n] for n in (1, 2))
+    firsts, seconds = (sorted({g.split()[k] for g in pairs}) for k in (0, 1))
+
+    def found(words: Column) -> Column:
+        def begun(w: Column, i: Column) -> Column:
+            after = F.get(words, i + 1)
+            pair = F.element_at(F.element_at(_following(pairs), w), after)
+            # A map is searched key by key, so only words of pairs are looked up.
+            return F.when(w.isin(firsts) & after.isin(seconds), F.struct(pair.alias("gram"), (i + 2).alias("next")))
 
-    def found(own: list[str]) -> Column:
-        return F.regexp_extract_all(lower, F.lit(_pattern(own)), F.lit(1)) if own else none
+        def both(met: Column) -> Column:
+            more = F.transform(met, lambda x: F.element_at(F.element_at(_following(triples), x["gram"]), F.get(words, x["next"])))
+            return F.array_distinct(F.concat(F.transform(met, lambda x: x["gram"]), F.array_compact(more)))
 
-    def one(gram: Column) -> Column:
-        return F.regexp_replace(gram, GAP, " ")
+        return let(F.filter(F.transform(words, begun), lambda x: x["gram"].isNotNull()), both)
 
-    met = F.when(lower.rlike(_pattern(pairs)), F.array_distinct(F.transform(F.concat(found(pairs), found(triples)), one))) if pairs else F.lit(None)
-    return F.coalesce(met, none)
+    return F.coalesce(let(F.split(F.lower(paragraph), GAP), found), F.array().cast("array<string>"))
 
 
 def train(texts: DataFrame) -> tuple[list[str], list[str], list[list[float]], list[float], float]:
@@ -196,9 +191,10 @@ def train(texts: DataFrame) -> tuple[list[str], list[str], list[list[float]], li
             # Not trained on: other words left out, and other words around.
             unseen += [{"grams": _grams(w)} for w in [*cuts[1::2], ["note", *words, "see", "below"]]]
     vocabulary = sorted({g for row in positives for g in row["grams"]})
-    whole = texts.where(F.col("text").isNotNull()).select("text", F.sha2("text", 256).alias("t"))
     held = uniform(F.col("text"), F.lit(29)) < 0.25
-    each = whole.select("t", held.alias("held"), F.explode(F.array_distinct(paragraphs(F.col("text")))).alias("p"))
+    # Of each text once, not of each of its paragraphs.
+    whole = texts.where(F.col("text").isNotNull()).select("text", F.sha2("text", 256).alias("t"), held.alias("held"))
+    each = whole.select("t", "held", F.explode(F.array_distinct(paragraphs(F.col("text")))).alias("p"))
     # Two words make a pair.
     each = each.where(F.lower("p").rlike(f"[a-z0-9]{GAP}[a-z0-9]")).select("t", "held", F.array_sort(known(F.col("p"), vocabulary)).alias("grams"))
     # Equal texts count once: what they hold is divided by their number, so no text is shuffled.
