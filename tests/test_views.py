@@ -57,3 +57,14 @@ def test_queries_join_no_blocks(spark, monkeypatch, name):
 
     monkeypatch.setattr(joins, "view_pixels", no_blocks)
     assert catalog.queries()[name](spark, "/root/testdata/sf0.001").where(F.col("clip") < 3).count() > 0
+
+
+@pytest.mark.parametrize("most", [1 << 20, 700])
+def test_rows_of_a_camera_go_by_pixel(spark, monkeypatch, most):
+    monkeypatch.setattr(views, "PART_POINTS", most)
+    cams, cloud = scene(spark, 3, 20, 2000, 0.12)
+    order = {}
+    for r in views.visible_points(cams, cloud, 20.0, 32, 24, far=4.0, splat=1).withColumn("part", F.spark_partition_id()).collect():
+        order.setdefault((r.part, r.clip, r.frame), []).append((r.u, r.v))
+    assert sum(map(len, order.values())) > 1000 and len({p for seen in order.values() for p in seen}) > 100
+    assert all(seen == sorted(seen) for seen in order.values())
