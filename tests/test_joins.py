@@ -1,6 +1,7 @@
 """View joins by session, near hashes by class, caps of repeated keys."""
 
 from collections import Counter
+from hashlib import md5
 
 import numpy as np
 import pytest
@@ -172,3 +173,40 @@ def test_coverage_drops_pairs_that_nothing_requires_before_it_holds_them(spark):
     assert sorted((r.a, r.b) for r in out.collect() if r.a != "a-7") == [("a-3", "a-4"), ("a-5", "a-6")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and plan.count("Aggregate") == 2
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+@pytest.mark.parametrize("kind", ["dense", "sparse", "one bit", "top bit"])
+def test_near_pairs_are_all_pairs_of_rows(spark, monkeypatch, most, kind):
+    for name, size in (("HASH_ROWS", 16), ("HASH_BITS", 2), ("HASH_CELLS", 50), ("PAIR_ROWS", 70)):
+        monkeypatch.setattr(joins, name, size)
+    rng = np.random.default_rng(most)
+    if kind in ("dense", "top bit"):
+        hashes = [int(np.uint64(int(x) << (20 if kind == "dense" else 54)).astype(np.int64)) for x in rng.integers(0, 1 << 10, 800)]
+        if most:
+            monkeypatch.setattr(joins, "_met", lambda *_: pytest.fail("hashes met in bands"))
+    elif kind == "one bit":
+        hashes = [0, 1, 0, 1, 1]
+    else:
+        base = [int(h) for h in rng.integers(-(2**63), 2**63 - 1, 100)]
+        hashes = base + [h ^ sum(1 << int(b) for b in rng.choice(62, k, replace=False)) for k in range(1, 4) for h in base[:40]]
+    hashes += [hashes[0]] * 40
+    keys = [int(k) for k in rng.permutation(len(hashes))]
+    df = spark.createDataFrame([*zip(keys, hashes, strict=True), (10**6, None), (None, hashes[0])], "id bigint, h bigint")
+    # A row that comes twice is one.
+    out = sorted((r.a, r.b, r.distance) for r in joins.near_pairs(df.union(df.where("id < 9")), "id", "h", most).collect())
+    apart = lambda g, h: ((g ^ h) & (1 << 64) - 1).bit_count()
+    want = sorted((a, b, apart(g, h)) for a, g in zip(keys, hashes, strict=True) for b, h in zip(keys, hashes, strict=True) if a < b and apart(g, h) <= most)
+    assert len(want) > 3 and out == want
+
+
+def test_duplicates_are_given_as_pairs_of_events(spark):
+    sf = "/root/testdata/sf0.001"
+    events = {r.event_id: int(md5(str(r.event_id).encode()).hexdigest()[:6], 16) % (1 << 22) for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id").collect()}
+    want = {(a, b, (g ^ h).bit_count()) for a, g in events.items() for b, h in events.items() if a < b and (g ^ h).bit_count() <= 2}
+    out = [(r.a, r.b, r.distance) for r in catalog.queries()["p5_batch_hash_duplicates"](spark, sf).collect()]
+    assert len(out) == len(want) > 10 and set(out) == want
+
+
+def test_near_pairs_of_nothing(spark):
+    assert joins.near_pairs(spark.createDataFrame([(1, None)], "id bigint, h bigint"), "id", "h", 2).count() == 0

@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +21,8 @@ BROADCAST_ROWS = 20_000
 QUERY_BYTES, BLOCK_ROWS = 1 << 25, 512
 #: As many hashes of required pairs as are broadcast, of 8 bytes each.
 BROADCAST_PAIRS = 1 << 21
+#: Rows of a block of hashes besides those that visit it, bits that name a block at least, values looked up and pairs formed at once.
+HASH_ROWS, HASH_BITS, HASH_CELLS, PAIR_ROWS = 1 << 18, 6, 1 << 18, 1 << 20
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -412,3 +415,85 @@ def hash_classes(df: DataFrame, key: str, phash: str, most: int) -> DataFrame:
     rows, kinds = _kinds(df, key, phash)
     of = _near_counts(kinds, most).join(kinds.select("ha", "class_id"), "ha")
     return rows.join(of, "ha").select(F.col("key").alias(key), "class_id", "n_same", "n_near")
+
+
+def _pairs_of(a: tuple, b: tuple) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For groups of a and of b (keys, first places, sizes), group by group: all pairs of their keys, and the number of the group; a bounded number at once."""
+    (a_keys, a_first, _), (b_keys, b_first, b_size) = a, b
+    sizes = a[2] * b_size
+    ends = np.cumsum(sizes)
+    for low in range(0, int(ends[-1]) if len(ends) else 0, PAIR_ROWS):
+        high = min(low + PAIR_ROWS, int(ends[-1]))
+        group = np.repeat(np.arange(len(ends)), np.clip(ends, low, high) - np.clip(ends - sizes, low, high))
+        at, each = np.arange(low, high) - (ends - sizes)[group], b_size[group]
+        yield a_keys[a_first[group] + at // each], b_keys[b_first[group] + at % each], group
+
+
+def _by_hash(keys: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """The distinct hashes, and the keys of each as in ``_pairs_of``."""
+    order = np.lexsort((keys, hashes))
+    kinds, first, size = np.unique(hashes[order], return_index=True, return_counts=True)
+    return kinds, (keys[order], first, size)
+
+
+def _block_pairs(keys: np.ndarray, hashes: np.ndarray, moved: np.ndarray, masks: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """a, b, distance of rows of one block (``moved`` 0) with each other and with its visitors; masks and their bits by how far a visitor has moved."""
+    kinds, own = _by_hash(keys[moved == 0], hashes[moved == 0])
+    for x, y, _ in _pairs_of(own, own):
+        yield x[x < y], y[x < y], np.zeros(np.count_nonzero(x < y), np.int32)
+    for far, (words, bits) in enumerate(masks):
+        others, theirs = (kinds, own) if far == 0 else _by_hash(keys[moved == far], hashes[moved == far])
+        step = max(1, HASH_CELLS // max(1, len(words)))
+        for low in range(0, len(others) if len(kinds) else 0, step):
+            near = others[low : low + step, None] ^ words
+            at = np.searchsorted(kinds, near)
+            at[at == len(kinds)] = 0
+            # Hashes of one block meet twice, from either side.
+            met = (kinds[at] == near) & ((near > others[low : low + step, None]) if far == 0 else True)
+            which, mask = np.nonzero(met)
+            place = at[which, mask]
+            for x, y, group in _pairs_of((theirs[0], theirs[1][low + which], theirs[2][low + which]), (own[0], own[1][place], own[2][place])):
+                apart = bits[mask[group]]
+                # First the pairs that x begins, so that a's runs, then b's, lie together and take little space.
+                up, down = x < y, x > y
+                yield np.concatenate([x[up], y[down]]), np.concatenate([y[up], x[down]]), np.concatenate([apart[up], apart[down]])
+
+
+def near_pairs(df: DataFrame, key: str, phash: str, most: int) -> DataFrame:
+    """a, b, distance with a < b: all pairs of rows whose 64-bit hashes are up to ``most`` bits apart, by their keys (bigint, each with one hash).
+
+    Two exact ways, as in ``hash_links``. Bands, where few hashes meet in them; their links are joined with the rows. Where hashes are
+    dense, some of the bits that vary name a block, and a row goes to its own and to all blocks up to ``most`` bits below it; there the hashes
+    around it are looked up among the block's. So every pair is found once, by one of its rows, and none is shuffled. Rows of one hash are in
+    one block; their pairs are formed a bounded number at once, but they are as many as the square of the rows.
+    """
+    rows = df.where(F.col(phash).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(phash).alias("ha")).distinct()
+    kinds = rows.select("ha").distinct()
+    bits, n = _varying(kinds)
+    banded, pairs = _banded(kinds, bits, most)
+    if pairs <= n * sum(math.comb(len(bits), k) for k in range(most + 1)):
+        links = _met(banded, most).unionByName(kinds.select("ha", F.col("ha").alias("hb"), F.lit(0).alias("distance")))
+        both = links.join(rows.withColumnRenamed("key", "x"), "ha").join(rows.select(F.col("key").alias("y"), F.col("ha").alias("hb")), "hb")
+        return both.where("x < y or x > y and ha <> hb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+
+    own = min(len(bits), max(HASH_BITS, math.ceil(math.log2(n / HASH_ROWS))))
+    names, rest = bits[:own], bits[own:]
+    block = sum((F.shiftrightunsigned("ha", i).bitwiseAND(1) * (1 << k) for k, i in enumerate(names)), F.lit(0)).cast("int")
+    visits = [(c, _word([names[k] for k in c]), sum(1 << k for k in c)) for d in range(most + 1) for c in combinations(range(own), d)]
+    sent = rows.withColumn("_b", block).select("key", F.inline(F.array(*[F.struct(F.col("_b").bitwiseXOR(F.lit(name)).alias("block"), F.col("ha").bitwiseXOR(F.lit(word)).alias("ha"), F.lit(len(c)).alias("moved"), "_b") for c, word, name in visits])))
+    masks = []
+    for far in range(most + 1):
+        around = [(_word(c), far + k) for k in range(int(far == 0), most - far + 1) for c in combinations(rest, k)]
+        masks.append((np.array([w for w, _ in around], np.int64), np.array([k for _, k in around], np.int32)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        blocks, *cols = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in ("block", "key", "ha", "moved"))
+        for one in np.unique(blocks):
+            for found in _block_pairs(*(c[blocks == one] for c in cols), masks):
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b", "distance"])
+
+    return sent.where("block <= _b").select("block", "key", "ha", "moved").repartitionById(1 << own, "block").mapInArrow(run, "a bigint, b bigint, distance int")
